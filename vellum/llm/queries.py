@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import sharding, topk
+from vellum.llm import fingerprint, langid, quality, sharding, topk
 from vellum.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op1(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op2(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op6(table(spark, sf_dir, "embeddings"))
 
@@ -16,6 +28,6 @@ def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_topk, op9_reshard)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op5_quality, op6_topk, op9_reshard)}
 
 ORACLE_SQL: dict[str, str] = {}
