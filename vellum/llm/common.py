@@ -34,21 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def saved(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (a subfolder for each value of ``by``) and read it back.
 
     Cuts the lineage: a lost executor costs a reread, never a second run of what
     led here.  The folder goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_id(broadcast) -> int:
+    """Spark's own number of a broadcast, the same on every worker."""
+    return int(broadcast._jbroadcast.id())
+
+
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of a column's text form, modulo ``n`` (how the contracts name folds)."""
     return F.crc32(F.col(column).cast("string")) % n
