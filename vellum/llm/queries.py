@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, fingerprint, jaccard, langid, packing, quality, sharding, topk, toxicity
+from vellum.llm import bpe, fingerprint, jaccard, langid, linededup, packing, quality, sharding, topk, toxicity
 from vellum.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_packing, op4_bpe, op5_quality, op6_topk, op7_toxicity, op9_reshard, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_packing, op4_bpe, op5_quality, op6_topk, op7_toxicity, op8_line_dedup, op9_reshard, op10_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {}
