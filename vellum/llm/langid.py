@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,6 +188,27 @@ def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, lang_pred string, score double, coverage double")
 
 
+def identified(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
+    """(row, found): each row of ``docs`` as a struct, and lang_pred, score and coverage as another."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        texts = [t or "" for t in texts]
+        parts, i = [([], np.zeros(0), np.zeros(0))], 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and j - i < 512 and (j == i or size + len(texts[j]) <= CHUNK):
+                size += len(texts[j])
+                j += 1
+            parts.append(held.value.decide(texts[i:j]))
+            i = j
+        langs, scores, covers = zip(*parts, strict=True)
+        return pd.DataFrame({"lang_pred": [x for part in langs for x in part], "score": np.concatenate(scores), "coverage": np.concatenate(covers)})
+
+    found = F.pandas_udf(run, "struct<lang_pred: string, score: double, coverage: double>")
+    return docs.select(F.struct("*").alias("row"), found(F.col(text_col)).alias("found"))
+
+
 def op2(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang")
     model = fit(docs, F.coalesce(crc32_mod("doc_id", 4) != 2, F.lit(True)))
