@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import saved
 
 MIN_WORDS = 30
-BROADCAST = 300_000  #: deletions that may be broadcast
+BROADCAST = 10_000  #: deletions that may be broadcast; beyond, texts are dealt by id and hash
 _A, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
