@@ -46,7 +46,16 @@ def saved(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what ``saved`` wrote for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._vellum_path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def broadcast_id(broadcast) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import saved
+from vellum.llm.common import dropped, partitions, saved
 
 
 def _checksum(edges: DataFrame) -> tuple[int, int]:
@@ -22,18 +22,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     be split, so that no task needs all rows of a hub.  Each round is written to the
     shared folder, so a lost executor costs one round at most.
     """
+    parts = partitions(edges.sparkSession)
     edges = saved(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _checksum(edges)
     for _ in range(rounds):
         if not before[0]:
             break
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        few = max(8, min(parts, before[0] // 100_000))  # small rounds take few tasks and leave few files
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).coalesce(few)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).coalesce(few)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = saved(small.select("e.a", "e.b").where("a != b").distinct(), "edges")
+        done = edges
+        edges = saved(small.select("e.a", "e.b").where("a != b").coalesce(few).distinct().coalesce(few), "edges")
         now = _checksum(edges)
+        dropped(done)
         if now == before:
             break
         before = now

@@ -12,7 +12,7 @@ L1 distance never exceeds the size of the two sets' difference.  There, regions
 joined by pivots: each member belongs to the Voronoi cell of its nearest pivot and is
 copied to each cell that the triangle inequality does not rule out (its distance there
 within twice its radius of that to its own pivot); cells are split again until they are
-small.  Members that may be linked form families, and families (split the same way if
+small, or cut into tiles where pivots no longer tell members apart.  Members that may be linked form families, and families (split the same way if
 they are large) are joined exactly, on full sets.  What a task gives back is a spanning
 forest of its links and each set's number of links, so copies of copies do not become
 all pairs.  Components follow from the forests.
@@ -42,9 +42,9 @@ from vellum.llm.graph import components
 
 WORDS, PERCENT = 3, 90
 WIDTH = 64  #: buckets of a place
-REGION, BLOCK = 4096, 1024  #: members of a region, of a family, that one task joins
+REGION, BLOCK = 4096, 2048  #: members of a region, of a family, that one task joins
 SHINGLES = 2_000_000  #: of the families that one task joins at once
-PIVOTS, SPLITS = 16, 3
+PIVOTS, SPLITS, COPIES = 16, 3, 3
 BROADCAST = 1_000_000  #: ids that may be broadcast
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -202,6 +202,15 @@ def radius(n: np.ndarray, percent: int) -> np.ndarray:
     return n * (100 - percent) / percent
 
 
+def _reached(part: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(nearest pivot, all pivots whose cells must see the row) of each row."""
+    x = np.frombuffer(b"".join(part.column("place").to_pylist()), np.uint16).reshape(-1, WIDTH).astype(np.int32)
+    reach = 2 * radius(part.column("n").to_numpy(), percent) + 1e-6
+    for i, pivots in enumerate(part.column("pivots").to_pylist()):
+        d = np.abs(np.frombuffer(b"".join(pivots), np.uint16).reshape(-1, WIDTH).astype(np.int32) - x[i]).sum(axis=1)
+        yield int(d.argmin()), np.flatnonzero(d <= d.min() + reach[i])
+
+
 def _split(percent: int):
     """Gives each row (g, key, n, place, cells, homes, pivots) to the cells that it must be seen in."""
 
@@ -209,15 +218,11 @@ def _split(percent: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x = np.frombuffer(b"".join(part.column("place").to_pylist()), np.uint16).reshape(-1, WIDTH).astype(np.int32)
-                reach = 2 * radius(part.column("n").to_numpy(), percent) + 1e-6
                 take, cell, home = [], [], []
-                for i, pivots in enumerate(part.column("pivots").to_pylist()):
-                    d = np.abs(np.frombuffer(b"".join(pivots), np.uint16).reshape(-1, WIDTH).astype(np.int32) - x[i]).sum(axis=1)
-                    into = np.flatnonzero(d <= d.min() + reach[i])
+                for i, (own, into) in enumerate(_reached(part, percent)):
                     take += [i] * len(into)
                     cell += into.tolist()
-                    home += [int(d.argmin())] * len(into)
+                    home += [own] * len(into)
                 rows = part.take(pa.array(take, pa.int64()))
                 add = lambda name, new: pa.array([[*old, v] for old, v in zip(rows.column(name).to_pylist(), new, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([rows.column("g"), rows.column("key"), rows.column("n"), rows.column("place"), add("cells", cell), add("homes", home)], names=["g", "key", "n", "place", "cells", "homes"])
@@ -225,48 +230,68 @@ def _split(percent: int):
     return run
 
 
+def _spread(percent: int):
+    """(g, cells, times): by how much a split would multiply each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times = [len(into) for _, into in _reached(batch, percent)]
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("cells"), pa.array(times, pa.int64())], names=["g", "cells", "times"])
+
+    return run
+
+
 KEPT = ["g", "key", "n", "place", "cells", "homes"]
 CELL = ["g", "cells", "tile"]
 
 
+def tiled(large: DataFrame, most: int) -> DataFrame:
+    """Cells of ``_k`` members cut into blocks by hash; block i meets block j in tile (i, j), i <= j."""
+    blocks = F.ceil(F.col("_k") / F.lit(most // 2)).cast("int")
+    rows = large.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    side = lambda other: F.when(other == F.col("_own"), -1).when(F.col("_own") < other, 0).otherwise(1)
+    tile = lambda other: F.least(other, F.col("_own")) * F.col("_blocks") + F.greatest(other, F.col("_own"))
+    at = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(tile(o).alias("tile"), side(o).alias("side")))
+    return rows.select(*KEPT, F.explode(at).alias("_t")).select(*KEPT, "_t.tile", "_t.side")
+
+
 def split_large(rows: DataFrame, most: int, percent: int) -> DataFrame:
     """Groups ``g`` of rows (g, key, n, place), cut into cells of ``most`` members or so.
 
     Adds ``cells`` (the cell's path), ``homes`` (the path of the cells that the member belongs
-    to), ``tile`` and ``side``.  Groups that pivots cannot split any more are cut into
-    tiles: pairs of blocks, each compared with the other.
+    to), ``tile`` and ``side``.  A cell whose members lie so close that a split would copy
+    each to ``COPIES`` cells or more, and one that is large after ``SPLITS`` splits, is cut
+    into tiles instead: pairs of blocks, each compared with the other.
     """
+    whole = (F.lit(-1).alias("tile"), F.lit(-1).alias("side"))
     rows = rows.select("g", "key", "n", "place", F.array().cast("array<int>").alias("cells"), F.array().cast("array<int>").alias("homes"))
     parts = []
     for turn in range(SPLITS + 1):
         sizes = rows.groupBy("g", "cells").agg(F.count("*").alias("_k"))
-        big = sizes.where(F.col("_k") > most)
-        if not turn:
-            big = saved(big, "large-groups")
-            if big.isEmpty():
-                parts.append(rows.select(*KEPT, F.lit(-1).alias("tile"), F.lit(-1).alias("side")))
-                break
-        sized = saved(rows.join(sizes, ["g", "cells"]), "sized") if turn else rows.join(F.broadcast(big) if big.count() < 10_000 else big, ["g", "cells"], "left")
-        small = sized.where(F.coalesce("_k", F.lit(0)) <= most).select(*KEPT)
-        parts.append(small.select(*KEPT, F.lit(-1).alias("tile"), F.lit(-1).alias("side")))
-        large = sized.where(F.col("_k") > most)
+        big = saved(sizes.where(F.col("_k") > most), "large-cells")
+        few = big.count()
+        if not few:
+            return _union([*parts, rows.select(*KEPT, *whole)])
+        sized = rows.join(F.broadcast(big) if few < 10_000 else big, ["g", "cells"], "left")
+        parts.append(sized.where("_k is null").select(*KEPT, *whole))
+        large = sized.where("_k is not null")
         if turn == SPLITS:
-            # Blocks by the order of a hash; block i meets block j in tile (i, j), i <= j.
-            blocks = F.ceil(F.col("_k") / F.lit(most // 2)).cast("int")
-            own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-            tiled = large.withColumn("_blocks", blocks).withColumn("_own", own)
-            at = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct((F.least(o, F.col("_own")) * F.col("_blocks") + F.greatest(o, F.col("_own"))).alias("tile"), F.when(o == F.col("_own"), -1).when(F.col("_own") < o, 0).otherwise(1).alias("side")))
-            # A tile of one block compares it with itself; its rows come once.
-            parts.append(tiled.select(*KEPT, F.explode(at).alias("_t")).select(*KEPT, "_t.tile", "_t.side"))
-            break
-        if turn and large.isEmpty():
             break
+        large = saved(large, "large")
         salt = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(PIVOTS))
         picked = large.groupBy("g", "cells", salt.alias("_s")).agg(F.min_by("place", F.xxhash64("key", F.lit(turn + 100))).alias("p"))
         pivots = picked.groupBy("g", "cells").agg(F.array_sort(F.collect_list("p")).alias("pivots"))  # PIVOTS at most
-        spread = large.join(pivots, ["g", "cells"]).select(*KEPT, "pivots")
+        near = large.join(pivots, ["g", "cells"])
+        spread = near.select("n", "place", "g", "cells", "pivots").mapInArrow(_spread(percent), "g long, cells array<int>, times long")
+        dense = saved(spread.groupBy("g", "cells").agg(F.avg("times").alias("_t")).where(F.col("_t") >= COPIES), "dense").select("g", "cells")
+        parts.append(tiled(large.join(dense, ["g", "cells"], "left_semi"), most))
         schema = "g long, key long, n int, place binary, cells array<int>, homes array<int>"
-        rows = saved(spread.mapInArrow(_split(percent), schema), "cells")
+        loose = near.join(dense, ["g", "cells"], "left_anti").select(*KEPT, "pivots")
+        rows = saved(loose.mapInArrow(_split(percent), schema), "cells")
+    return _union([*parts, tiled(large, most)])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
