@@ -34,7 +34,7 @@ def islands(df: DataFrame, group: str, day: str) -> DataFrame:
 
 def window_argmax(df: DataFrame, index: str, size: int, value: str) -> DataFrame:
     """Of each ``size`` rows by a dense index the one of greatest value, ties to the earliest."""
-    return first_of(df.withColumn("_w", F.floor(F.col(index) / size)), ["_w"], [F.desc(value) if False else -F.col(value), F.col(index)]).drop("_w")
+    return first_of(df.withColumn("_w", F.floor(F.col(index) / size)), ["_w"], [-F.col(value), F.col(index)]).drop("_w")
 
 
 def moving_average(df: DataFrame, group: str, order: list[Column], value: Column, radius: int, name: str) -> DataFrame:
