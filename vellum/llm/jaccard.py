@@ -503,14 +503,14 @@ def first_of_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     found = saved(join(docs, words, percent, id_col, text_col).select("doc_id", "component_id", "n_shingles"), "jaccard-found")
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
     # Ids that stand in several rows that stay, each a copy of the other perhaps.
     firsts = found.where("(doc_id <=> component_id) and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
     firsts = saved(firsts, "jaccard-again")
     if firsts.isEmpty():
         return kept
     again = firsts if firsts.count() > BROADCAST else F.broadcast(firsts)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_again"))
+    same = kept[id_col].cast("long").eqNullSafe(again["_again"])
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 

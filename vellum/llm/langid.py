@@ -76,7 +76,7 @@ def grams(codes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         if n > 2:  # no space inside
             good = good[:m] & ~space[n - 2 : n - 2 + m]
         if n in SIZES:
-            at = np.flatnonzero(good[:m] & ~space[:m]) if n == 1 else np.flatnonzero(good[:m])
+            at = np.flatnonzero(good[:m] & ~(space[:m] & space[n - 1 : n - 1 + m]) if n < 3 else good[:m])  # no gram is spaces alone
             x = (h[at] + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
             yield x ^ (x >> np.uint64(29)), doc[at]
 
