@@ -13,9 +13,10 @@ corpus, is encoded where it stands by the same tokenizer (``Encoder.__missing__`
 sending these positions and the texts to a common place would shuffle more than the
 whole input.  No text is cut and no word is left out.
 
-Words are split at ASCII white space on UTF-8 bytes; further white space stays inside
-a word and is dealt with by the tokenizer itself, so results equal those for the text
-as a whole.
+Words are split at ASCII white space on UTF-8 bytes, and between a letter or digit and
+the stops that close a word; further white space stays inside a word and is dealt with
+by the tokenizer itself.  Capitals, which it lowers anyway, are lowered first.  Results
+equal those for the text as a whole.
 
 Defined cases: a null text is empty; the empty text has no ids and decodes to the
 empty string; an id outside the vocabulary decodes to nothing; a null array of ids is
@@ -25,6 +26,7 @@ empty; repeated rows give repeated rows; further columns stay out of the result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,8 +41,8 @@ from vellum.llm.common import broadcast_id, saved
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TABLE = 1 << 18  #: words that are broadcast
-MEMO = 1 << 18  #: rare words that a worker remembers
-FLUSH = 1 << 20  #: distinct words that a counting task holds
+MEMO = 150_000  #: rare words of each of two generations that a worker remembers
+FLUSH = 200_000  #: distinct words that a counting task holds
 ROWS = 256  #: rows of a batch of results
 
 
@@ -56,21 +58,46 @@ def word_ids(tokenizer: Tokenizer, words: list[bytes]) -> list[list[int]]:
     return [e.ids for e in found]
 
 
+_STOPS = re.compile(rb"(?<=[a-z0-9])[.,;:!?]+(?=[ \n]|$)")
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Words that the tokenizer encodes one by one as it does the text.
+
+    A text with the opening of a special token, whose case counts, is split at white space only.
+    """
+    if b"<|" in text:
+        return text.split()
+    return _STOPS.sub(rb" \g<0>", text.lower()).split()
+
+
 class Encoder(dict):
-    """Word to its ids as little-endian unsigned 32-bit numbers."""
+    """Word to its ids as little-endian unsigned 32-bit numbers: the table, and rare words seen of late."""
 
     def __init__(self, vocabulary: str, table: dict[bytes, bytes] | None = None):
         super().__init__(table or {})
-        self.tokenizer, self.room = load(vocabulary), len(self) + MEMO
+        self.tokenizer = load(vocabulary)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(word_ids(self.tokenizer, [word])[0], "<u4").tobytes()
-        if len(self) < self.room and len(word) <= 64:
+        ids = self.new.get(word) or self.old.get(word)
+        if ids is None:
+            ids = np.array(word_ids(self.tokenizer, [word])[0], "<u4").tobytes()
+        elif word in self.new:
+            return ids
+        if len(word) > 64:
+            return ids
+        if len(self) < TABLE:  # no table, or a small one: the words seen first take its place
             self[word] = ids
+            return ids
+        if len(self.new) >= MEMO:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
         return ids
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, split_words(text)))
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -118,10 +145,11 @@ def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             counts.clear()
 
         for b in batches:
-            for t in raw_texts(b.column(0)):
-                counts.update(t.split())
-                if len(counts) > FLUSH:
-                    yield from flushed()
+            for i in range(0, b.num_rows, ROWS):
+                for t in raw_texts(b.column(0).slice(i, ROWS)):
+                    counts.update(split_words(t))
+                    if len(counts) > FLUSH:
+                        yield from flushed()
         yield from flushed()
 
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.llm.bpe import VOCABULARY, encoder, raw_texts
+from vellum.llm.bpe import ROWS, VOCABULARY, encoder, raw_texts
 from vellum.llm.common import partitions, saved
 
 CAPACITY, CLOSE = 4096, 1
@@ -43,7 +43,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, close: int = CLOSE, vocabular
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for b in batches:
+        for b in (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS)):
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for i, t in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
                 ids = own.ids(t) + end
