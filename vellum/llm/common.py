@@ -51,10 +51,10 @@ def saved(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete what ``saved`` wrote for ``df``; nothing may read it any more."""
+def dropped(df: DataFrame, part: str = "") -> None:
+    """Delete what ``saved`` wrote for ``df``, or its subfolder ``part``; nothing may read it any more."""
     spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._vellum_path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{df._vellum_path}/{part}".rstrip("/"))
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

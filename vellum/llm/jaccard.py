@@ -29,7 +29,7 @@ is the component's id only if all its ids are null.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe import raw_texts
-from vellum.llm.common import partitions, saved
+from vellum.llm.common import dropped, partitions, saved
 from vellum.llm.graph import components
 
 WORDS, PERCENT = 3, 90
 WIDTH = 64  #: buckets of a place
-REGION, BLOCK = 4096, 2048  #: members of a region, of a family, that one task joins
+REGION, BLOCK = 32768, 2048  #: members of a region, of a family, that one task joins
 SHINGLES = 2_000_000  #: of the families that one task joins at once
 PIVOTS, SPLITS, COPIES = 16, 3, 3
 BROADCAST = 1_000_000  #: ids that may be broadcast
@@ -119,7 +119,7 @@ def leaves(comp: np.ndarray, of_hash: np.ndarray, counts: np.ndarray, percent: i
 def places(of_hash: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Counts of shingles by hash bucket, a row for each document."""
     at = doc * WIDTH + (mixed(of_hash + _A) >> np.uint64(58)).astype(np.int64)
-    return np.bincount(at, minlength=n * WIDTH).reshape(n, WIDTH).clip(max=65535).astype(np.uint16)
+    return np.bincount(at, minlength=n * WIDTH).reshape(n, WIDTH).clip(max=255).astype(np.uint8)  # cut counts are no further apart
 
 
 def _set_key(s: np.ndarray) -> int:
@@ -204,10 +204,10 @@ def radius(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _reached(part: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(nearest pivot, all pivots whose cells must see the row) of each row."""
-    x = np.frombuffer(b"".join(part.column("place").to_pylist()), np.uint16).reshape(-1, WIDTH).astype(np.int32)
+    x = np.frombuffer(b"".join(part.column("place").to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int32)
     reach = 2 * radius(part.column("n").to_numpy(), percent) + 1e-6
     for i, pivots in enumerate(part.column("pivots").to_pylist()):
-        d = np.abs(np.frombuffer(b"".join(pivots), np.uint16).reshape(-1, WIDTH).astype(np.int32) - x[i]).sum(axis=1)
+        d = np.abs(np.frombuffer(b"".join(pivots), np.uint8).reshape(-1, WIDTH).astype(np.int32) - x[i]).sum(axis=1)
         yield int(d.argmin()), np.flatnonzero(d <= d.min() + reach[i])
 
 
@@ -319,18 +319,18 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def forest(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    left = np.ones(len(adjacent), bool)
+def forest(size: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest; ``linked`` gives those of the nodes left (a mask) that a node is linked with."""
+    left = np.ones(size, bool)
     a, b = [], []
-    for root in range(len(adjacent)):
+    for root in range(size):
         if not left[root]:
             continue
         left[root] = False
         queue = [root]
         while queue:
             i = queue.pop()
-            new = np.flatnonzero(adjacent[i] & left)
+            new = linked(i, left)
             left[new] = False
             a += [i] * len(new)
             b += new.tolist()
@@ -349,17 +349,16 @@ def _may_link(percent: int):
             if t.num_rows < 2:
                 continue
             key, n = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            x = np.frombuffer(b"".join(t["place"].to_pylist()), np.uint16).reshape(-1, WIDTH).astype(np.float32)
-            ok = np.zeros((len(key), len(key)), bool)
-            for i in range(len(key)):
-                could = np.flatnonzero((100 * n >= percent * n[i]) & (percent * n <= 100 * n[i]))
-                d = np.abs(x[could] - x[i]).sum(axis=1)
-                ok[i, could] = d * (100 + percent) <= (n[i] + n[could]) * (100 - percent) + 1e-3
+            x = np.frombuffer(b"".join(t["place"].to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.float32)
             side = t["side"].to_numpy()
-            if side.max() >= 0:
-                ok &= side[:, None] != side[None, :]
-            np.fill_diagonal(ok, False)
-            for i, j in zip(*forest(ok), strict=True):
+            tile = bool(side.max() >= 0)
+
+            def linked(i: int, left: np.ndarray) -> np.ndarray:
+                could = np.flatnonzero(left & (100 * n >= percent * n[i]) & (percent * n <= 100 * n[i]) & (side != side[i] if tile else True))  # noqa: B023
+                d = np.abs(x[could] - x[i]).sum(axis=1)  # noqa: B023
+                return could[d * (100 + percent) <= (n[i] + n[could]) * (100 - percent) + 1e-3]  # noqa: B023
+
+            for i, j in zip(*forest(len(key), linked), strict=True):
                 pair = (int(key[i]), int(key[j]))
                 if pair not in seen:
                     if len(seen) < 500_000:
@@ -419,7 +418,7 @@ def _linked(percent: int):
             np.fill_diagonal(ok, False)
             if side.max() >= 0:
                 ok &= side[:, None] != side[None, :]
-            a, b = forest(ok)
+            a, b = forest(k, lambda i, left: np.flatnonzero(ok[i] & left))  # noqa: B023
             # A pair that meets in several cells counts in the least of its members' homes.
             cells = t["cells"][0].as_py()
             if cells:
@@ -465,6 +464,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
 
     signed = read.where("kind = 1").select("a", "b", "n").repartition(parts, "a").sortWithinPartitions("a", "n", "b")
     shared = saved(signed.mapInArrow(_shared(percent), "g long, key long"), "jaccard-shared")
+    dropped(read, "kind=1")  # the largest part by far, and not read again
     regions = split_large(shared.join(known, "key"), region, percent)
     met = regions.repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(_may_link(percent), "a long, b long")
     families = saved(components(met).select(F.col("node").alias("key"), F.col("label").alias("g")), "jaccard-families")
