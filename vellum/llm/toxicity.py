@@ -33,6 +33,7 @@ BUCKETS, DIM, WIDTH, TOP = 1 << 17, 8, 8, 4
 POSITIVE, NEGATIVE, LONGEST = 2500, 3500, 30_000
 SEEN = 4  #: training texts in which an n-gram must stand to have a vector
 BLOCK = 1 << 20  #: words scored at once
+STEP = 20_000  #: words whose n-grams are worked out at once
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +65,17 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(at)
 
 
+def flat_subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words' n-grams, word after word, and how many each has), worked out in steps to save memory."""
+    buckets, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for i in range(0, len(words), STEP):
+        part = words[i : i + STEP]
+        of, at = subwords(part)
+        buckets.append(at[np.argsort(of, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(of, minlength=len(part)))
+    return np.concatenate(buckets), np.concatenate(counts)
+
+
 class Model:
     """What scoring needs: each bucket's vector already multiplied by the softmax's difference."""
 
@@ -71,9 +83,12 @@ class Model:
         self.gram, self.slope, self.offset = gram.astype(np.float32), slope, offset
 
     def words(self, words: list[str]) -> np.ndarray:
-        of, at = subwords(words)
-        n = np.bincount(of, minlength=len(words))
-        return np.bincount(of, self.gram[at], minlength=len(words)) / np.maximum(1, n)
+        out = [np.zeros(0)]
+        for i in range(0, len(words), STEP):
+            part = words[i : i + STEP]
+            of, at = subwords(part)
+            out.append(np.bincount(of, self.gram[at], minlength=len(part)) / np.maximum(1, np.bincount(of, minlength=len(part))))
+        return np.concatenate(out)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         places = Places()
@@ -138,13 +153,8 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 350, ba
     words += [misspelt(words[i], rng) for i in source]
     twin = np.full(len(words), -1)
     twin[source] = np.arange(len(places), len(words))
-    of, at = subwords(words)
-    first = np.searchsorted(of, np.arange(len(words) + 1)) if (np.diff(of) >= 0).all() else None
-    if first is None:
-        order = np.argsort(of, kind="stable")
-        of, at = of[order], at[order]
-        first = np.searchsorted(of, np.arange(len(words) + 1))
-    count = np.diff(first)
+    at, count = flat_subwords(words)
+    first = np.append(0, np.cumsum(count))
 
     def grams_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = count[w]
