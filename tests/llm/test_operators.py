@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -349,19 +350,33 @@ def test_jaccard_join(spark, docs, rows, nothing, words, percent, region, block)
         assert jaccard.join(nothing, words, percent).count() == 0
 
 
-def test_leaves_keep_every_pair():
-    """Sets at or above the threshold share a leaf, whatever their differences hit."""
+def test_prefixes_keep_every_pair():
+    """Sets at or above the threshold share a shingle of their prefixes, whatever their differences hit and whatever is common."""
     rng = np.random.default_rng(4)
     for percent in (80, 90):
-        for n in (9, 10, 19, 60, 400):
+        for n in (1, 2, 4, 5, 9, 10, 19, 60, 400):
             for _ in range(30):
+                common = rng.integers(0, 3, 1 << jaccard.COUNTERS).astype(np.uint8)
                 a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
                 d = next(d for d in range(n, -1, -1) if 100 * (n - d) >= percent * (n + d))
                 b = np.sort(np.append(rng.permutation(a)[d:], rng.integers(0, 1 << 63, d).astype(np.uint64)))
-                comp = np.concatenate([a >> np.uint64(24), (np.uint64(1) << np.uint64(40)) | (b >> np.uint64(24))])
-                of, sig = jaccard.leaves(comp, np.concatenate([a, b]), np.array([len(a), len(b)]), percent)
-                if n >= jaccard.bounds(percent)[1] and d:
-                    assert set(sig[of == 0]) & set(sig[of == 1])
+                assert set(jaccard.rarest(a, common, percent)) & set(jaccard.rarest(b, common, percent))
+                fewer = a if n == 1 else rng.permutation(a)[: -(-percent * n // 100)]
+                assert set(jaccard.rarest(a, common, percent)) & set(jaccard.rarest(np.sort(fewer), common, percent))
+
+
+def test_regions_over_many_batches(monkeypatch):
+    """A region is whole, under one name, wherever batches end; a step in size that no link spans parts it."""
+    rows = sorted((a, n, b) for a in range(6) for b in range(40 if a == 3 else 3) for n in [100 + b % 2 if b != 2 else 300])
+    columns = [np.array([r[i] for r in rows], np.int64 if i < 2 else np.int32) for i in (0, 2, 1)]
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_pydict({c: x[at : at + size] for c, x in zip("abn", columns, strict=True)}) for at in range(0, len(rows), size)]
+        out = [r for b in jaccard._shared(90)(iter(batches)) for r in b.to_pylist()]
+        regions = collections.defaultdict(set)
+        for r in out:
+            regions[r["g"]].add(r["key"])
+        assert sorted(map(sorted, regions.values())) == sorted([[0, 1], [x for x in range(40) if x != 2]]), size
+        assert len(out) == 41
 
 
 def test_first_of_groups(docs, rows):

@@ -2,10 +2,13 @@
 
 Texts are sets of word shingles under the Jaccard distance, a metric.  Sets of long
 texts are almost all at distance 1 from one another, so regions about whole documents
-would hold everything; the join therefore first halves the shingle universe by hash,
-again and again.  If two sets are within the threshold, so are their parts in one of
-the halves; a part of fewer than 1 / (1 - t) shingles is within it only if it is equal.
-Equal small parts so lead each pair of links to a common *region*, without loss.
+would hold everything; a *region* is therefore what the sets around one rare shingle
+share.  All shingles stand in one order, rare before common: linked sets of n and m
+shingles have so many in common that the first common one is among the first
+n - ceil(t n) + 1 and m - ceil(t m) + 1 of theirs, so every link is found in a region,
+without loss.  How common a shingle is comes from a table of ``COUNTERS`` counts over all
+sets (fixed in size; the order may be any, a good one only keeps regions small, so
+passages that many texts share make no regions of their own).
 
 A document's counts of shingles in ``WIDTH`` hash buckets are its place in a space whose
 L1 distance never exceeds the size of the two sets' difference.  There, regions are
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe import raw_texts
-from vellum.llm.common import dropped, partitions, saved
+from vellum.llm.common import partitions, saved
 from vellum.llm.graph import components
 
 WORDS, PERCENT = 3, 90
 WIDTH = 64  #: buckets of a place
+COUNTERS, BLOCKS = 20, 32  #: binary logarithm of the number of counts (more for larger corpora: a passage stands out if it is in more texts than a count has by chance); rows that carry them
 REGION, BLOCK = 32768, 2048  #: members of a region, of a family, that one task joins
 SHINGLES = 2_000_000  #: of the families that one task joins at once
 PIVOTS, SPLITS, COPIES = 16, 3, 3
@@ -83,37 +88,20 @@ def shingles(text: bytes, hashes: Words, words: int) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def bounds(percent: int) -> tuple[int, int]:
-    """(most members of a union whose parts are linked only if equal; least size from which a part is halved)."""
-    most = next(u for u in range(1, 10_000) if 100 * u >= percent * (u + 1)) if percent < 100 else 1 << 30
-    return most, -(-percent * (most + 1) // 100)
+def prefix(n: int, percent: int) -> int:
+    """How many of a set's n shingles, in the common order, meet one of each linked set's."""
+    return n - -(-percent * n // 100) + 1
 
 
-def leaves(comp: np.ndarray, of_hash: np.ndarray, counts: np.ndarray, percent: int, bits: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) of every small part of each document.
+def counter(of_hash: np.ndarray) -> np.ndarray:
+    """Each shingle's place in the table of counts."""
+    return (mixed(of_hash + _B) >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
-    ``comp``: rising, document number << bits | top bits of a shingle's hash.
-    """
-    most, least = bounds(percent)
-    total = np.append(np.uint64(0), np.cumsum(mixed(of_hash ^ _C)))
-    ends = np.cumsum(counts)
-    doc = np.flatnonzero(counts >= least).astype(np.int64)
-    lo, hi, prefix = ends[doc] - counts[doc], ends[doc], doc.astype(np.uint64) << np.uint64(bits)
-    out_doc, out_sig = [], []
-    for depth in range(bits + 1):
-        size = hi - lo
-        small = (size > 0) & ((size <= most) | (depth == bits))
-        node = mixed((prefix[small] & np.uint64((1 << bits) - 1)) + _times(depth + 1))
-        out_doc.append(doc[small])
-        out_sig.append(mixed(total[hi[small]] - total[lo[small]] + node))
-        split = size >= least
-        if not split.any() or depth == bits:
-            break
-        doc, lo, hi, prefix = doc[split], lo[split], hi[split], prefix[split]
-        upper = prefix | np.uint64(1 << (bits - depth - 1))
-        mid = np.searchsorted(comp, upper)
-        doc, lo, hi, prefix = (np.concatenate(x) for x in ((doc, doc), (lo, mid), (mid, hi), (prefix, upper)))
-    return np.concatenate(out_doc), np.concatenate(out_sig)
+
+def rarest(of_hash: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of one set: the rarest shingles by their class of count, then by hash."""
+    take = prefix(len(of_hash), percent)
+    return of_hash[np.lexsort((of_hash, common[counter(of_hash)]))[:take]]
 
 
 def places(of_hash: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -127,72 +115,157 @@ def _set_key(s: np.ndarray) -> int:
         return int(mixed(np.array([mixed(s).sum(dtype=np.uint64) * _A + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+class Seen(set):
+    """Keys met in this task, up to a fixed number; a key may be new again beyond it."""
+
+    def __init__(self, most: int = 1_000_000):
+        super().__init__()
+        self._most = most
+
+    def new(self, key: int) -> bool:
+        if key in self:
+            return False
+        if len(self) < self._most:
+            self.add(key)
+        return True
+
+
 def _read(words: int, percent: int):
-    """kind 0: (a = doc_id, b = set); 1: (a = signature, b = set); 2: (b = set, place); n: size of the set."""
+    """kind 0: (a = doc_id, b = set); 2: (b = set, place); 3: (a = block of the table, counts); n: size of the set."""
 
     def rows(kind: int, a, b, n, place=None) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(b), kind, np.int32)), "a": a, "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int32()), "place": place if place is not None else pa.nulls(len(b), pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Words(), set()
+        hashes, seen, counts, waiting, held = Words(), Seen(), np.zeros(1 << COUNTERS, np.uint32), [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingles(t, hashes, words) for t in raw_texts(part.column(1))]
                 keys = [_set_key(s) for s in sets]
                 yield rows(0, part.column(0), keys, [len(s) for s in sets])
-                new = []
-                for i, k in enumerate(keys):
-                    if k not in seen and len(sets[i]):
-                        if len(seen) < 1_000_000:
-                            seen.add(k)
-                        new.append(i)
+                new = [i for i, k in enumerate(keys) if len(sets[i]) and seen.new(k)]
                 if not new:
                     continue
-                counts = np.array([len(sets[i]) for i in new])
-                h, doc = np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), counts)
-                own = np.array([keys[i] for i in new], np.int64)
-                table = places(h, doc, len(new))
-                yield rows(2, pa.nulls(len(new), pa.int64()), own, counts, pa.array([p.tobytes() for p in table], pa.binary()))
-                comp = (doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
-                of, sig = leaves(comp, h, counts, percent)
-                yield rows(1, pa.array(sig.view(np.int64)), own[of], counts[of])
+                size = np.array([len(sets[i]) for i in new])
+                h, doc = np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), size)
+                yield rows(2, pa.nulls(len(new), pa.int64()), np.array([keys[i] for i in new], np.int64), size, pa.array([p.tobytes() for p in places(h, doc, len(new))], pa.binary()))
+                waiting.append(counter(h).astype(np.int32))
+                held += len(h)
+                if held > 2_000_000:
+                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+                    waiting, held = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+        if len(seen):
+            blocks = counts.clip(max=65535).astype(np.uint16).reshape(BLOCKS, -1)
+            yield rows(3, pa.array(np.arange(BLOCKS)), np.zeros(BLOCKS, np.int64), np.zeros(BLOCKS, np.int32), pa.array([c.tobytes() for c in blocks], pa.binary()))
+
+    return run
+
+
+def _added(kind: type):
+    """Rows (a, counts) of a task, added up block by block; counts come as ``kind`` and go as uint32, cut there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                new = np.frombuffer(counts.as_buffer(), kind).astype(np.uint64)
+                total[block] = total[block] + new if block in total else new
+        yield pa.RecordBatch.from_pydict({"a": pa.array(list(total), pa.int64()), "counts": pa.array([c.clip(max=(1 << 32) - 1).astype(np.uint32).tobytes() for c in total.values()], pa.binary())})
+
+    return run
+
+
+def how_common(read: DataFrame) -> np.ndarray:
+    """The class (binary logarithm) of each count of the table: 2 ** COUNTERS bytes, whatever the corpus."""
+    schema = "a long, counts binary"
+    blocks = read.where("kind = 3").select("a", F.col("place").alias("counts"))
+    # First where the rows lie, then block by block: a task holds BLOCKS arrays at most.
+    summed = blocks.mapInArrow(_added(np.uint16), schema).repartition(BLOCKS, "a").mapInArrow(_added(np.uint32), schema)
+    out = np.zeros((BLOCKS, (1 << COUNTERS) // BLOCKS), np.uint8)
+    for row in summed.collect():
+        out[row["a"]] = np.frexp(np.frombuffer(row["counts"], np.uint32).astype(np.float64))[1]
+    return out.ravel()
+
+
+def _signed(words: int, percent: int, table):
+    """(a = shingle, b = set, n) for each shingle of each set's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen, common = Words(), Seen(), table.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [s for t in raw_texts(batch.slice(at, 256).column(0)) if len(s := shingles(t, hashes, words))]
+                sets = [(k, s) for s in sets if seen.new(k := _set_key(s))]
+                if not sets:
+                    continue
+                first = [rarest(s, common, percent) for _, s in sets]
+                times = [len(f) for f in first]
+                key, n = np.array([k for k, _ in sets], np.int64), np.array([len(s) for _, s in sets], np.int32)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(first).view(np.int64)), "b": pa.array(np.repeat(key, times)), "n": pa.array(np.repeat(n, times))})
 
     return run
 
 
+def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        if batch.num_rows:
+            yield [c.to_numpy() for c in batch.columns]
+
+
 def _shared(percent: int):
-    """Of rows (a, b, n) sorted so: those with another set under the same signature whose size allows a link."""
+    """Of rows (a, b, n) sorted so: those with another set about the same shingle whose size allows a link.
 
-    def kept(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    A region ``g`` is known by its members, so that regions of the same members are one.
+    """
+
+    def kept(seen: Seen, a: np.ndarray, b: np.ndarray, n: np.ndarray, whole: bool) -> pa.RecordBatch:
         first = np.ones(len(a), bool)
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, b, n = a[first], b[first], n[first]
-        near = (a[1:] == a[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+        a, b, n = a[first], b[first], n[first].astype(np.int64)
+        near = (a[1:] == a[:-1]) & (100 * n[:-1] >= percent * n[1:])
         keep = np.zeros(len(a), bool)
         keep[1:] |= near
         keep[:-1] |= near
-        return pa.RecordBatch.from_pydict({"g": a[keep], "key": b[keep]})
+        begins = np.append(True, ~near)[keep]  # a step in size that no link spans parts a region
+        a, b = a[keep], b[keep]
+        if whole and len(a):
+            start = np.flatnonzero(begins)
+            size = np.diff(np.append(start, len(a)))
+            with np.errstate(over="ignore"):
+                region = mixed(np.add.reduceat(mixed(b.view(np.uint64)), start) * _A + size.astype(np.uint64)).view(np.int64)
+            new = np.repeat([seen.new(r) for r in region.tolist()], size)
+            a, b = np.repeat(region, size)[new], b[new]
+        return pa.RecordBatch.from_pydict({"g": pa.array(a, pa.int64()), "key": pa.array(b, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows wait for their neighbours; of a signature that fills batch after batch the last row is enough.
+        # Rows wait for their neighbours; of a shingle that fills batch after batch the last
+        # row is enough, and its region goes by the shingle's name.
+        seen, cut = Seen(), None
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
-        for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(3)]
-            if not len(new[0]):
+        for batch in chain(arrays(batches), [None]):
+            if batch is not None:
+                held = [np.concatenate(x) for x in zip(held, batch, strict=True)]
+            a, b, n = held
+            if not len(a):
                 continue
-            a, b, n = (np.concatenate(x) for x in zip(held, new, strict=True))
-            start = int(np.searchsorted(-(a != a[-1]).astype(np.int8), 0))  # where the last signature begins
-            if start:
-                yield kept(a[:start], b[:start], n[:start])
-                held = [a[start:], b[start:], n[start:]]
-            elif len(a) > 1_000_000:
-                yield kept(a, b, n)
-                held = [a[-1:], b[-1:], n[-1:]]
-            else:
-                held = [a, b, n]
-        if len(held[0]):
-            yield kept(*held)
+            if cut is not None and (batch is None or a[0] == cut):
+                end = int(np.searchsorted(-(a == cut).astype(np.int8), 0))
+                yield kept(seen, a[:end], b[:end], n[:end], False)
+                if end == len(a):
+                    held = [x[-1:] for x in held]
+                    continue
+                a, b, n = a[end:], b[end:], n[end:]
+            cut = None
+            last = len(a) if batch is None else int(np.searchsorted(-(a != a[-1]).astype(np.int8), 0))
+            if last:
+                yield kept(seen, a[:last], b[:last], n[:last], True)
+            held = [a[last:], b[last:], n[last:]]
+            if len(held[0]) > 1_000_000:
+                yield kept(seen, *held, False)
+                cut, held = held[0][-1], [x[-1:] for x in held]
 
     return run
 
@@ -330,6 +403,8 @@ def forest(size: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[
         queue = [root]
         while queue:
             i = queue.pop()
+            if not left.any():
+                break
             new = linked(i, left)
             left[new] = False
             a += [i] * len(new)
@@ -462,9 +537,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     known = read.where("kind = 2").groupBy(F.col("b").alias("key")).agg(F.first("n").alias("n"), F.first("place").alias("place"))
 
-    signed = read.where("kind = 1").select("a", "b", "n").repartition(parts, "a").sortWithinPartitions("a", "n", "b")
-    shared = saved(signed.mapInArrow(_shared(percent), "g long, key long"), "jaccard-shared")
-    dropped(read, "kind=1")  # the largest part by far, and not read again
+    table = spark.sparkContext.broadcast(how_common(read))
+    signed = texts.select("_text").mapInArrow(_signed(words, percent, table), "a long, b long, n int").repartition(parts, "a").sortWithinPartitions("a", "n", "b")
+    shared = saved(signed.mapInArrow(_shared(percent), "g long, key long").distinct(), "jaccard-shared")
     regions = split_large(shared.join(known, "key"), region, percent)
     met = regions.repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(_may_link(percent), "a long, b long")
     families = saved(components(met).select(F.col("node").alias("key"), F.col("label").alias("g")), "jaccard-families")
