@@ -45,10 +45,10 @@ from vellum.llm.common import partitions, saved
 from vellum.llm.graph import components
 
 WORDS, PERCENT = 3, 90
-WIDTH = 64  #: buckets of a place
+WIDTH = 512  #: buckets of a place; at a similarity of 0.8 they tell sets of up to some 25 WIDTH shingles apart
 COUNTERS, BLOCKS = 20, 32  #: binary logarithm of the number of counts (more for larger corpora: a passage stands out if it is in more texts than a count has by chance); rows that carry them
-REGION, BLOCK = 32768, 2048  #: members of a region, of a family, that one task joins
-SHINGLES = 2_000_000  #: of the families that one task joins at once
+REGION, BLOCK = 16384, 2048  #: members of a region, of a family, that one task joins
+SHINGLES = 4_000_000  #: of the families that one task joins at once
 PIVOTS, SPLITS, COPIES = 16, 3, 3
 BROADCAST = 1_000_000  #: ids that may be broadcast
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -106,7 +106,7 @@ def rarest(of_hash: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
 
 def places(of_hash: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Counts of shingles by hash bucket, a row for each document."""
-    at = doc * WIDTH + (mixed(of_hash + _A) >> np.uint64(58)).astype(np.int64)
+    at = doc * WIDTH + (mixed(of_hash + _A) >> np.uint64(65 - WIDTH.bit_length())).astype(np.int64)
     return np.bincount(at, minlength=n * WIDTH).reshape(n, WIDTH).clip(max=255).astype(np.uint8)  # cut counts are no further apart
 
 
@@ -424,7 +424,7 @@ def _may_link(percent: int):
             if t.num_rows < 2:
                 continue
             key, n = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            x = np.frombuffer(b"".join(t["place"].to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.float32)
+            x = np.frombuffer(b"".join(t["place"].to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int16)
             side = t["side"].to_numpy()
             tile = bool(side.max() >= 0)
 
@@ -482,9 +482,11 @@ def _linked(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, CELL):
-            k = t.num_rows
+            _, once = np.unique(t["key"].to_numpy(), return_index=True)  # a row that stands twice gave its set twice
+            k = len(once)
             if k < 2:
                 continue
+            t = t.take(pa.array(once)) if k < t.num_rows else t
             key, copies, side = t["key"].to_numpy(), t["copies"].to_numpy(), t["side"].to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
@@ -545,15 +547,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     families = saved(components(met).select(F.col("node").alias("key"), F.col("label").alias("g")), "jaccard-families")
 
     members = saved(families.join(known, "key").join(classes, "key"), "jaccard-members")
-    wanted = members.select("key", "first")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    sets = texts.join(few, F.col("_id").eqNullSafe(F.col("first"))).select("key", "_text").mapInArrow(_with_sets(words), "key long, shingles binary")
-    sets = saved(sets.dropDuplicates(["key"]), "jaccard-sets")
     # A family of long sets is split sooner, so that a task's shingles are bounded.
     mean = members.groupBy("g").agg(F.sum("n").alias("_all"), F.count("*").alias("_k")).where(F.col("_all") > SHINGLES).agg(F.max(F.col("_all") / F.col("_k"))).first()[0]
     size = block if mean is None else max(16, min(block, int(SHINGLES / mean)))
     cells = split_large(members.select("g", "key", "n", "place"), size, percent).drop("place", "n")
-    joined = cells.join(sets, "key").join(classes.select("key", "copies"), "key")
+    cells = saved(cells.join(members.select("key", "copies"), "key"), "jaccard-cells")
+    # Sets are read from their texts once more and go straight to their cells: nothing else holds them.
+    few = F.broadcast if cells.count() <= BROADCAST // 4 else lambda df: df
+    wanted = few(members.select("key", "first"))
+    sets = texts.join(wanted, F.col("_id").eqNullSafe(F.col("first"))).select("key", "_text").mapInArrow(_with_sets(words), "key long, shingles binary")
+    joined = sets.join(few(cells), "key")
     found = saved(joined.repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(_linked(percent), "a long, b long, links long"), "jaccard-links")
 
     labels = saved(components(found.where("b is not null").select("a", "b")), "jaccard-labels")
