@@ -177,6 +177,40 @@ def test_resolution(spark):
     assert resolve.records(df.limit(0)).count() == 0
 
 
+def brute_clusters(rows):
+    """Least key of each reading's cluster, from all pairs of readings of one source in different frames."""
+    parent, frames = {r[1]: r[1] for r in rows}, {r[1]: {r[2]} for r in rows}
+
+    def root(k):
+        return k if parent[k] == k else root(parent[k])
+
+    def like(a, b):
+        return 1.0 if a == b else max(text._ratio(a, b), text.token_set_ratio(a, b))
+
+    pairs = []
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and x[3] and y[3] and (s := like(x[3], y[3])) >= resolve.SAME_TITLE:
+                pairs.append((x[3] != y[3], -s, x[1], y[1]))
+    for _, _, a, b in sorted(pairs):
+        a, b = sorted((root(a), root(b)))
+        if a != b and not frames[a] & frames[b]:
+            parent[b] = a
+            frames[a] |= frames.pop(b)
+    return {k: root(k) for k in parent}
+
+
+def test_resolution_over_all_frames(spark):
+    """Titles that come back after any number of frames, several times in a frame or misspelt, of one large source and others."""
+    rng = random.Random(11)
+    names = ["green river stone", "green river stome", "greem river stone", "walking tall alone", "alone walking tall", "winter garden", "winter gardem", "other thing here", ""]
+    order = rng.sample(range(1000), 160)
+    rows = [(1 if i < 100 else rng.randint(2, 4), k, rng.randrange(0, 400, 8), rng.choice(names), 0.9) for i, k in enumerate(order)]
+    assert any(abs(a[2] - b[2]) > 3 and a[3] == b[3] for a in rows for b in rows)
+    df = spark.createDataFrame(rows, "source long, key long, frame long, title string, confidence double")
+    assert {r.key: r.cluster for r in resolve.clusters(df).collect()} == brute_clusters(rows)
+
+
 def test_limiter_and_its_stream(spark, tmp_path):
     rng = random.Random(4)
     rows = sorted((rng.randrange(4), i, float(rng.randrange(3000))) for i in range(300))
