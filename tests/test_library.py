@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,21 @@ def test_resolution_over_all_frames(spark):
     assert {r.key: r.cluster for r in resolve.clusters(df).collect()} == brute_clusters(rows)
 
 
+def test_resolution_spreads_one_source(spark, monkeypatch):
+    """One source's readings meet in Python by component alone; titles without a similar one do not come there."""
+    rows = [(1, k, k, t, 0.9) for k, t in enumerate(["green river stone", "green river stome", "winter gardens", "winter gardems", "quite alone"] * 3)]
+    df = spark.createDataFrame(rows, "source long, key long, frame long, title string, confidence double")
+
+    def few(keys, found):
+        assert 0 < len(keys) <= 2, "more than one component"
+        return pd.DataFrame({"key": keys["key"], "cluster": keys["key"].min()})
+
+    monkeypatch.setattr(resolve, "_merged", few)
+    assert {r.key: r.cluster for r in resolve.clusters(df).collect()} == brute_clusters(rows)
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {tuple(r) for r in resolve.components(path).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
 def test_limiter_and_its_stream(spark, tmp_path):
     rng = random.Random(4)
     rows = sorted((rng.randrange(4), i, float(rng.randrange(3000))) for i in range(300))
