@@ -112,6 +112,32 @@ def test_greedy(spark):
     assert {tuple(r) for r in joins.greedy_one_to_one(spark.createDataFrame(pairs, "a long, b long, s double"), "a", "b", "s").collect()} == want
 
 
+def brute_greedy(pairs):
+    left, right, want = set(), set(), set()
+    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            want.add((a, b, s))
+    return want
+
+
+@pytest.mark.parametrize(("last", "n"), [(0, 60), (10**6, 60)])
+def test_greedy_takes_all_ties(spark, monkeypatch, last, n):
+    """More equal scores than there were rounds, and ties that make no whole block."""
+    monkeypatch.setattr(joins, "LAST", last)
+    rng = random.Random(3)
+    pairs = [(a, b, 1.0) for a in range(n) for b in range(n + 5)]
+    pairs += [(100 + a, 200 + b, rng.choice([0.5, 0.5, 2.0])) for a in range(12) for b in range(9) if rng.random() < 0.4]
+    df = spark.createDataFrame(rng.sample(pairs, len(pairs)), "a long, b long, s double")
+    assert {tuple(r) for r in joins.greedy_one_to_one(df, "a", "b", "s").collect()} == brute_greedy(pairs)
+
+
+def test_greedy_chain_of_falling_scores(spark):
+    pairs = [(i // 2 + i % 2, i // 2, 200.0 - i) for i in range(150)]
+    assert {tuple(r) for r in joins.greedy_one_to_one(spark.createDataFrame(pairs, "a long, b long, s double"), "a", "b", "s").collect()} == brute_greedy(pairs)
+
+
 def test_trigram_candidates_are_complete(spark):
     rng = random.Random(3)
     titles = list({" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 3))) for _ in range(80)})
