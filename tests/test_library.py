@@ -138,6 +138,31 @@ def test_greedy_chain_of_falling_scores(spark):
     assert {tuple(r) for r in joins.greedy_one_to_one(spark.createDataFrame(pairs, "a long, b long, s double"), "a", "b", "s").collect()} == brute_greedy(pairs)
 
 
+@pytest.mark.parametrize("last", [0, 10**6])
+def test_nearest_is_the_greedy_walk_over_all_pairs(spark, monkeypatch, last):
+    """Groups of either side's majority, repeated values, values as near on both sides, rows without group or value."""
+    monkeypatch.setattr(joins, "LAST", last)
+    rng = random.Random(8)
+    rows = lambda n, g, top: [(g, rng.randrange(top), k) for k in rng.sample(range(10 * n), n)]
+    sides = []
+    for sizes in (((30, 1, 20), (12, 2, 200), (3, 3, 9)), ((25, 1, 30), (40, 2, 200), (4, 4, 9))):
+        own = [r for n, g, top in sizes for r in rows(n, g, top)]
+        sides.append([(g, v, 1000 * g + k) for g, v, k in own] + [(None, 5, 90000), (1, None, 90001)])
+    sides[0] += [(5, 7, 6000 + i) for i in range(5)]
+    sides[1] += [(5, 9, 6000 + i) for i in range(3)] + [(5, 4, 6010 + i) for i in range(60)]
+    want = {(a, b) for a, b, _ in brute_greedy([(k, j, -abs(v - w)) for g, v, k in sides[0] for h, w, j in sides[1] if g is not None and g == h and v is not None and w is not None])}
+    left, right = (spark.createDataFrame(x, "g long, v long, k long") for x in sides)
+    assert {tuple(r) for r in joins.nearest_one_to_one(left, right).collect()} == want
+
+
+def test_assignment_takes_all_customers(spark):
+    from vellum.plans import browse
+
+    s, c = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("supplier", "customer"))
+    pairs = s.join(c, s.s_nationkey == c.c_nationkey).select("s_suppkey", "c_custkey", F.round(F.abs(s.s_acctbal - c.c_acctbal), 2)).collect()
+    assert {tuple(r) for r in browse.greedy_assignment(spark, "/root/testdata/sf0.001").collect()} == brute_greedy([(a, b, -d) for a, b, d in pairs])
+
+
 def test_trigram_candidates_are_complete(spark):
     rng = random.Random(3)
     titles = list({" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 3))) for _ in range(80)})

@@ -133,11 +133,13 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and customers of a nation, matched one to one by nearness of balance."""
+    """Suppliers and customers of a nation, matched one to one by nearness of balance (in cents)."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey", "c_acctbal")
-    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).withColumn("score", -F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2))
-    return joins.greedy_one_to_one(pairs, "s_suppkey", "c_custkey", "score")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    cents = lambda b: F.round(F.col(b) * 100).cast("long")
+    found = joins.nearest_one_to_one(s.toDF("k", "g", "b").select("k", "g", cents("b").alias("v")), c.toDF("k", "g", "b").select("k", "g", cents("b").alias("v")))
+    pairs = found.join(s, F.col("l") == F.col("s_suppkey")).join(c, F.col("r") == F.col("c_custkey"))
+    return pairs.select("s_suppkey", "c_custkey", (-F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2)).alias("score"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders),
