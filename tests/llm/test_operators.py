@@ -294,6 +294,22 @@ def test_resharding_evens_out(spark):
     assert totals.max() - totals.min() < 2 * 1216
 
 
+def test_rewritten_files_hold_the_plan(spark, docs, rows, tmp_path):
+    """Every row of a changed shard stands once in its files, null and repeated ids too; a shard is cut into ranges of slots."""
+    more = [(None, f"no id {i % 7}", "en", "s", i) for i in range(300)] + [(7, f"same id {i % 5}", "de", "s", i) for i in range(200)]
+    df = spark.createDataFrame(rows + more, SCHEMA).coalesce(3)
+    plan = sharding.saved(sharding.reshard(sharding.saved(sharding.sized(df), "test-sizes"), 6), "test-plan")
+    touched = {r.shard for r in sharding.rewrite_affected(df, plan, str(tmp_path / "out")).collect()}
+    want = plan.collect()
+    assert touched == {x for r in want if r.shard != r.old_shard for x in (r.shard, r.old_shard)}
+    found = spark.read.parquet(str(tmp_path / "out"))
+    got = [(r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in found.collect()]
+    assert collections.Counter(got) == collections.Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in want if r.shard in touched)
+    if len(touched) == 6:
+        assert collections.Counter(tuple(r)[:5] for r in found.select(*df.columns).collect()) == collections.Counter(rows + more)
+    assert max(len(list(d.glob("*.parquet"))) for d in (tmp_path / "out").glob("shard=*")) > 1
+
+
 def test_flow_moves_least():
     flow = sharding.min_cost_flow([5, 0, 7], [0, 8, 4], [[9, 1, 3], [9, 9, 9], [9, 4, 1]])
     assert [sum(r) for r in flow] == [5, 0, 7] and [sum(c) for c in zip(*flow, strict=True)] == [0, 8, 4]

@@ -176,12 +176,27 @@ def reshard(
     return numbered(placed, "shard", max(16, partitions(spark)), "slot")
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Write the rows of those shards alone that lose or gain documents; return their numbers."""
+def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the rows of those shards alone that lose or gain documents, by shard and slot; return their numbers.
+
+    Every row of ``docs`` takes one row of the plan: equal ids (null ones too), sizes and crcs meet
+    by their number among such rows.  A shard may be written by many tasks, each a range of its slots.
+    """
     moved = plan.where("shard != old_shard")
-    touched = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    hit = plan.join(F.broadcast(touched), "shard", "left_semi").select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(hit, id_col).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    touched = saved(moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct(), "sharding-touched")
+    keys = ["_id", "_size", "_crc"]
+    # Equal rows may be exchanged; an order by all that can be hashed gives a second run of a task the same numbers.
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size, crc = (F.octet_length(text) + OVERHEAD).cast("long"), F.crc32(F.encode(text, "UTF-8"))
+    rows = docs.select("*", F.col(id_col).alias("_id"), size.alias("_size"), crc.alias("_crc"), F.xxhash64(*hashed).alias("_hash"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))).drop("_hash")
+    places = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    places = places.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("shard", "slot")))
+    hit = places.join(F.broadcast(touched), "shard", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in (*keys, "_n")], "shard", "slot")
+    same = F.col("_id").eqNullSafe(F.col("__id")) & (F.col("_size") == F.col("__size")) & (F.col("_crc") == F.col("__crc")) & (F.col("_n") == F.col("__n"))
+    found = rows.join(hit, same).select(*docs.columns, "shard", "slot")
+    found.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return touched
 
 
