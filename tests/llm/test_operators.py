@@ -271,6 +271,39 @@ def test_line_dedup(docs, rows, nothing, broadcast, monkeypatch):
     assert linededup.op8(nothing).count() == 0
 
 
+def brute_all_runs(rows, least):
+    """As brute_runs, beside every earlier place of a run and not the first alone; rows of different ids."""
+    seen, gone = collections.defaultdict(list), collections.defaultdict(set)
+    for i, t in sorted(rows):
+        own = [(k, x) for k, x in enumerate(t.split("\n")) if x]
+        size = [len(x.split()) for _, x in own]
+        for a in range(len(own)):
+            b = next((b for b in range(a + 1, len(own) + 1) if sum(size[a:b]) >= least), None)
+            if b is None:
+                break
+            key = tuple(x for _, x in own[a:b])
+            for other, f in seen[key]:
+                e, held = b, 0
+                while e < len(own) and f < len(other) and own[e][1] == other[f][1] and held + size[e] < least:
+                    held += size[e]
+                    e, f = e + 1, f + 1
+                gone[i] |= {k for k, _ in own[a:e]}
+            seen[key].append((own, b))
+    return gone
+
+
+def test_line_runs_grow_in_any_earlier_place(spark):
+    """A common opening with many ways to go on, each of them in several documents."""
+    rng = random.Random(9)
+    start = " ".join(f"open{i}" for i in range(32))
+    rows = [(i, "\n".join([start, *[rng.choice(["aa bb cc", "dd ee", "ff", "gg hh ii jj"]) for _ in range(rng.randint(0, 5))], *([start] if i % 9 == 0 else [])])) for i in range(60)]
+    rows += [(100, f"{start}\nfirst"), (101, f"{start}\nsecond one\nthird"), (102, f"{start}\nsecond one\nthird\nown")]
+    gone = brute_all_runs(rows, linededup.MIN_WORDS)
+    assert gone[102] == {0, 1, 2}
+    out = linededup.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: set(r.deleted) for r in out} == {i: gone[i] for i, _ in rows}
+
+
 def test_line_runs_grow_right(spark):
     run = [" ".join(f"w{i}{j}" for j in range(20)) for i in range(5)] + ["short end", "other end"]
     rows = [(1, "\n".join(["first one", *run])), (2, "\n".join(["zwei", *run, "last"])), (3, "\n".join(run[:6]))]

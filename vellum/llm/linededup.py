@@ -8,7 +8,8 @@ window, and so its fingerprint.  Fingerprints that stand in one place only are d
 with their windows; what is left is joined by position: the windows with the same lines
 find their first place in the corpus.  Matches grow both ways: to the left because each
 line of a run opens a window of its own, to the right by comparing the lines that follow
-in both places.  Lines of later places are deleted, those of the first stay.
+in both places, and, where these part, by finding the first place of the run with each number
+of the lines that follow.  Lines of later places are deleted, those of the first stay.
 
 Order of the corpus: doc_id (null first), then a hash of the text, then the line.
 
@@ -112,11 +113,21 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     first = again.groupBy("run").agg(F.min(F.struct("doc", "row", "line", "tail")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = F.zip_with("tail", "first.tail", lambda a, b: F.coalesce(a == b, F.lit(False)))
     stop = F.array_position(same, False).cast("int")
-    return (
+    end = F.col("line") + F.col("size")
+    later = (
         again.join(first, "run")
         .where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))))
-        .select("doc", "row", "line", (F.col("line") + F.col("size") + F.when(stop > 0, stop - 1).otherwise(F.size(same))).alias("end"))
+        .select("doc", "row", "line", "run", (end + F.when(stop > 0, stop - 1).otherwise(F.size(same))).alias("end"), (stop > 0).alias("parts"))
     )
+    later = saved(later, "line-later")
+    # Where the first place goes on otherwise, any other earlier one may go on alike: first places of each prefix of the tail.
+    parted = saved(later.where("parts").select("run").distinct(), "line-parted")
+    prefix = again.join(parted, "run", "left_semi").where(F.size("tail") > 0).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("tail"))))
+    prefix = prefix.select("doc", "row", "line", "size", "k", F.xxhash64("run", "k", F.slice("tail", F.lit(1), F.col("k"))).alias("key"))
+    one = F.struct("doc", "row", "line")
+    ahead = prefix.groupBy("key").agg(F.min(one).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    longer = prefix.join(ahead, "key").where(~one.eqNullSafe(F.col("first"))).groupBy("doc", "row", "line").agg(F.max(end + F.col("k")).alias("end"))
+    return later.select("doc", "row", "line", "end").unionByName(longer)
 
 
 def without(text: str, cuts) -> tuple[str, list[int]]:
