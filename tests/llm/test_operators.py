@@ -153,9 +153,9 @@ def test_one_length_for_all():
     assert sum(t for _, t in packing.layout(histogram)) == 250_001
 
 
-@pytest.mark.parametrize("size", [8, bpe.TABLE])
-def test_bpe(docs, rows, nothing, size):
-    """With a table that leaves most words to the rare path, and with the production one."""
+@pytest.mark.parametrize("distinct", [8, bpe.DISTINCT])
+def test_bpe(docs, rows, nothing, distinct):
+    """With blocks of a few texts, and with production ones."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -164,10 +164,29 @@ def test_bpe(docs, rows, nothing, size):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         decoded = tokenizer.decode(ids, skip_special_tokens=False)
         expected[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] += 1
-    assert collections.Counter(map(tuple, bpe.op4(docs, size=size).collect())) == expected
+    assert collections.Counter(map(tuple, bpe.op4(docs, distinct=distinct).collect())) == expected
     assert bpe.op4(nothing).count() == 0
 
 
+def test_words_are_encoded_as_the_text_is():
+    """Every ASCII character before every combining mark, alone and inside a word; numbers beyond two bytes."""
+    tokenizer = bpe.load(bpe.VOCABULARY)
+    marks = [chr(c) for c in range(0x300, 0x370)] + ["\u0591", "\u1dc4", "\u20d2", "\u3099", "\ufe20"]
+    texts = [f"{chr(a)}{m} x{chr(a)}{m}y. {chr(a)} {m}" for a in range(32, 127) for m in marks]
+    words = [bpe.split_words(t.encode()) for t in texts]
+    every = sorted({w for row in words for w in row})
+    ids = dict(zip(every, bpe.word_ids(tokenizer, every), strict=True))
+    assert [[i for w in row for i in ids[w]] for row in words] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_beyond_two_bytes(spark):
+    text = " ".join(f"w{i}" for i in range(70_000)) + " w69999 w0"
+    df = spark.createDataFrame([(1, text), (2, "w5 w69998")], "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r.ids for r in bpe.encode(df, ["doc_id"]).collect()}
+    tokenizer = bpe.load(bpe.VOCABULARY)
+    assert out == {1: tokenizer.encode(text, add_special_tokens=False).ids, 2: tokenizer.encode("w5 w69998", add_special_tokens=False).ids}
+
+
 def test_decode_of_odd_ids(spark):
     df = spark.createDataFrame([(1, [320, -1, 99_999_999]), (2, None), (3, [])], "doc_id long, ids array<int>")
     piece = Tokenizer.from_file(bpe.VOCABULARY).id_to_token(320)

@@ -1,34 +1,43 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Between white space a tokenizer of the word kind never merges, so a text's ids are
-the ids of its words one after another.  Words are split and counted in Spark, and
-each distinct word of the table is encoded once; the table is joined back to every
-word position of the texts.  Decoding joins ids with the id-to-piece table of the
-vocabulary.
-
-Skew and scale: word use is steep, so the table keeps the ``TABLE`` words used most
-(a fixed number, 95 % of the positions or so) and is small enough to be broadcast, and
-the join moves no text.  The rare rest, of which most stand once or twice in the
-corpus, is encoded where it stands by the same tokenizer (``Encoder.__missing__``):
-sending these positions and the texts to a common place would shuffle more than the
-whole input.  No text is cut and no word is left out.
-
-Words are split at ASCII white space on UTF-8 bytes, and between a letter or digit and
-the stops that close a word; further white space stays inside a word and is dealt with
-by the tokenizer itself.  Capitals, which it lowers anyway, are lowered first.  Results
-equal those for the text as a whole.
+Between white space a tokenizer of the word kind never merges, so a text's ids are the
+ids of its words one after another.  Texts are split into words in Spark; each distinct
+word of the corpus is encoded once, and its ids are joined back to every position where
+the word stands.  Decoding joins ids with the vocabulary's id-to-piece table.
+
+How positions are joined: a task reads its rows in *blocks* (``DISTINCT`` distinct words or
+``POSITIONS`` positions, whole texts).  In a block a word has a number, and a text is the
+list of its words' numbers.  The words of a block go, with their numbers, to the bucket
+that their hash names; there a word from all blocks is encoded once, and (block, number,
+ids) goes back.  The texts' numbers meet the ids by block.  So what is shuffled is a block's
+distinct words and two bytes a position; texts are read twice and never move.
+
+Skew: a word comes once from each block however often it stands, so no word is hot beyond
+the number of blocks; blocks are bounded (but for a single text beyond the bound).  Nothing is
+broadcast but the vocabulary, and the driver receives nothing.
+
+Rows must come in the same order when they are read again, as files give them: a block is
+known by a hash of its texts.  Save what comes out of a shuffle first; a block whose words
+are not found raises an error and never gives a wrong row.
+
+Words are split at ASCII white space on UTF-8 bytes, and between a letter or digit and the
+stops that close a word; further white space stays inside a word and is dealt with by the
+tokenizer itself.  Capitals are lowered first in words of ASCII alone, where no mark can
+follow that the tokenizer would compose with a capital before it lowers.  Results equal
+those for the text as a whole.
 
 Defined cases: a null text is empty; the empty text has no ids and decodes to the
 empty string; an id outside the vocabulary decodes to nothing; a null array of ids is
-empty; repeated rows give repeated rows; further columns stay out of the result.
+empty; repeated rows give repeated rows; further columns stay out of the result; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +46,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vellum.llm.common import broadcast_id, saved
+from vellum.llm.common import partitions
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-TABLE = 1 << 18  #: words that are broadcast
-MEMO = 150_000  #: rare words of each of two generations that a worker remembers
-FLUSH = 200_000  #: distinct words that a counting task holds
+DISTINCT, POSITIONS = 200_000, 2_000_000  #: of a block
 ROWS = 256  #: rows of a batch of results
+WIDE = 65535  #: numbers from here on are written apart
 
 
 def load(vocabulary: str) -> Tokenizer:
@@ -58,7 +66,7 @@ def word_ids(tokenizer: Tokenizer, words: list[bytes]) -> list[list[int]]:
     return [e.ids for e in found]
 
 
-_STOPS = re.compile(rb"(?<=[a-z0-9])[.,;:!?]+(?=[ \n]|$)")
+_STOPS = re.compile(rb"(?<=[A-Za-z0-9])[.,;:!?]+(?=[ \n]|$)")
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -68,52 +76,9 @@ def split_words(text: bytes) -> list[bytes]:
     """
     if b"<|" in text:
         return text.split()
-    return _STOPS.sub(rb" \g<0>", text.lower()).split()
-
-
-class Encoder(dict):
-    """Word to its ids as little-endian unsigned 32-bit numbers: the table, and rare words seen of late."""
-
-    def __init__(self, vocabulary: str, table: dict[bytes, bytes] | None = None):
-        super().__init__(table or {})
-        self.tokenizer = load(vocabulary)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.new.get(word) or self.old.get(word)
-        if ids is None:
-            ids = np.array(word_ids(self.tokenizer, [word])[0], "<u4").tobytes()
-        elif word in self.new:
-            return ids
-        if len(word) > 64:
-            return ids
-        if len(self) < TABLE:  # no table, or a small one: the words seen first take its place
-            self[word] = ids
-            return ids
-        if len(self.new) >= MEMO:
-            self.old, self.new = self.new, {}
-        self.new[word] = ids
-        return ids
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, split_words(text)))
-
-
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
-def encoder(vocabulary: str, held=None) -> Encoder:
-    """The worker's encoder for a broadcast table (or for none), made once."""
-    key = (vocabulary, held.id if held is not None else -1)
-    if key not in _encoders:
-        _encoders.clear()
-        table = None
-        if held is not None:
-            words, ids = held.value
-            table = dict(zip(words.to_pylist(), ids.to_pylist(), strict=True))
-        _encoders[key] = Encoder(vocabulary, table)
-    return _encoders[key]
+    if text.isascii():
+        return _STOPS.sub(rb" \g<0>", text.lower()).split()
+    return [w.lower() if w.isascii() else w for w in _STOPS.sub(rb" \g<0>", text).split()]
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -121,131 +86,230 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-class _Held:
-    """A broadcast with its number, which stays the same in the worker."""
+class Numbers(dict):
+    """A word's number in its block, in the order of first sight."""
 
-    def __init__(self, broadcast):
-        self._broadcast, self.id = broadcast, broadcast_id(broadcast)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    @property
-    def value(self):
-        return self._broadcast.value
 
+def blocks(batches: Iterator[pa.RecordBatch], distinct: int) -> Iterator[tuple[bytes, Numbers, list[pa.RecordBatch], list[np.ndarray]]]:
+    """(hash, words, rows, each row's word numbers) of each block; the text is the last column."""
+    mark, words, rows, numbers, held = hashlib.blake2b(digest_size=16), Numbers(), [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            begin = 0
+            for i, text in enumerate(raw_texts(part.column(part.num_columns - 1)), 1):
+                found = split_words(text)
+                mark.update(b"%d " % len(text))
+                mark.update(text)
+                numbers.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                held += len(found)
+                if len(words) >= distinct or held >= POSITIONS:
+                    yield mark.digest(), words, [*rows, part.slice(begin, i - begin)], numbers
+                    mark, words, rows, numbers, held, begin = hashlib.blake2b(digest_size=16), Numbers(), [], [], 0, i
+            if begin < part.num_rows:
+                rows.append(part.slice(begin))
+    if rows:
+        yield mark.digest(), words, rows, numbers
 
-def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): every distinct word and in how many places it stands."""
+
+def _words(buckets: int, distinct: int):
+    """(bucket, block, a = numbers, b = words, a line each) of each block's distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        for mark, words, _, _ in blocks(batches, distinct):
+            every = list(words)
+            bucket = np.fromiter(map(zlib.crc32, every), np.uint32, len(every)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)) if len(order) else []
+            groups = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([int(bucket[g[0]]) for g in groups], pa.int32()),
+                    "block": pa.array([mark] * len(groups), pa.binary()),
+                    "a": pa.array([g.astype("<u4").tobytes() for g in groups], pa.binary()),
+                    "b": pa.array([b"\n".join([every[i] for i in g]) for g in groups], pa.binary()),
+                }
+            )
 
-        def flushed() -> Iterator[pa.RecordBatch]:
-            words, n = list(counts), list(counts.values())
-            for i in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_pydict({"word": pa.array(words[i : i + 50_000], pa.binary()), "n": pa.array(n[i : i + 50_000], pa.int64())})
-            counts.clear()
+    return run
 
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                for t in raw_texts(b.column(0).slice(i, ROWS)):
-                    counts.update(split_words(t))
-                    if len(counts) > FLUSH:
-                        yield from flushed()
-        yield from flushed()
 
-    return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _encoded(vocabulary: str, kind: str):
+    """Of rows (bucket, block, a, b) sorted by bucket: (block, part 0, a = numbers, b = counts and ids); each word is encoded once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, known, last = load(vocabulary), {}, None
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            for group in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(bucket)) + 1):
+                if not len(group):
+                    continue
+                if bucket[group[0]] != last:
+                    known, last = {}, bucket[group[0]]
+                part = batch.slice(group[0], len(group))
+                words = [w.split(b"\n") for w in part.column(3).to_pylist()]
+                new = list({w: None for row in words for w in row if w not in known})
+                for i in range(0, len(new), 20_000):
+                    some = new[i : i + 20_000]
+                    known.update(zip(some, (np.array(x, kind).tobytes() for x in word_ids(tokenizer, some)), strict=True))
+                size = np.dtype(kind).itemsize
+                packed = []
+                for row in words:
+                    ids = [known[w] for w in row]
+                    packed.append(np.array([len(x) // size for x in ids], "<u4").tobytes() + b"".join(ids))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([0] * len(packed), pa.int32()), part.column(2), pa.array(packed, pa.binary())], names=["block", "part", "a", "b"])
 
-def word_table(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = TABLE, text_col: str = "text") -> DataFrame:
-    """(word, n, ids): the ``size`` words used most, each encoded once."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(vocabulary)
-        for b in batches:
-            ids = word_ids(tokenizer, b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    counts = saved(distinct_words(docs, text_col).where(F.length("word") <= 64), "bpe-words")
-    # The least count that leaves ``size`` words or fewer: from the counts' own histogram, a
-    # table of at most sqrt(2 * positions) rows of which one by one the highest are taken.
-    steps = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).toPandas()
-    fit = steps[steps["words"].cumsum() <= size]
-    least = int(fit["n"].min()) if len(fit) else None
-    kept = counts.where(F.col("n") >= least) if least is not None else counts.orderBy(F.desc("n"), "word").limit(size)
-    return kept.repartition(32, "word").mapInArrow(run, "word binary, n long, ids array<int>")
-
-
-def encode(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, size: int = TABLE, text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``ids`` (array<int>), as the tokenizer gives them without special tokens."""
-    table = word_table(docs, vocabulary, size, text_col).select("word", "ids").toArrow()  # ``size`` rows at most
-    flat = [np.array(x, "<u4").tobytes() for x in table["ids"].to_pylist()]
-    held = _Held(docs.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), pa.array(flat, pa.binary()))))
+
+def _numbered(distinct: int):
+    """(block, part 1, a = word numbers, b = those beyond two bytes, row) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary, held)
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part = b.slice(i, ROWS)
-                ids = [own.ids(t) for t in raw_texts(part.column(part.num_columns - 1))]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*keep, "ids"])
+        for mark, _, rows, numbers in blocks(batches, distinct):
+            begin = 0
+            for part in rows:
+                own = numbers[begin : begin + part.num_rows]
+                begin += part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([mark] * len(own), pa.binary()),
+                        pa.array([1] * len(own), pa.int32()),
+                        pa.array([np.minimum(n, WIDE).astype("<u2").tobytes() for n in own], pa.binary()),
+                        pa.array([n[n >= WIDE].astype("<u4").tobytes() for n in own], pa.binary()),
+                        pa.StructArray.from_arrays(part.columns[:-1], names=part.schema.names[:-1]),
+                    ],
+                    names=["block", "part", "a", "b", "row"],
+                )
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>")
+    return run
 
 
-def pieces(vocabulary: str = VOCABULARY) -> list[str]:
-    """The vocabulary's id-to-piece table: as many rows as it has ids."""
-    tokenizer = load(vocabulary)
-    return [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+class Table:
+    """The words of one block: the ids of all, and each one's first place and number of ids."""
 
+    def __init__(self, rows: list[tuple[bytes, bytes]], kind: str):
+        numbers = [np.frombuffer(a, "<u4") for a, _ in rows] or [np.zeros(0, "<u4")]
+        counts = [np.frombuffer(b, "<u4", len(n)) for n, (_, b) in zip(numbers, rows, strict=False)] or [np.zeros(0, "<u4")]
+        ids = [np.frombuffer(b, kind, offset=4 * len(n)) for n, (_, b) in zip(numbers, rows, strict=False)] or [np.zeros(0, kind)]
+        number, count = np.concatenate(numbers).astype(np.int64), np.concatenate(counts).astype(np.int64)
+        self.ids = np.concatenate(ids)
+        self.first, self.count = np.zeros(number.max(initial=-1) + 1, np.int64), np.full(number.max(initial=-1) + 1, -1)
+        self.first[number], self.count[number] = np.cumsum(count) - count, count
 
-def _joined(table: list[bytes], ids: np.ndarray) -> bytes:
-    ids = ids[(ids >= 0) & (ids < len(table))]
-    return b" ".join(map(table.__getitem__, ids.tolist()))
+    def check(self, numbers: np.ndarray) -> None:
+        if len(numbers) and (numbers.max() >= len(self.count) or self.count[numbers].min() < 0):
+            raise RuntimeError("a block's words are missing: the rows came in another order when they were read again; save them first")
 
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of a text's words one after another."""
+        n = self.count[numbers]
+        return self.ids[np.repeat(self.first[numbers] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
-def decode(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """Columns ``keep`` with ``decoded``: pieces joined by spaces, as a tokenizer without decoder does."""
-    held = encoded.sparkSession.sparkContext.broadcast([p.encode() for p in pieces(vocabulary)])
+    def joined(self, pieces: list[bytes]) -> list[bytes]:
+        """Each word's pieces, joined by spaces."""
+        out = list(map(pieces.__getitem__, self.ids.tolist()))
+        return [out[f] if c == 1 else b" ".join(out[f : f + max(c, 0)]) for f, c in zip(self.first.tolist(), self.count.tolist(), strict=True)]
+
+
+def _met(kind: str, finish: Callable, names: list[str]):
+    """Rows sorted by block and part: what ``finish`` makes of rows, their numbers and the block's table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part = b.slice(i, ROWS)
-                texts = [_joined(held.value, ids) for ids in _arrays(part.column(part.num_columns - 1))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], names=[*keep, "decoded"])
+        last, parts, table, held = None, [], None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                block, part = some.column(0).to_pylist(), some.column(1).to_pylist()
+                starts = [i for i in range(len(block)) if i == 0 or (block[i], part[i]) != (block[i - 1], part[i - 1])]
+                for i, j in zip(starts, [*starts[1:], len(block)], strict=True):
+                    if block[i] != last:
+                        last, parts, table, held = block[i], [], None, {}
+                    rows = some.slice(i, j - i)
+                    if part[i] == 0:
+                        parts += zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)
+                        continue
+                    if table is None:
+                        table, parts = Table(parts, kind), []
+                    numbers = []
+                    for a, b in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                        n = np.frombuffer(a, "<u2").astype(np.int64)
+                        if b:
+                            n[n == WIDE] = np.frombuffer(b, "<u4")
+                        table.check(n)
+                        numbers.append(n)
+                    kept = rows.column(4)
+                    yield from finish(dict(zip(names, (kept.field(c) for c in range(len(names))), strict=True)), numbers, table, held)
 
-    kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{kinds}, decoded string")
+    return run
 
 
-def _arrays(column: pa.ListArray) -> list[np.ndarray]:
-    values = column.values.to_numpy(zero_copy_only=False)
-    ends = column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def joined(docs: DataFrame, keep: list[str], finish: Callable, schema: str, vocabulary: str = VOCABULARY, text_col: str = "text", distinct: int = DISTINCT) -> DataFrame:
+    """``finish(kept columns, word numbers of each row, Table, dict of the block)`` over all rows, their words' ids joined by position."""
+    parts = partitions(docs.sparkSession)
+    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    kind = "<u2" if load(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    row = f"struct<{', '.join(f'`{c}`: {docs.schema[c].dataType.simpleString()}' for c in keep)}>"
+    words = docs.select(F.col(text_col).alias("_text")).mapInArrow(_words(max(256, 4 * parts), distinct), "bucket int, block binary, a binary, b binary")
+    ids = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(vocabulary, kind), "block binary, part int, a binary, b binary")
+    numbered = rows.mapInArrow(_numbered(distinct), f"block binary, part int, a binary, b binary, row {row}")
+    both = ids.withColumn("row", F.lit(None).cast(row)).unionByName(numbered)
+    return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(_met(kind, finish, keep), schema)
 
 
-def _digested(table) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = table.value
-        decimals = [str(i).encode() for i in range(len(words))]
-        for b in batches:
-            ids = _arrays(b.column(1))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": b.column(0),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(_joined(decimals, x)).hexdigest() for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(_joined(words, x)).hexdigest() for x in ids], pa.string()),
-                }
-            )
+def _kinds(docs: DataFrame, keep: list[str]) -> str:
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    return run
 
+def encode(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs`` with ``ids`` (array<int>), as the tokenizer gives them without special tokens."""
 
-def op4(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = TABLE) -> DataFrame:
-    """The contract's digests; pieces are joined to ids where the digests are made, so that decoded texts need not move."""
+    def finish(kept: dict, numbers: list[np.ndarray], table: Table, held: dict) -> Iterator[pa.RecordBatch]:
+        ids = [table.of(n).astype(np.int32) for n in numbers]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*kept.values(), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], names=[*keep, "ids"])
+
+    return joined(docs, keep, finish, f"{_kinds(docs, keep)}, ids array<int>", vocabulary, text_col)
+
+
+def pieces(vocabulary: str = VOCABULARY) -> list[str]:
+    """The vocabulary's id-to-piece table: as many rows as it has ids."""
+    tokenizer = load(vocabulary)
+    return [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+
+def decode(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
+    """Columns ``keep`` with ``decoded``: pieces joined by spaces, as a tokenizer without decoder does.
+
+    The id-to-piece table is one broadcast row that every row is joined with; ids look their pieces up in it.
+    """
+    spark = encoded.sparkSession
+    table = F.broadcast(spark.createDataFrame([(pieces(vocabulary),)], "_pieces array<string>"))
+    piece = lambda i: F.get("_pieces", i)
+    known = F.filter(F.transform(F.coalesce("ids", F.array().cast("array<int>")), piece), lambda p: p.isNotNull())
+    return encoded.select(*keep, "ids").join(table).select(*keep, F.array_join(known, " ").alias("decoded"))
+
+
+def op4(docs: DataFrame, vocabulary: str = VOCABULARY, distinct: int = DISTINCT) -> DataFrame:
+    """The contract's digests: of each word's ids and pieces, made once in a block, and joined by position."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = docs.sparkSession.sparkContext.broadcast([p.encode() for p in pieces(vocabulary)])
-    encoded = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], vocabulary, size)
-    return encoded.mapInArrow(_digested(table), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def finish(kept: dict, numbers: list[np.ndarray], words: Table, held: dict) -> Iterator[pa.RecordBatch]:
+        if not held:
+            held["decimal"] = words.joined([str(i).encode() for i in range(len(table.value))])
+            held["piece"] = words.joined(table.value)
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for n in numbers:
+            n = n[words.count[n] > 0]
+            out["n_tokens"].append(int(words.count[n].sum()))
+            n = n.tolist()
+            for name, of in (("ids_sha256", held["decimal"]), ("decoded_sha256", held["piece"])):
+                out[name].append(hashlib.sha256(b" ".join(map(of.__getitem__, n))).hexdigest())
+        yield pa.RecordBatch.from_arrays([kept["doc_id"], pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())], names=["doc_id", *out])
+
+    return joined(rows, ["doc_id"], finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", vocabulary, distinct=distinct)

@@ -58,11 +58,6 @@ def dropped(df: DataFrame, part: str = "") -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def broadcast_id(broadcast) -> int:
-    """Spark's own number of a broadcast, the same on every worker."""
-    return int(broadcast._jbroadcast.id())
-
-
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of a column's text form, modulo ``n`` (how the contracts name folds)."""
     return F.crc32(F.col(column).cast("string")) % n
