@@ -10,7 +10,7 @@ How positions are joined: a task reads its rows in *blocks* (``DISTINCT`` distin
 list of its words' numbers.  The words of a block go, with their numbers, to the bucket
 that their hash names; there a word from all blocks is encoded once, and (block, number,
 ids) goes back.  The texts' numbers meet the ids by block.  So what is shuffled is a block's
-distinct words and two bytes a position; texts are read twice and never move.
+distinct words and less than two bytes a position; texts are read twice and never move.
 
 Skew: a word comes once from each block however often it stands, so no word is hot beyond
 the number of blocks; blocks are bounded (but for a single text beyond the bound).  Nothing is
@@ -51,7 +51,9 @@ from vellum.llm.common import partitions
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 DISTINCT, POSITIONS = 200_000, 2_000_000  #: of a block
 ROWS = 256  #: rows of a batch of results
+PACKED = 8192  #: positions of a packed row, or one text
 WIDE = 65535  #: numbers from here on are written apart
+_CODEC = pa.Codec("zstd")
 
 
 def load(vocabulary: str) -> Tokenizer:
@@ -86,6 +88,23 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def packed(*arrays: np.ndarray, tail: bytes = b"") -> tuple[bytes, bytes]:
+    """Arrays by planes of their bytes and a tail, compressed; and the sizes that ``unpacked`` needs."""
+    raw = b"".join([x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() if len(x) else b"" for x in arrays]) + tail
+    return _CODEC.compress(raw, asbytes=True), np.array([len(raw), *map(len, arrays)], "<u4").tobytes()
+
+
+def unpacked(data: bytes, sizes: bytes, *kinds: str) -> tuple:
+    """The arrays and the tail."""
+    size, *lengths = np.frombuffer(sizes, "<u4").tolist()
+    raw, at, out = _CODEC.decompress(data, size, asbytes=True) if size else b"", 0, []
+    for n, kind in zip(lengths, map(np.dtype, kinds), strict=True):
+        end = at + n * kind.itemsize
+        out.append(np.frombuffer(raw[at:end], np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind))
+        at = end
+    return *out, raw[at:]
+
+
 class Numbers(dict):
     """A word's number in its block, in the order of first sight."""
 
@@ -117,57 +136,52 @@ def blocks(batches: Iterator[pa.RecordBatch], distinct: int) -> Iterator[tuple[b
 
 
 def _words(buckets: int, distinct: int):
-    """(bucket, block, a = numbers, b = words, a line each) of each block's distinct words."""
+    """(bucket, block, a, b: numbers and words packed) of each block's distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mark, words, _, _ in blocks(batches, distinct):
             every = list(words)
             bucket = np.fromiter(map(zlib.crc32, every), np.uint32, len(every)) % buckets
             order = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)) if len(order) else []
+            cuts = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
             groups = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array([int(bucket[g[0]]) for g in groups], pa.int32()),
-                    "block": pa.array([mark] * len(groups), pa.binary()),
-                    "a": pa.array([g.astype("<u4").tobytes() for g in groups], pa.binary()),
-                    "b": pa.array([b"\n".join([every[i] for i in g]) for g in groups], pa.binary()),
-                }
+            data = [packed(np.diff(g, prepend=0).astype("<u4"), tail=b"\n".join([every[i] for i in g])) for g in groups]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(bucket[g[0]]) for g in groups], pa.int32()),
+                    pa.array([mark] * len(groups), pa.binary()),
+                    pa.array([d for d, _ in data], pa.binary()),
+                    pa.array([s for _, s in data], pa.binary()),
+                ],
+                names=["bucket", "block", "a", "b"],
             )
 
     return run
 
 
 def _encoded(vocabulary: str, kind: str):
-    """Of rows (bucket, block, a, b) sorted by bucket: (block, part 0, a = numbers, b = counts and ids); each word is encoded once."""
+    """Of rows (bucket, block, a, b) sorted by bucket: (block, part 0, a, b: numbers, counts and ids packed); each word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known, last = load(vocabulary), {}, None
-        for batch in batches:
-            bucket = batch.column(0).to_numpy()
-            for group in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(bucket)) + 1):
-                if not len(group):
-                    continue
-                if bucket[group[0]] != last:
-                    known, last = {}, bucket[group[0]]
-                part = batch.slice(group[0], len(group))
-                words = [w.split(b"\n") for w in part.column(3).to_pylist()]
-                new = list({w: None for row in words for w in row if w not in known})
-                for i in range(0, len(new), 20_000):
-                    some = new[i : i + 20_000]
-                    known.update(zip(some, (np.array(x, kind).tobytes() for x in word_ids(tokenizer, some)), strict=True))
-                size = np.dtype(kind).itemsize
-                packed = []
-                for row in words:
-                    ids = [known[w] for w in row]
-                    packed.append(np.array([len(x) // size for x in ids], "<u4").tobytes() + b"".join(ids))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([0] * len(packed), pa.int32()), part.column(2), pa.array(packed, pa.binary())], names=["block", "part", "a", "b"])
+        for batch in (b.slice(at, 32) for b in batches for at in range(0, b.num_rows, 32)):
+            data = []
+            for bucket, a, b in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                if bucket != last:
+                    known, last = {}, bucket
+                numbers, lines = unpacked(a, b, "<u4")
+                words = lines.split(b"\n")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (np.array(x, kind) for x in word_ids(tokenizer, new)), strict=True))
+                ids = [known[w] for w in words]
+                data.append(packed(numbers, np.array([len(x) for x in ids], "<u4"), np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([0] * len(data), pa.int32()), pa.array([d for d, _ in data], pa.binary()), pa.array([s for _, s in data], pa.binary())], names=["block", "part", "a", "b"])
 
     return run
 
 
 def _numbered(distinct: int):
-    """(block, part 1, a = word numbers, b = those beyond two bytes, row) of each text."""
+    """(block, part 1, a, b: word numbers packed, rows, lengths) of some texts in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mark, _, rows, numbers in blocks(batches, distinct):
@@ -175,15 +189,24 @@ def _numbered(distinct: int):
             for part in rows:
                 own = numbers[begin : begin + part.num_rows]
                 begin += part.num_rows
+                ends, cuts = np.cumsum([len(n) for n in own]), [0]
+                while cuts[-1] < len(own):  # as many texts as hold PACKED positions, one at least
+                    done = ends[cuts[-1] - 1] if cuts[-1] else 0
+                    cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + PACKED, side="right"))))
+                data = []
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    n = np.concatenate(own[i:j])
+                    data.append(packed(np.minimum(n, WIDE).astype("<u2"), n[n >= WIDE].astype("<u4"), np.array([len(x) for x in own[i:j]], "<u4")))
+                texts = pa.StructArray.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([mark] * len(own), pa.binary()),
-                        pa.array([1] * len(own), pa.int32()),
-                        pa.array([np.minimum(n, WIDE).astype("<u2").tobytes() for n in own], pa.binary()),
-                        pa.array([n[n >= WIDE].astype("<u4").tobytes() for n in own], pa.binary()),
-                        pa.StructArray.from_arrays(part.columns[:-1], names=part.schema.names[:-1]),
+                        pa.array([mark] * len(data), pa.binary()),
+                        pa.array([1] * len(data), pa.int32()),
+                        pa.array([d for d, _ in data], pa.binary()),
+                        pa.array([s for _, s in data], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), texts),
                     ],
-                    names=["block", "part", "a", "b", "row"],
+                    names=["block", "part", "a", "b", "rows"],
                 )
 
     return run
@@ -193,11 +216,10 @@ class Table:
     """The words of one block: the ids of all, and each one's first place and number of ids."""
 
     def __init__(self, rows: list[tuple[bytes, bytes]], kind: str):
-        numbers = [np.frombuffer(a, "<u4") for a, _ in rows] or [np.zeros(0, "<u4")]
-        counts = [np.frombuffer(b, "<u4", len(n)) for n, (_, b) in zip(numbers, rows, strict=False)] or [np.zeros(0, "<u4")]
-        ids = [np.frombuffer(b, kind, offset=4 * len(n)) for n, (_, b) in zip(numbers, rows, strict=False)] or [np.zeros(0, kind)]
-        number, count = np.concatenate(numbers).astype(np.int64), np.concatenate(counts).astype(np.int64)
-        self.ids = np.concatenate(ids)
+        data = [unpacked(a, b, "<u4", "<u4", kind) for a, b in rows]
+        number = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(n, dtype=np.int64) for n, *_ in data)])
+        count = np.concatenate([np.zeros(0, np.int64), *(c.astype(np.int64) for _, c, *_ in data)])
+        self.ids = np.concatenate([np.zeros(0, kind), *(x for _, _, x, _ in data)])
         self.first, self.count = np.zeros(number.max(initial=-1) + 1, np.int64), np.full(number.max(initial=-1) + 1, -1)
         self.first[number], self.count[number] = np.cumsum(count) - count, count
 
@@ -235,15 +257,13 @@ def _met(kind: str, finish: Callable, names: list[str]):
                         continue
                     if table is None:
                         table, parts = Table(parts, kind), []
-                    numbers = []
-                    for a, b in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                        n = np.frombuffer(a, "<u2").astype(np.int64)
-                        if b:
-                            n[n == WIDE] = np.frombuffer(b, "<u4")
+                    for k, (a, b) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)):
+                        n, wide, lengths, _ = unpacked(a, b, "<u2", "<u4", "<u4")
+                        n = n.astype(np.int64)
+                        n[n == WIDE] = wide
                         table.check(n)
-                        numbers.append(n)
-                    kept = rows.column(4)
-                    yield from finish(dict(zip(names, (kept.field(c) for c in range(len(names))), strict=True)), numbers, table, held)
+                        kept = rows.column(4).slice(k, 1).flatten()
+                        yield from finish(dict(zip(names, kept.flatten(), strict=True)), np.split(n, np.cumsum(lengths)[:-1]), table, held)
 
     return run
 
@@ -253,11 +273,11 @@ def joined(docs: DataFrame, keep: list[str], finish: Callable, schema: str, voca
     parts = partitions(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     kind = "<u2" if load(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    row = f"struct<{', '.join(f'`{c}`: {docs.schema[c].dataType.simpleString()}' for c in keep)}>"
+    row = f"array<struct<{', '.join(f'`{c}`: {docs.schema[c].dataType.simpleString()}' for c in keep)}>>"
     words = docs.select(F.col(text_col).alias("_text")).mapInArrow(_words(max(256, 4 * parts), distinct), "bucket int, block binary, a binary, b binary")
     ids = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(vocabulary, kind), "block binary, part int, a binary, b binary")
-    numbered = rows.mapInArrow(_numbered(distinct), f"block binary, part int, a binary, b binary, row {row}")
-    both = ids.withColumn("row", F.lit(None).cast(row)).unionByName(numbered)
+    numbered = rows.mapInArrow(_numbered(distinct), f"block binary, part int, a binary, b binary, rows {row}")
+    both = ids.withColumn("rows", F.lit(None).cast(row)).unionByName(numbered)
     return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(_met(kind, finish, keep), schema)
 
 

@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = spark.conf.get("spark.vellum.local.dir", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="vellum-")

@@ -20,7 +20,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     small star the lesser ones; when nothing changes every component is a star about
     its least node.  Minima are combined before they are shuffled, and a hub's rows may
     be split, so that no task needs all rows of a hub.  Each round is written to the
-    shared folder, so a lost executor costs one round at most.
+    shared folder, so a lost executor costs one round at most.  Labels that have not settled
+    after ``rounds`` (more than any graph needs: chains halve) raise an error.
+
+    Defined cases: edges of a node with itself and repeated ones count for nothing; no edges give
+    no rows; nodes without an edge to another are not in the result; null ends are not allowed.
     """
     parts = partitions(edges.sparkSession)
     edges = saved(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -41,5 +45,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).union(roots)
