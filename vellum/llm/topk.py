@@ -8,14 +8,22 @@ before anything moves; near 1 rows are pruned on the query's largest coordinate
 (whose range of feasible values follows from the threshold), else on length alone.
 What is left is verified by exact products.
 
-Scale: buckets are cut into blocks of bounded size and queries into tiles of
-bounded size; a task joins one tile with one block, so memory is bounded whatever
-the tables hold.  Blocks hash the id, so equal lengths or copies do not pile up.
+Scale: buckets are cut into blocks of bounded size and queries into tiles of bounded
+size, by the length that a row must have to reach a query's bound; a row is copied to
+those tiles alone that it can reach, and a query to those blocks that can reach it.  A
+task joins one tile with one block, so memory is bounded whatever the tables hold.
+Blocks hash the id, so equal lengths or copies do not pile up.
+
+Exactness: products below 2 ** 52 are exact in floats; above, candidates within the
+rounding error of the k-th score are computed again in whole numbers.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take
 no part; shorter vectors are padded with zeros; equal scores go to the smaller id;
-rows with the query's own id are not its candidates; fewer than k candidates give
-fewer rows; an empty table gives no rows.
+rows with the query's own id are not its candidates, other rows of equal ids are each a
+candidate; a query id that stands in several rows asks once, with the least of its
+vectors; components and scores beyond a long count as the greatest or least one (so
+such scores are ties); fewer than k candidates give fewer rows; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, BLOCK, TILE, PROBES = 16, 4096, 2048, 512
+from vellum.llm.common import saved
+
+BUCKETS, BLOCK, TILE, PROBES = 16, 4096, 8192, 512
+AT_ONCE = 512  #: queries whose scores a task holds
+MOST = 2**63 - 1
+EXACT = 2.0**52  #: products below are whole numbers in floats
 COORDINATE = 0.6  #: local threshold from which coordinates prune more than lengths do
 
 
@@ -62,8 +75,8 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
-def _bounded(k: int, probe_ids: np.ndarray, probes: np.ndarray):
-    """Adds to each query the k-th best score among the probes, a lower bound."""
+def _bounded(k: int, probe_ids: np.ndarray, probes: np.ndarray, longest: float):
+    """Adds to each query the k-th best score among the probes, less what rounding may add: a lower bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,11 +85,22 @@ def _bounded(k: int, probe_ids: np.ndarray, probes: np.ndarray):
             s = q @ probes.T
             s[ids[:, None] == probe_ids[None, :]] = -np.inf
             low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(s), -np.inf)
+            low = reached(low - 2 * rounding(q.shape[1], b.column(2).to_numpy() * longest))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(low, pa.float64())], names=["id", "v", "norm", "low"])
 
     return run
 
 
+def reached(low: np.ndarray) -> np.ndarray:
+    """Bounds on float scores such that scores which count as the greatest long, or as the least, are all kept."""
+    return np.where(low < -MOST * (1 - 1e-9), -np.inf, np.minimum(low, MOST * (1 - 1e-9)))
+
+
+def rounding(width: int, product: np.ndarray) -> np.ndarray:
+    """By how much the float product of vectors may be off, ``product`` that of their lengths; 0 where it is exact."""
+    return np.where(product < EXACT, 0.0, (width + 4) * 2.0**-51 * product)
+
+
 def _joined(k: int):
     def run(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -84,12 +108,19 @@ def _joined(k: int):
             base = base.sort_values("norm", ascending=False)
             width = max(max(map(len, base["v"])), max(map(len, queries["v"])))
             p, q = matrix(list(base["v"]), width), matrix(list(queries["v"]), width)
-            ids, lengths = base["id"].to_numpy(), base["norm"].to_numpy()
+            ids, lengths, whole, asked = base["id"].to_numpy(), base["norm"].to_numpy(), list(base["v"]), list(queries["v"])
             unit = p / np.where(lengths > 0, lengths, 1)[:, None]
             norms, low, own = queries["norm"].to_numpy(), queries["low"].to_numpy(), queries["id"].to_numpy()
             most = lengths[0]
+            off = rounding(width, norms * most)
             with np.errstate(divide="ignore", invalid="ignore"):
                 local = np.where((low > 0) & (norms * most > 0), low / (norms * most), 0.0)
+                floors = np.where((low > 0) & (norms > 0), low / norms, 0.0)  # least length of a row that reaches the bound
+            reach = np.searchsorted(-lengths, -floors * (1 - 1e-9) + 1e-9, side="right")
+
+            def keep(i: int, rows: np.ndarray, scores: np.ndarray) -> None:
+                found.append(_one(own[i], rows, scores, ids, k, off[i], lambda r: sum(int(x) * int(y) for x, y in zip(whole[r], asked[i]))))  # noqa: B905
+
             dense = []
             for i in np.flatnonzero(local <= 1 + 1e-9):
                 t = min(local[i], 1.0)
@@ -100,30 +131,35 @@ def _joined(k: int):
                 at = q[i] / norms[i]
                 f = int(np.argmax(np.abs(at)))
                 spread = np.sqrt(max(0.0, (1 - t * t) * (1 - at[f] ** 2))) + 1e-9
-                reach = int(np.searchsorted(-lengths, -(low[i] / norms[i]) + 1e-9, side="right"))
-                part = unit[:reach, f]
+                part = unit[: reach[i], f]
                 rows = np.flatnonzero((part >= at[f] * t - spread) if at[f] > 0 else (part <= at[f] * t + spread))
-                found.append(_one(own[i], rows, p[rows] @ q[i], ids, k))
-            if dense:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    floors = np.where(low[dense] > 0, low[dense] / norms[dense], 0.0)
-                reach = int(np.searchsorted(-lengths, -floors.min() + 1e-9, side="right"))
-                for i, s in zip(dense, q[dense] @ p[:reach].T, strict=True):
-                    rows = np.flatnonzero(s >= low[i])
-                    found.append(_one(own[i], rows, s[rows], ids, k))
+                keep(i, rows, p[rows] @ q[i])
+            for at in range(0, len(dense), AT_ONCE):
+                some = dense[at : at + AT_ONCE]
+                for i, s in zip(some, q[some] @ p[: reach[some].max()].T, strict=True):
+                    rows = np.flatnonzero(s >= low[i] - off[i])
+                    keep(i, rows, s[rows])
         if not found:
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
         a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": np.rint(c).astype(np.int64)})
+        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
     return run
 
 
-def _one(own: int, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int):
+def _one(own: int, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, off: float, whole):
+    """The k best rows of one query; ``whole`` gives a row's product in whole numbers where floats are off by ``off``."""
     other = ids[rows] != own
     rows, scores = rows[other], scores[other]
+    if off > 0:
+        if len(scores) > k:
+            near = scores >= reached(np.partition(scores, len(scores) - k)[len(scores) - k]) - 2 * off
+            rows = rows[near]
+        exact = np.array([max(-MOST, min(MOST, whole(r))) for r in rows], np.int64)
+        top = np.lexsort((ids[rows], -exact))[:k]
+        return np.full(len(top), own, np.int64), ids[rows[top]].astype(np.int64), exact[top]
     top = best(scores, ids[rows], k)
-    return np.full(len(top), own, np.int64), ids[rows[top]].astype(np.int64), scores[top]
+    return np.full(len(top), own, np.int64), ids[rows[top]].astype(np.int64), np.rint(scores[top]).astype(np.int64)
 
 
 def largest_products(vectors: DataFrame, is_query: Column, k: int, block: int = BLOCK, tile: int = TILE) -> DataFrame:
@@ -145,33 +181,40 @@ def largest_products(vectors: DataFrame, is_query: Column, k: int, block: int =
     probe = {r["id"]: r["v"] for part in some for r in part.select("id", "v").collect()}
     width = max(map(len, probe.values()))
     probe_ids = np.array(list(probe), np.int64)
-    queries = (
-        rows.where(is_query)
-        .select("id", "v", "norm")
-        .mapInArrow(_bounded(k, probe_ids, matrix(list(probe.values()), width)), "id long, v array<long>, norm double, low double")
+    asking = rows.where(is_query).groupBy("id").agg(F.min(F.struct("v", "norm")).alias("q")).select("id", "q.v", "q.norm")
+    queries = asking.mapInArrow(
+        _bounded(k, probe_ids, matrix(list(probe.values()), width), max(float(r["most"]) for r in stats)), "id long, v array<long>, norm double, low double"
     )
-    n_queries = max(1, rows.where(is_query).count())
-    tiles = -(-n_queries // tile)
+    # The length from which a row can reach a query's bound.
+    needed = F.when((F.col("low") > 0) & (F.col("norm") > 0), F.col("low") / F.col("norm") * (1 - 1e-9)).otherwise(0.0)
+    queries = saved(queries.withColumn("needed", needed), "topk-queries")
+    cuts = queries.agg(F.count("*").alias("n"), F.percentile_approx("needed", [i / 64 for i in range(1, 64)], 10000).alias("at")).first()
+    cuts = sorted(set(cuts["at"] or [])) if cuts["n"] > tile else []
+    span = sum((F.when(F.col("needed") >= c, 1).otherwise(0) for c in cuts), F.lit(0)) if cuts else F.lit(0)
+    spread = F.pmod(F.xxhash64("id"), F.lit(2**31))
+    queries = queries.withColumn("span", span)
+    spans = queries.groupBy("span").agg(F.count("*").alias("n"), F.min("needed").alias("least")).orderBy("span").collect()  # 64 at most
+    tiles = [(r["span"], -(-r["n"] // tile), float(r["least"])) for r in spans]
     blocks = [(r["bucket"], -(-r["n"] // block), float(r["most"])) for r in stats]
 
-    def in_bucket(b: int):
-        return lambda x: F.struct(F.lit(b).alias("bucket"), x.alias("block"))
-
-    # Which blocks a query must see: those of buckets whose longest row can reach its bound.
-    reach = F.flatten(
-        F.array(
-            *[
-                F.when((F.col("low") > 0) & (F.col("low") > F.col("norm") * F.lit(most * (1 + 1e-9))), F.array().cast("array<struct<bucket:int,block:int>>"))
-                .otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), in_bucket(b)))
-                for b, n, most in blocks
-            ]
-        )
+    def numbered(name: str, of: int):
+        return lambda x: F.struct(F.lit(of).alias(name), x.alias("n"))
+
+    def those(name: str, groups: list, hit) -> Column:
+        kind = f"array<struct<{name}:int,n:int>>"
+        every = [F.when(hit(edge), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), numbered(name, of))).otherwise(F.array().cast(kind)) for of, n, edge in groups]
+        return F.flatten(F.array(*every)) if every else F.array().cast(kind)
+
+    # A query goes to the blocks of buckets whose longest row can reach its bound, a row to the tiles whose least demand it meets.
+    n_tiles = F.element_at(F.create_map(*[F.lit(x) for s, n, _ in tiles for x in (s, n)]), F.col("span")) if tiles else F.lit(1)
+    asked = (
+        queries.withColumn("tile", F.struct(F.col("span").alias("span"), (spread % n_tiles).cast("int").alias("n")))
+        .withColumn("at", F.explode(those("bucket", blocks, lambda most: F.col("needed") <= F.lit(most * (1 + 1e-9)))))
+        .select("at.bucket", F.col("at.n").alias("block"), "tile", "id", "v", "norm", "low")
     )
-    spread = F.pmod(F.xxhash64("id"), F.lit(2**31))
-    asked = queries.withColumn("tile", (spread % tiles).cast("int")).withColumn("at", F.explode(reach)).select("at.bucket", "at.block", "tile", "id", "v", "norm", "low")
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for b, n, _ in blocks for x in (b, n)]), F.col("bucket"))
     base = rows.select(
-        "bucket", (F.floor(spread / 7) % n_blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "id", "v", "norm"
+        "bucket", (F.floor(spread / 7) % n_blocks).cast("int").alias("block"), F.explode(those("span", tiles, lambda least: F.col("norm") >= F.lit(least))).alias("tile"), "id", "v", "norm"
     )
     keys = ["bucket", "block", "tile"]
     found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_joined(k), "query_id long, vec_id long, score long")
