@@ -229,6 +229,29 @@ def test_toxicity(spark, docs, rows, nothing):
     assert toxicity.op7(nothing, known).count() == 0
 
 
+def brute_topk(table, k=5):
+    good = {}
+    for i, v in table:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            good.setdefault(i, []).append([max(-(2**63), min(2**63 - 1, int(np.floor(256 * x)))) for x in v])
+    out, most = {}, 2**63 - 1
+    for q in good:
+        if q % 50 == 0:
+            asks = min(good[q])
+            found = [(-max(-most, min(most, sum(x * y for x, y in zip(asks, v)))), i) for i, rows in good.items() if i != q for v in rows]  # noqa: B905
+            out[q] = [(i, -s) for s, i in sorted(found)[:k]]
+    return out
+
+
+def asked_topk(df, **sizes):
+    usable = df.where(topk.usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("id"), topk.scaled("embedding").alias("v"))
+    out = collections.defaultdict(list)
+    for r in sorted(topk.largest_products(usable, F.col("id") % 50 == 0, 5, **sizes).collect(), key=lambda r: r.rank):
+        assert r.rank == len(out[r.query_id]) + 1
+        out[r.query_id].append((r.vec_id, r.score))
+    return dict(out)
+
+
 @pytest.mark.parametrize("block", [40, 4096])
 def test_topk(spark, block):
     rng = np.random.default_rng(2)
@@ -236,15 +259,21 @@ def test_topk(spark, block):
     vectors[50:80] = vectors[50]
     table = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     table += [(1000, None), (1001, [None] * 12), (1050, [float("nan")] * 12), (1100, [float("inf")] + [0.0] * 11), (None, [1.0] * 12), (1150, [0.0] * 12), (1200, [])]
-    df = spark.createDataFrame(table, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "v": F.lit(2), "norm": F.lit(3)})
-    usable = df.where(topk.usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("id"), topk.scaled("embedding").alias("v"))
-    out = collections.defaultdict(list)
-    for r in sorted(topk.largest_products(usable, F.col("id") % 50 == 0, 5, block=block, tile=3).collect(), key=lambda r: r.rank):
-        out[r.query_id].append((r.vec_id, r.score))
-    good = {i: np.floor(256 * np.array(v + [0.0] * (12 - len(v)))).astype(int) for i, v in table if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    expected = {q: sorted(((i, int(good[q] @ v)) for i, v in good.items() if i != q), key=lambda x: (-x[1], x[0]))[:5] for q in good if q % 50 == 0}
-    assert dict(out) == expected
+    table += [(0, table[0][1]), (50, table[3][1]), (7, table[7][1]), (7, table[8][1])]  # repeated queries and candidates
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "v", "norm", "tile", "bucket", "span", "score")})
+    assert asked_topk(df, block=block, tile=3) == brute_topk(table)
     assert topk.op6(df.limit(0)).count() == 0
+    assert topk.op6(df).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+@pytest.mark.parametrize("size", [1e7, 1e9, 1e300])
+def test_topk_of_large_numbers(spark, size):
+    """Whole numbers beyond what floats hold, and beyond a long."""
+    rng = np.random.default_rng(3)
+    table = [(i, [float(x) for x in rng.normal(0, 1, 6) * size]) for i in range(120)]
+    table += [(200, [256000001 / 256, 0.0]), (201, [256000001 / 256, 0.0]), (202, [256000002 / 256, 0.0]), (203, [256000001 / 256, 1 / 256])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    assert asked_topk(df, block=16, tile=2) == brute_topk(table)
 
 
 def brute_runs(rows, least):

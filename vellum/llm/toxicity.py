@@ -1,20 +1,24 @@
 """Toxicity by subword-bag embeddings under a linear softmax.
 
 A word is the mean of the vectors of its hashed character n-grams (3 to 6, with word
-ends), a window of ``WIDTH`` words the mean of its words, and a softmax over two
-classes, linear in that mean, says how toxic the window is.  Vectors and softmax are
-trained jointly in numpy.  A document is as toxic as its worst window, so a few words
-in a long text count; in training the window of a toxic document that scores highest
-stands for it, against the worst windows of clean ones.  Training words are misspelt
-now and then, so an unseen misspelling still meets n-grams that carry the meaning.
-
-Fitted on a bounded sample of labelled rows (``POSITIVE`` + ``NEGATIVE`` in hash
-order, texts of at most ``LONGEST`` characters); scoring reads every whole text in
-one pass without a shuffle.  The model has a fixed size.
+ends), a bag of words the mean of its words, and a softmax over two classes, linear in
+that mean, says how toxic the bag is.  Vectors and softmax are trained jointly in numpy,
+on windows of ``WIDTH`` words: the window of a toxic document that scores highest stands
+for it, against the worst windows of clean ones.  A document's score is the softmax of the
+bag of its ``TOP`` worst words, wherever they stand, so a few words in a long text count;
+for such bags the softmax alone is fitted once more at the end, on texts that the vectors
+have not seen.  Training words are misspelt now and then, so an unseen misspelling still meets
+n-grams that carry the meaning.
+
+Fitted on a bounded sample of labelled rows: ``POSITIVE`` + ``NEGATIVE`` of them in hash
+order, of a text ``LEARNT`` words (all that most have; of a longer one ``STRETCHES``
+stretches spread over it).  Scoring reads every whole text in one pass without a shuffle.
+The model has a fixed size.
 
 Defined cases: null text is empty; a text without words scores the model's base
-probability; rows without label are not learnt from; without both labels every
-score is 0.
+probability; rows without label or with a null one are not learnt from; a label that
+stands twice counts twice, of several texts of one id the least is learnt from; without
+both labels every score is 0; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import crc32_mod
+from vellum.llm.common import crc32_mod, saved
 
 BUCKETS, DIM, WIDTH, TOP = 1 << 17, 8, 8, 4
-POSITIVE, NEGATIVE, LONGEST = 2500, 3500, 30_000
+POSITIVE, NEGATIVE = 2500, 3500
+LEARNT, STRETCHES = 4096, 16  #: words of a text that training sees, and in how many stretches of a longer text
 SEEN = 4  #: training texts in which an n-gram must stand to have a vector
 BLOCK = 1 << 20  #: words scored at once
 STEP = 20_000  #: words whose n-grams are worked out at once
@@ -79,8 +84,8 @@ def flat_subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """What scoring needs: each bucket's vector already multiplied by the softmax's difference."""
 
-    def __init__(self, gram: np.ndarray, slope: np.ndarray, offset: float):
-        self.gram, self.slope, self.offset = gram.astype(np.float32), slope, offset
+    def __init__(self, gram: np.ndarray, offset: float):
+        self.gram, self.offset = gram.astype(np.float32), offset
 
     def words(self, words: list[str]) -> np.ndarray:
         out = [np.zeros(0)]
@@ -94,8 +99,8 @@ class Model:
         places = Places()
         docs = [np.fromiter(map(places.__getitem__, w), np.int64, len(w)) for w in (t.lower().split() for t in texts)]
         u = self.words(list(places)) if places else np.zeros(0)
-        x = np.array([summary(u[d]) for d in docs]).reshape(-1, TOP + 1)
-        return 1 / (1 + np.exp(-np.clip(x @ self.slope + self.offset, -60, 60)))
+        x = np.array([u[d][worst_words(u[d])].mean() if len(d) else 0.0 for d in docs])
+        return 1 / (1 + np.exp(-np.clip(x + self.offset, -60, 60)))
 
 
 class Places(dict):
@@ -116,16 +121,9 @@ def worst(u: np.ndarray) -> tuple[float, int]:
     return float(means[at]), at
 
 
-def summary(u: np.ndarray) -> list[float]:
-    """The scores of a text's worst windows, each cut out before the next, and the log of its words."""
-    out, size = [], np.log1p(len(u))
-    u = u.astype(float)
-    for _ in range(TOP):
-        m, at = worst(u)
-        out.append(m)
-        if len(u) > WIDTH:
-            u = np.delete(u, slice(at, at + WIDTH))
-    return [*out, size]
+def worst_words(u: np.ndarray) -> np.ndarray:
+    """Places of the TOP greatest word scores."""
+    return np.argpartition(-u, TOP)[:TOP] if len(u) > TOP else np.arange(len(u))
 
 
 def misspelt(word: str, rng: np.random.Generator) -> str:
@@ -137,13 +135,13 @@ def misspelt(word: str, rng: np.random.Generator) -> str:
 def train(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 350, batch: int = 256, rate: float = 0.5, seed: int = 11) -> Model:
     """Vectors and softmax by stochastic gradient (Adagrad); windows are chosen anew in each round."""
     if not (y == 1).any() or not (y == 0).any():
-        return Model(np.zeros(BUCKETS), np.zeros(TOP + 1), -60.0)
+        return Model(np.zeros(BUCKETS), -60.0)
     rng = np.random.default_rng(seed)
     places = Places()
-    docs = [np.fromiter(map(places.__getitem__, w), np.int64, len(w)) for w in (t.lower().split() for t in texts)]
+    docs = [np.fromiter(map(places.__getitem__, w), np.int32, len(w)) for w in (t.lower().split() for t in texts)]
     known = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in known], y[known]
-    # Every fourth text is kept from the vectors, for the document's logistic.
+    # Every fourth text is kept from the vectors, for the last fit of the softmax.
     apart = np.arange(len(docs)) % 4 == 3
     if not (y[~apart] == 1).any() or not (y[~apart] == 0).any() or not (y[apart] == 1).any() or not (y[apart] == 0).any():
         apart = np.zeros(len(docs), bool)
@@ -181,7 +179,7 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 350, ba
     chosen: list[int | None] = [None] * len(docs)
     for turn in range(rounds):
         if turn:
-            u = Model(vectors @ (soft[:, 1] - soft[:, 0]) * live, np.zeros(0), 0.0).words(words)
+            u = Model(vectors @ (soft[:, 1] - soft[:, 0]) * live, 0.0).words(words)
             chosen = [worst(u[d])[1] for d in docs]
         for _ in range(steps):
             some = [*rng.choice(yes, batch // 2), *rng.choice(no, batch // 2)]
@@ -208,11 +206,15 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 350, ba
             bias2 += gb**2
             soft -= 0.1 * gs / np.sqrt(soft2)
             bias -= 0.1 * gb / np.sqrt(bias2)
-    gram = vectors @ (soft[:, 1] - soft[:, 0]) * live
-    u = Model(gram, np.zeros(0), 0.0).words(words)
-    judged = apart if apart.any() else np.ones(len(docs), bool)
-    x = np.array([summary(u[d]) for d, a in zip(docs, judged, strict=True) if a])
-    return Model(gram, *logistic(x, y[judged]))
+    judged = [i for i in range(len(docs)) if apart[i] or not apart.any()]
+    slope, offset = soft[:, 1] - soft[:, 0], bias[1] - bias[0]
+    row, g = grams_of(np.arange(len(places)))
+    bags = np.stack([np.bincount(row, (vectors[:, k] * live)[g], minlength=len(places)) for k in range(DIM)], axis=1) / np.maximum(1, count[: len(places)])[:, None]
+    for _ in range(4):
+        u = bags @ slope
+        x = np.array([bags[docs[i][worst_words(u[docs[i]])]].mean(axis=0) for i in judged])
+        slope, offset = logistic(x, y[judged])
+    return Model((vectors @ slope) * live, offset)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -228,15 +230,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndar
     return w[:-1] / spread, float(w[-1] - (w[:-1] / spread) @ mid)
 
 
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text): the words of each text that training sees."""
+    for b in batches:
+        texts = []
+        for t in b.column(1).to_pylist():
+            w = t.split()
+            if len(w) > LEARNT:
+                each = LEARNT // STRETCHES
+                w = [x for at in np.linspace(0, len(w) - each, STRETCHES).astype(int) for x in w[at : at + each]]
+            texts.append(" ".join(w))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> Model:
     """Trained on a bounded sample of the labelled rows where ``learn`` holds."""
-    known = labels.where(F.col(label).isin(0, 1) & learn).select("doc_id", F.col(label).cast("int").alias("_y"))
-    n = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("_y") == 1, min(1.0, POSITIVE / max(1, n.get(1, 0)))).otherwise(min(1.0, NEGATIVE / max(1, n.get(0, 0))))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    texts = docs.where(F.length("text") <= LONGEST).select("doc_id", "text")
+    known = labels.where(F.col(label).isin(0, 1) & learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_y"))
+    first = [known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, POSITIVE), (0, NEGATIVE))]
+    known = saved(first[0].union(first[1]), "toxicity-labels")
     # The sample is bounded by POSITIVE + NEGATIVE ids, so its ids may be broadcast and texts stay where they are.
-    rows = texts.join(F.broadcast(known), "doc_id").select("text", "_y").toPandas()
+    ids = F.broadcast(known.select("doc_id").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi")
+    texts = texts.mapInArrow(_learnt, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = texts.join(F.broadcast(known), "doc_id").orderBy("doc_id", "_y").select("text", "_y").toPandas()
     return train(list(rows["text"]), rows["_y"].to_numpy())
 
 
