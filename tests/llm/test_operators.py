@@ -147,6 +147,31 @@ def test_layout_holds_every_piece(n):
     assert sum(t for _, t in found) <= -(-int(lengths.sum()) // 4096) * 1.02 + 1
 
 
+def test_patterns_place_most_pieces():
+    """The fit lays out most pieces of a corpus, and what it lays out is never more than there is."""
+    lengths = np.minimum(4096, np.random.default_rng(4).lognormal(6.2, 0.9, 12_000).astype(int) + 1)
+    histogram = np.bincount(lengths, minlength=4097)
+    placed = np.zeros(4097, int)
+    for pattern, times in packing.fitted(histogram):
+        for n in pattern:
+            placed[n] += times
+    assert (placed <= histogram).all()
+    assert placed[:4096].sum() > 0.5 * histogram[:4096].sum()
+    assert sum(t for _, t in packing.layout(histogram)) == -(-int(lengths.sum()) // 4096)
+
+
+def test_fit_is_non_negative_least_squares():
+    """Against projected gradients with exact steps on a small problem."""
+    rows = [(4, 3, 1), (4, 4), (3, 3, 2), (2, 2, 2, 2), (1,) * 4]
+    h = np.array([0, 9, 14, 7, 12])
+    a = np.array([[r.count(n) for r in rows] for n in range(5)], float)
+    x = np.ones(len(rows))
+    for _ in range(20_000):
+        x = np.maximum(0, x - a.T @ (a @ x - h) / np.linalg.norm(a, 2) ** 2)
+    found = packing.non_negative_fit(rows, h, 3000)
+    assert (found >= 0).all() and abs(np.sum((a @ found - h) ** 2) - np.sum((a @ x - h) ** 2)) < 1e-3
+
+
 def test_one_length_for_all():
     histogram = np.zeros(4097, np.int64)
     histogram[1000] = 1_000_003

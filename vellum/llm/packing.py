@@ -2,8 +2,9 @@
 
 A pattern is a few lengths that fill a sequence, or nearly.  Patterns are enumerated
 from the histogram of piece lengths, their repeat counts are fitted to the histogram
-by non-negative least squares, rounded down and laid out, and the rest is packed by
-best fit, still on counts of lengths.  What comes out is a list of slots for each
+by non-negative least squares, rounded by largest remainders and laid out (most pieces
+below the capacity), and the rest is packed by best fit into the room that patterns leave
+and into new sequences, still on counts of lengths.  What comes out is a list of slots for each
 length (a table whose size depends on the capacity, not on the corpus); the n-th piece
 of a length takes the n-th slot of that length.
 
@@ -34,7 +35,8 @@ from vellum.llm.bpe import VOCABULARY, Table, joined
 from vellum.llm.common import partitions, saved
 
 CAPACITY, CLOSE = 4096, 1
-TRIPLES = 24  #: further lengths tried with each length
+LAID = 0.8  #: part of the fit that is laid out; the rest leaves pieces of all lengths to fill what rounding leaves
+TRIPLES = 12  #: further lengths tried with each length
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, close: int = CLOSE, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
@@ -56,7 +58,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, close: int = CLOSE, vocabular
 
 
 def patterns(histogram: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Combinations of up to four present lengths (falling) that fill ``capacity``, or as nearly as a present length allows."""
+    """Combinations of up to six present lengths (falling) that fill ``capacity``, or as nearly as a present length allows."""
     present = np.flatnonzero(histogram[: capacity + 1])
     present = present[present > 0]
     best = np.zeros(capacity + 1, int)  # greatest present length up to here
@@ -76,14 +78,15 @@ def patterns(histogram: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
         some = spread[np.linspace(0, len(spread) - 1, min(len(spread), TRIPLES)).astype(int)] if len(spread) else []
         for b in sorted({*map(int, some), *(int(c) for c in common if c <= capacity - a)}):
             closed((a, b))
-            if (c := int(best[(capacity - a - b) // 2])):
-                closed((a, b, c))
+            for k in (2, 3, 4):  # equal parts of what is left
+                if c := int(best[(capacity - a - b) // k]):
+                    closed((a, b, *(c,) * (k - 1)))
         if (n := capacity // a) > 1:
             closed((a,) * min(n, 3))
     return sorted(out, reverse=True)
 
 
-def non_negative_fit(rows: list[tuple[int, ...]], histogram: np.ndarray, steps: int = 300) -> np.ndarray:
+def non_negative_fit(rows: list[tuple[int, ...]], histogram: np.ndarray, steps: int = 150) -> np.ndarray:
     """x >= 0 of least |A x - h|^2, A the lengths' counts in each pattern, by multiplicative steps from a positive start."""
     which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     length = np.array(list(itertools.chain(*rows)), int)
@@ -100,27 +103,57 @@ def non_negative_fit(rows: list[tuple[int, ...]], histogram: np.ndarray, steps:
     return x
 
 
-def layout(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that hold each length as often as the histogram says."""
+def rounded(rows: list[tuple[int, ...]], x: np.ndarray, histogram: np.ndarray, capacity: int) -> np.ndarray:
+    """Whole repeats of the patterns that fill a sequence: the fit's whole parts, then its largest remainders, as far as lengths are left."""
     left = histogram.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    rows = patterns(left, capacity)
-    x = non_negative_fit(rows, left) if rows else np.zeros(0)
-    full = [i for i, r in enumerate(rows) if sum(r) == capacity]
-    for i in sorted(full, key=lambda i: (-rows[i][0], -x[i])):
+    times = np.zeros(len(rows), np.int64)
+    full = np.array([sum(r) == capacity for r in rows])
+
+    def take(i: int, most: int) -> int:
         need = {n: rows[i].count(n) for n in rows[i]}
-        times = min(int(x[i]), *(int(left[n]) // c for n, c in need.items()))
-        if times:
-            out.append((rows[i], times))
-            for n, c in need.items():
-                left[n] -= c * times
-    return out + best_fit(left, capacity)
+        found = min(most, *(int(left[n]) // c for n, c in need.items()))
+        for n, c in need.items():
+            left[n] -= c * found
+        times[i] += found
+        return found
+
+    for i in np.flatnonzero(full)[np.argsort(-x[full], kind="stable")]:
+        if x[i] >= 1:
+            take(i, int(x[i]))
+    rest = x - times
+    goal = round(float(x.sum())) - int(times.sum())
+    for i in np.flatnonzero(full)[np.argsort(-rest[full], kind="stable")]:
+        if goal <= 0:
+            break
+        goal -= take(i, 1)
+    return times
+
+
+def fitted(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that the fit lays out; never more of a length than the histogram has."""
+    rows = patterns(histogram, capacity)
+    if not rows:
+        return []
+    times = rounded(rows, LAID * non_negative_fit(rows, histogram), histogram, capacity)
+    return [(rows[i], int(times[i])) for i in np.flatnonzero(times)]
+
+
+def layout(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that hold each length as often as the histogram says: the fitted patterns, and the rest by best fit."""
+    laid = fitted(histogram, capacity)
+    left = histogram.astype(np.int64).copy()
+    for pattern, times in laid:
+        for n in pattern:
+            left[n] -= times
+    return best_fit(left, capacity, laid)
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit by falling length on counts; equal open sequences are handled as one with a count."""
+def best_fit(left: np.ndarray, capacity: int, opened: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit by falling length on counts, into ``opened`` sequences and new ones; equal sequences are handled as one with a count."""
     room: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # by room left
     rooms = np.zeros(capacity + 1, bool)
+    for pattern, times in opened:
+        _put(room, rooms, capacity - sum(pattern), pattern, times)
     for n in map(int, np.flatnonzero(left)[::-1]):
         todo = int(left[n])
         while todo:
