@@ -35,6 +35,7 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -49,7 +50,7 @@ from tokenizers import Tokenizer
 from vellum.llm.common import partitions
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-DISTINCT, POSITIONS = 200_000, 2_000_000  #: of a block
+DISTINCT, POSITIONS = 130_000, 2_000_000  #: of a block
 ROWS = 256  #: rows of a batch of results
 PACKED = 8192  #: positions of a packed row, or one text
 WIDE = 65535  #: numbers from here on are written apart
@@ -57,6 +58,7 @@ _CODEC = pa.Codec("zstd")
 
 
 def load(vocabulary: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_file(vocabulary)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -114,8 +116,12 @@ class Numbers(dict):
 
 
 def blocks(batches: Iterator[pa.RecordBatch], distinct: int) -> Iterator[tuple[bytes, Numbers, list[pa.RecordBatch], list[np.ndarray]]]:
-    """(hash, words, rows, each row's word numbers) of each block; the text is the last column."""
+    """(hash, words, rows without the text, each row's word numbers) of each block; the text is the last column."""
     mark, words, rows, numbers, held = hashlib.blake2b(digest_size=16), Numbers(), [], [], 0
+
+    def kept(part: pa.RecordBatch, begin: int, end: int) -> pa.RecordBatch:
+        return part.select(range(part.num_columns - 1)).take(pa.array(range(begin, end), pa.int64()))  # a copy, so that no text is held
+
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
@@ -127,10 +133,10 @@ def blocks(batches: Iterator[pa.RecordBatch], distinct: int) -> Iterator[tuple[b
                 numbers.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
                 held += len(found)
                 if len(words) >= distinct or held >= POSITIONS:
-                    yield mark.digest(), words, [*rows, part.slice(begin, i - begin)], numbers
+                    yield mark.digest(), words, [*rows, kept(part, begin, i)], numbers
                     mark, words, rows, numbers, held, begin = hashlib.blake2b(digest_size=16), Numbers(), [], [], 0, i
             if begin < part.num_rows:
-                rows.append(part.slice(begin))
+                rows.append(kept(part, begin, part.num_rows))
     if rows:
         yield mark.digest(), words, rows, numbers
 
@@ -197,7 +203,7 @@ def _numbered(distinct: int):
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                     n = np.concatenate(own[i:j])
                     data.append(packed(np.minimum(n, WIDE).astype("<u2"), n[n >= WIDE].astype("<u4"), np.array([len(x) for x in own[i:j]], "<u4")))
-                texts = pa.StructArray.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+                texts = pa.StructArray.from_arrays(part.columns, names=part.schema.names)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([mark] * len(data), pa.binary()),
