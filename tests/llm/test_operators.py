@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellum.llm import bpe, fingerprint, jaccard, langid, linededup, packing, quality, sharding, topk, toxicity
+from vellum.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {"en": "the of and in on that which house river green stone walk speak under window", "de": "der die und ein ist nicht haus fluss grün stein gehen sprechen unter fenster straße"}
@@ -107,6 +108,59 @@ def test_language(docs, rows, nothing, spark):
     assert {r.lang_pred for r in langid.op2(spark.createDataFrame([(1, "some text", None, None, 1)], SCHEMA)).collect()} == {"und"}
 
 
+def word_grams(text):
+    """All n-grams of a text as strings, one of each place."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return [g for w in words for n in langid.SIZES for k in range(len(w) + 3 - n) if (g := f" {w} "[k : k + n]).strip()] if words else []
+
+
+def brute_languages(rows):
+    """The operator's rule with sets of strings in place of the filter; (lang, score) of each text."""
+    learnt = collections.defaultdict(list)
+    for i, t, lang, *_ in rows:
+        if lang and t is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            learnt[lang].append(set(word_grams(t)))
+    order = sorted(learnt, key=lambda x: (-len(learnt[x]), x))
+    rate = {lang: {g: n / len(texts) for g, n in collections.Counter(g for t in texts for g in t).items()} for lang, texts in learnt.items()}
+    best = collections.defaultdict(float)
+    for of in rate.values():
+        for g, r in of.items():
+            best[g] = max(best[g], r)
+    kept = {lang: {g for g, r in rate[lang].items() if r >= langid.MIN_SHARE and r * langid.RATIO >= best[g]} for lang in order}
+    out = []
+    for _, t, *_ in rows:
+        found = word_grams(t or "")
+        hits = [sum(g in kept[lang] for g in found) for lang in order]
+        top = max(range(len(order)), key=lambda k: hits[k])
+        out.append((order[top], hits[top] / sum(hits)) if found and sum(hits) else (order[0] if found else "und", 0.0))
+    return out
+
+
+def test_language_by_sets(docs, rows):
+    """The filter beside sets of strings: the same language, and a score that its false positives hardly change."""
+    out = collections.defaultdict(list)
+    for r in langid.op2(docs).collect():
+        out[r.doc_id].append((r.lang_pred, r.score))
+    compared = 0
+    for (i, t, *_), (lang, score) in zip(rows, brute_languages(rows), strict=True):
+        if i is not None and len(out[i]) == 1 and t and len(t) < 5000 and "日" not in t and "İ" not in t:
+            assert abs(out[i][0][1] - score) < (0.02 if len(t) > 60 else 0.1), (i, out[i], lang, score)
+            assert out[i][0][0] == lang or abs(score - 0.5) < 0.05
+            compared += 1
+    assert compared > 60
+
+
+def test_forty_languages(spark):
+    """One path however many languages there are; none is cut."""
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)] + list("äöüßéèçñøåłőűčšž")
+    own = {f"l{k:02d}": ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(40)] for k in range(40)}
+    rows = [(100 * k + n, " ".join(rng.choices(words, k=30)), lang) for k, (lang, words) in enumerate(own.items()) for n in range(12)]
+    out = langid.op2(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang_of = {i: lang for i, _, lang in rows}
+    assert all(r.lang_pred == lang_of[r.doc_id] for r in out)
+
+
 def brute_pieces(rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tokenizer.no_truncation()
@@ -220,7 +274,7 @@ def test_decode_of_odd_ids(spark):
 
 def test_quality(spark, docs, rows, nothing):
     junk = [(1000 + i, "%%% ### " * 30, "en", "s", 0) for i in range(40)]
-    both = docs.select(*nothing.columns).union(spark.createDataFrame(junk, SCHEMA))
+    both = docs.unionByName(spark.createDataFrame(junk, SCHEMA), allowMissingColumns=True)
     known = spark.createDataFrame([(i, 1) for i, *_ in rows if i is not None] + [(i, 0) for i, *_ in junk] + [(None, 1), (1, None)], "doc_id long, quality int")
     out = quality.op5(both, known).collect()
     assert len(out) == len(rows) + len(junk)
@@ -246,7 +300,7 @@ def test_toxicity(spark, docs, rows, nothing):
 
     made = [(2000 + i, f"{prose(rng, 'en', 25)} {spoilt() if i % 2 else ''} {spoilt() if i % 2 else ''} {prose(rng, 'en', 25)}", "en", "s", 0) for i in range(500)]
     known = spark.createDataFrame([(i, i % 2) for i, *_ in made] + [(None, 1), (1, None)], "doc_id long, toxic int")
-    out = toxicity.op7(docs.select(*nothing.columns).union(spark.createDataFrame(made, SCHEMA)), known).collect()
+    out = toxicity.op7(docs.unionByName(spark.createDataFrame(made, SCHEMA), allowMissingColumns=True), known).collect()
     assert len(out) == len(rows) + len(made)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     held = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id >= 2000]
@@ -277,6 +331,81 @@ def asked_topk(df, **sizes):
     return dict(out)
 
 
+def brute_features(text):
+    """The features by their definitions, sign by sign."""
+    raw = text.encode()
+    if not raw:
+        return [0.0] * len(quality.NAMES)
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    capitals, small = (sum(a <= c <= b for c in raw) for a, b in ((65, 90), (97, 122)))
+    letters, count, white = max(1, capitals + small), max(1, len(words)), raw.count(b" ") + raw.count(b"\n")
+    signs = [raw.count(bytes([c])) for c in quality.SIGNS]
+    ends = sum(1 for w in set(words) if not w[-1].isalnum() and w[-1] not in ".,;:")
+    return [
+        np.log1p(len(raw)), capitals / letters, sum(48 <= c <= 57 for c in raw) / len(raw), sum(c >= 128 for c in raw) / len(raw), sum(signs) / len(raw), white / len(raw), np.log1p(len(words)),
+        (len(raw) - white) / count / 10, len(set(words)) / count**0.8, sum(a == b for a, b in itertools.pairwise(words)) / count, 1 / max(1, len(set(words))), ends / max(1, len(set(words))),
+        np.log1p(len(lines)), len(set(lines)) / max(1, len(lines)), np.log1p(count / max(1, len(lines))), float(capitals > 0.6 * letters), *[(x / count) ** 0.5 for x in signs],
+    ]
+
+
+def test_quality_by_definition(rows):
+    for _, t, *_ in rows:
+        assert np.allclose(quality.features(t or ""), brute_features(t or ""), atol=1e-9)
+
+
+def test_preferences_are_fitted():
+    """The weights of pairs fitted by Newton are the minimum of the pairs' logistic loss; scores and threshold follow."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(0, 1, (400, 4)), np.ones(400)])
+    y = (x[:, 0] - 2 * x[:, 1] + rng.normal(0, 1, 400) > -0.5).astype(int)
+    model = quality.fit_pairs(x, y, pairs=5000)
+    draw = np.random.default_rng(7)
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-6, x.std(axis=0), np.inf)
+    d = z[draw.choice(np.flatnonzero(y == 1), 5000)] - z[draw.choice(np.flatnonzero(y == 0), 5000)]
+    w = model.weights * np.where(x.std(axis=0) > 1e-6, x.std(axis=0), 0)
+
+    def loss(w):
+        return np.log1p(np.exp(-(d @ w))).mean() + 0.5e-3 * w @ w
+
+    for step in np.eye(5)[:4] * 0.01:
+        assert loss(w) < loss(w + step) and loss(w) < loss(w - step)
+    score = 1 / (1 + np.exp(-(x @ model.weights + model.offset)))
+    assert abs((score < quality.CUT).mean() - (y == 0).mean()) < 0.03
+
+
+def test_toxicity_by_definition():
+    """Scores from the model's vectors, word by word and n-gram by n-gram."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS), -0.3)
+    texts = ["", "one", "a b c d e f g h i", "Some LONGER text, with signs! and naïve wörds " * 5, "\n\t "]
+
+    def word(w):
+        w = "<" + "".join(c for c in w if ord(c) >= 128 or c.isalnum()) + ">"
+        grams = [w[i : i + n] for n in range(3, 7) for i in range(len(w) - n + 1)]
+        return np.mean([model.gram[toxicity.subwords_of(g)] for g in grams]) if grams else 0.0
+
+    for t, s in zip(texts, model.scores(texts), strict=True):
+        u = sorted((word(w) for w in t.lower().split()), reverse=True)[: toxicity.TOP]
+        assert abs(s - 1 / (1 + np.exp(-((np.mean(u) if u else 0) - 0.3)))) < 1e-6
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    rng = random.Random(3)
+    made = [(i, " ".join(prose(rng, "en", 500) + (" worthless stupid disgusting" if i % 2 else "") for _ in range(10))) for i in range(80)]
+    known = spark.createDataFrame([(i, i % 2) for i, _ in made], "doc_id long, toxic int")
+    assert min(len(t) for _, t in made) > 30_000
+    out = toxicity.op7(spark.createDataFrame(made, "doc_id long, text string"), known).collect()
+    assert max(r.score for r in out) > 0.5 > min(r.score for r in out)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(1000, 1400)] + [(5000, 5001)]
+    out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {**{i: 1000 for i in range(1000, 1401)}, 5000: 5000, 5001: 5000}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), rounds=2)
+
+
 @pytest.mark.parametrize("block", [40, 4096])
 def test_topk(spark, block):
     rng = np.random.default_rng(2)

@@ -1,9 +1,12 @@
 """The pipeline's stages on odd rows, and the whole against a brute-force version of what it keeps."""
 
+import collections
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import SCHEMA, brute_runs, odd_rows
+from tests.llm.test_operators import SCHEMA, brute_join, brute_pieces, brute_runs, odd_rows
 from vellum.llm import linededup
 
 
@@ -49,6 +52,22 @@ def test_line_stage(spark, folder):
     assert out == {(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])) for i, t, *_ in rows}
 
 
+def test_near_copy_stage(spark, folder):
+    """Of each group of texts linked by five words and 0.8 the least id stays, and all texts that are linked with none."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = [tuple(r) for r in docs.collect()]
+    first = {i: c for (i, _, c, _), n in brute_join(rows, 5, 80).items()}
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_copy_stage(spark, docs, folder).collect())
+    assert kept == sorted(i for i, *_ in rows if first[i] == i)
+
+
+def test_packing_stage(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    out = corpus_pipeline.packing_stage(spark, docs.withColumns({"length": F.lit("x"), "piece": F.lit("x"), "offset": F.lit("x")}), folder).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == collections.Counter(brute_pieces(rows))
+
+
 def test_run(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

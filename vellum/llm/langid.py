@@ -9,8 +9,8 @@ N-grams are runs of 1 to 4 lower-cased letters of a word, a space standing for i
 ends.  A language contains those that at least ``MIN_SHARE`` of its training texts
 hold and that are not ``RATIO`` times rarer than in another language.
 
-Fitted on a bounded sample (``PER_LANGUAGE`` rows of each language, in hash order);
-the filter has a fixed size.  Prediction is one pass without a shuffle.
+Fitted on a bounded sample (``PER_LANGUAGE`` rows of each language, by a hash of id and text);
+the filter has a fixed size for every 8 languages, however many n-grams they have.  Prediction is one pass without a shuffle.
 
 Defined cases: null text, or a text without letters: ``und``, score 0.  Letters but
 no known n-gram: the language with most training rows, score 0.  No training rows at
@@ -35,7 +35,6 @@ SIZES = (1, 2, 3, 4)
 SLOTS = 1 << 20
 PER_LANGUAGE = 2000
 MIN_SHARE, RATIO = 0.02, 4.0
-MOST_GRAMS = 100_000  #: of one language
 CHUNK = 1 << 19  #: code points worked on at once
 _M = 0x9E3779B97F4A7C15
 
@@ -136,32 +135,23 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Fil
     if not languages:
         return Filter([], np.zeros((1, SLOTS), np.uint8), np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    taken = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    taken = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
     counts = taken.groupBy("lang").agg(F.count("*").alias("of"))
     held = taken.select("lang", "text").mapInArrow(_counted, "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("n"))
     rate = held.join(F.broadcast(counts), "lang").select("lang", "gram", (F.col("n") / F.col("of")).alias("rate")).where(F.col("rate") >= MIN_SHARE / RATIO)
     best = rate.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "rate")).alias("by"))
-    # An n-gram at this share of texts: a bounded number for each language.
     kept = best.select("gram", "best", F.explode("by").alias("x")).where((F.col("x.rate") >= MIN_SHARE) & (F.col("x.rate") * RATIO >= F.col("best")))
+    # The filter is filled where the n-grams lie: what comes to the driver is at most SLOTS rows for every 8 languages.
+    order = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+    places = kept.select(F.element_at(order, F.col("x.lang")).alias("i"), F.explode(F.array(F.col("gram"), F.shiftrightunsigned("gram", 32))).alias("h"))
+    byte = F.floor(F.col("i") / 8).cast("int").alias("byte")
+    bits = places.groupBy(byte, F.col("h").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("i") % 8).cast("int"))).alias("bits")).toArrow()
     slots = np.zeros((-(-len(languages) // 8), SLOTS), np.uint8)
-    for i, lang in enumerate(languages):
-        found = kept.where(F.col("x.lang") == lang).orderBy(F.desc("x.rate"), "gram").limit(MOST_GRAMS).select("gram").toPandas() if len(languages) > 16 else None
-        if found is not None:
-            _set(slots, i, found["gram"].to_numpy())
-    if len(languages) <= 16:
-        found = kept.select(F.col("x.lang").alias("lang"), "gram").toPandas()
-        for i, lang in enumerate(languages):
-            _set(slots, i, found.loc[found["lang"] == lang, "gram"].to_numpy())
+    slots[bits["byte"].to_numpy(), bits["slot"].to_numpy()] = bits["bits"].to_numpy()
     fill = np.array([((slots[i // 8] >> (i % 8)) & 1).mean() for i in range(len(languages))])
     return Filter(languages, slots, fill**2)
 
 
-def _set(slots: np.ndarray, language: int, gram: np.ndarray) -> None:
-    h = gram.astype(np.int64).view(np.uint64)
-    for at in (h & np.uint64(SLOTS - 1), (h >> np.uint64(32)) & np.uint64(SLOTS - 1)):
-        slots[language // 8][at.astype(np.int64)] |= np.uint8(1 << (language % 8))
-
-
 def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred, score, coverage."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS bytes for every 8 languages

@@ -70,6 +70,15 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(at)
 
 
+def subwords_of(gram: str) -> int:
+    """The bucket of one n-gram, by plain numbers."""
+    h = 0
+    for c in gram:
+        h = (h * int(_M) + ord(c)) & (1 << 64) - 1
+    x = (h + len(gram)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    return (x ^ (x >> 31)) % BUCKETS
+
+
 def flat_subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all words' n-grams, word after word, and how many each has), worked out in steps to save memory."""
     buckets, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
@@ -208,8 +217,12 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 350, ba
             bias -= 0.1 * gb / np.sqrt(bias2)
     judged = [i for i in range(len(docs)) if apart[i] or not apart.any()]
     slope, offset = soft[:, 1] - soft[:, 0], bias[1] - bias[0]
-    row, g = grams_of(np.arange(len(places)))
-    bags = np.stack([np.bincount(row, (vectors[:, k] * live)[g], minlength=len(places)) for k in range(DIM)], axis=1) / np.maximum(1, count[: len(places)])[:, None]
+    bags = np.zeros((len(places), DIM), np.float32)
+    for i in range(0, len(places), STEP):
+        some = np.arange(i, min(i + STEP, len(places)))
+        row, g = grams_of(some)
+        sums = np.stack([np.bincount(row, (vectors[:, k] * live)[g], minlength=len(some)) for k in range(DIM)], axis=1)
+        bags[some] = sums / np.maximum(1, count[some])[:, None]
     for _ in range(4):
         u = bags @ slope
         x = np.array([bags[docs[i][worst_words(u[docs[i]])]].mean(axis=0) for i in judged])
