@@ -50,4 +50,17 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_packing, op4_bpe, op5_quality, op6_topk, op7_toxicity, op8_line_dedup, op9_reshard, op10_jaccard)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Fingerprints, models, tokenizers, packings and flows are beyond SQL; their tests compare with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_jaccard": """WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM g),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(other) FROM r WHERE r.doc_id = g.doc_id) AS component_id, (SELECT count(*) FROM l WHERE l.a = g.doc_id) AS n_links FROM g""",
+}
