@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from vellum.plans import browse, sequence, summary
+from vellum.plans import browse, library, sequence, summary
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**browse.QUERIES, **summary.QUERIES, **sequence.QUERIES}
-SQL = {**browse.ORACLE_SQL, **summary.ORACLE_SQL, **sequence.ORACLE_SQL}
+QUERIES = {**browse.QUERIES, **summary.QUERIES, **sequence.QUERIES, **library.QUERIES}
+SQL = {**browse.ORACLE_SQL, **summary.ORACLE_SQL, **sequence.ORACLE_SQL, **library.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
