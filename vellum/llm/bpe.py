@@ -34,7 +34,9 @@ table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -66,7 +68,7 @@ def load(vocabulary: str) -> Tokenizer:
 
 
 def word_ids(tokenizer: Tokenizer, words: list[bytes]) -> list[list[int]]:
-    found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+    found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
     return [e.ids for e in found]
 
 
@@ -85,6 +87,34 @@ def split_words(text: bytes) -> list[bytes]:
     return [w.lower() if w.isascii() else w for w in _STOPS.sub(rb" \g<0>", text).split()]
 
 
+class Memo(dict):
+    """Word to its ids as little-endian unsigned 32-bit numbers, of words that a worker has met.
+
+    When it is full the words met last go: those in common use were met first.
+    """
+
+    def __init__(self, vocabulary: str, most: int = 600_000):
+        super().__init__()
+        self.tokenizer, self.most = load(vocabulary), most
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids; the words that are new to the worker are encoded together."""
+        words = [split_words(t) for t in texts]
+        if len(self) > self.most:
+            kept = dict(itertools.islice(self.items(), self.most // 2))
+            self.clear()
+            self.update(kept)
+        new = [w for w in set().union(*words) if w not in self]
+        self.update(zip(new, (np.array(x, "<u4").tobytes() for x in word_ids(self.tokenizer, new)), strict=True))
+        return [b"".join(map(self.__getitem__, w)) for w in words]
+
+
+@functools.lru_cache(maxsize=1)
+def memo(vocabulary: str) -> Memo:
+    """The worker's own, kept from task to task."""
+    return Memo(vocabulary)
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, empty for null."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

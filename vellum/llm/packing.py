@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.llm.bpe import VOCABULARY, Table, joined
+from vellum.llm.bpe import ROWS, VOCABULARY, memo, raw_texts
 from vellum.llm.common import partitions, saved
 
 CAPACITY, CLOSE = 4096, 1
@@ -43,18 +43,19 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, close: int = CLOSE, vocabular
     """(doc_id, piece, start, length, ids_crc32) of each piece of each document."""
     end = np.array([close], "<u4").tobytes()
 
-    def finish(kept: dict, numbers: list[np.ndarray], table: Table, held: dict) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-        for i, words in zip(kept["doc_id"].to_pylist(), numbers, strict=True):
-            ids = table.of(words).astype("<u4").tobytes() + end
-            for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                for key, x in zip(out, (i, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                    out[key].append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], names=list(out))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return joined(rows, ["doc_id"], finish, "doc_id long, piece int, start long, length long, ids_crc32 long", vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = memo(vocabulary)
+        for b in (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS)):
+            out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
+            for i, ids in zip(b.column(0).to_pylist(), own.of(raw_texts(b.column(1))), strict=True):
+                ids += end
+                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    for key, x in zip(out, (i, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        out[key].append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], names=list(out))
+
+    return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(histogram: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
