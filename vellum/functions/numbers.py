@@ -65,9 +65,79 @@ def isbn_valid(code: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """32-bit FNV-1a of a text's bytes, as an unsigned number in a long."""
-    codes = F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != ""), F.ascii)
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x.cast("long")) * 16777619).bitwiseAND(F.lit(4294967295).cast("long")))
+    """32-bit FNV-1a of a text's UTF-16 units, as an unsigned number in a long."""
+    raw = F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-16BE"))
+    units = F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.length(raw) / 4).cast("int")), lambda i: i * 4 < F.length(raw)), lambda i: F.conv(F.substring(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(4294967295).cast("long")))
+
+
+def hash01(c: Column, salt: int = 0) -> Column:
+    """A number from 0 to 1 that a text and a salt always give."""
+    return fnv1a(F.concat(F.lit(f"{salt}:"), c)) / 4294967296
+
+
+def split_days(days: Column) -> list[Column]:
+    """Whole years of 365 days and the days left."""
+    d = F.greatest(F.ceil(days), F.lit(0))
+    return [F.floor(d / 365).alias("years"), (d % 365).alias("days")]
+
+
+def iso_valid(day: Column) -> Column:
+    """True for a text of the form year-month-day that names a day."""
+    return F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def calendar_day(at: Column, zone: str) -> Column:
+    """The calendar day of a UTC instant in a zone, as year-month-day."""
+    return F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd")
+
+
+def language(code: Column) -> Column:
+    """Lower-case code of two letters, regions cut off; null for anything else."""
+    c = F.lower(F.trim(code))
+    return F.when(c.rlike("^[a-z]{2}(?:[-_].*)?$"), F.substring(c, 1, 2))
+
+
+def country(code: Column) -> Column:
+    """Upper-case code of two letters, null for anything else."""
+    c = F.upper(F.trim(code))
+    return F.when(c.rlike("^[A-Z]{2}$"), c)
+
+
+def flag(code: Column) -> Column:
+    """The two letter signs that show a country's flag, empty for anything else."""
+    letters = {chr(a): chr(0x1F1E6 + a - 65) for a in range(65, 91)}
+    table = F.create_map(*[F.lit(x) for kv in letters.items() for x in kv])
+    c = country(code)
+    return F.when(c.isNotNull(), F.concat(F.try_element_at(table, F.substring(c, 1, 1)), F.try_element_at(table, F.substring(c, 2, 1)))).otherwise("")
+
+
+def stars(rating: Column, of: int = 5) -> Column:
+    """Full and empty stars, empty without a rating."""
+    r = F.least(F.round(rating), F.lit(of)).cast("int")
+    return F.when(rating > 0, F.concat(F.repeat(F.lit("★"), r), F.repeat(F.lit("☆"), of - r))).otherwise("")
+
+
+def clean_isbn(code: Column) -> Column:
+    """Digits (and X at last) of a code of 10 or 13 signs, empty for anything else; the check digit is not looked at."""
+    c = F.regexp_replace(F.upper(F.coalesce(code, F.lit(""))), "[^0-9X]", "")
+    return F.when(c.rlike(r"^(?:\d{13}|\d{9}[\dX])$"), c).otherwise("")
+
+
+def isbn10_from(isbn13: Column) -> Column:
+    """The 10-sign form of a 978 code, null for others."""
+    body = F.substring(isbn13, 4, 9)
+    digits = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.substring(body, i, F.lit(1)).try_cast("int") * (11 - i))
+    check = F.pmod(11 - F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 11, F.lit(11))
+    return F.when(isbn13.rlike(r"^978\d{10}$"), F.concat(body, F.when(check == 10, "X").otherwise(check.cast("string"))))
+
+
+def nice_step(most: Column, ticks: int = 5) -> Column:
+    """Step of 1, 2, 5 or 10 times a power of ten with which ``ticks`` steps reach ``most``; 1 at least."""
+    rough = F.greatest(most / ticks, F.lit(1e-9))
+    power = F.pow(F.lit(10.0), F.floor(F.log10(rough)))
+    part = rough / power
+    return F.greatest(F.when(part <= 1, 1).when(part <= 2, 2).when(part <= 5, 5).otherwise(10) * power, F.lit(1.0))
 
 
 def luminance(hex_colour: Column) -> Column:

@@ -1,10 +1,9 @@
-"""Text functions: folding, titles, similarity.  All but the token-set ratio are Catalyst expressions."""
+"""Text functions: folding, titles, similarity, as Catalyst expressions."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,48 +94,25 @@ def haystack(*columns: Column) -> Column:
     return fold_for_search(F.concat_ws("  ", *[F.when(c != "", c) for c in columns]))
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def _ratio(a: str, b: str) -> float:
-    return 1.0 if a == b else 1 - _distance(a, b) / max(len(a), len(b))
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """Edit ratio of two titles whose words are first put in the same order, equal and then similar words leading."""
-    left, right = set(a.split()), set(b.split())
-    if not left or not right:
-        return float(left == right)
-    both, left, right = sorted(left & right), left - right, right - left
-    close = sorted((-r, x, y) for x in left for y in right if min(len(x), len(y)) >= 3 and (r := _ratio(x, y)) >= 0.75)
-    pairs: dict[str, str] = {}
-    for _, x, y in close:
-        if x not in pairs and y not in pairs.values():
-            pairs[x] = y
-    order = sorted(pairs)
-    return _ratio(
-        " ".join([*both, *order, *sorted(left - set(order))]),
-        " ".join([*both, *(pairs[x] for x in order), *sorted(right - set(pairs.values()))]),
-    )
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Edit ratio of two folded titles whose words are first put in the same order: equal ones lead, then similar ones side by side."""
+    left, right = F.array_distinct(words(a)), F.array_distinct(words(b))
+    both = F.array_sort(F.array_intersect(left, right))
+    l, r = F.array_except(left, right), F.array_except(right, left)
+    near = F.flatten(F.transform(l, lambda x: F.transform(r, lambda y: F.struct((-edit_ratio(x, y)).alias("m"), x.alias("x"), y.alias("y")))))
+    near = F.array_sort(F.filter(near, lambda p: (F.least(F.length(p["x"]), F.length(p["y"])) >= 3) & (p["m"] <= -0.75)))
+    none = F.array().cast("array<struct<x:string,y:string>>")
+    fresh = lambda acc, p: ~F.exists(acc, lambda q: (q["x"] == p["x"]) | (q["y"] == p["y"]))
+    pairs = F.array_sort(F.aggregate(near, none, lambda acc, p: F.when(fresh(acc, p), F.concat(acc, F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"))))).otherwise(acc)))
+    xs, ys = F.transform(pairs, lambda p: p["x"]), F.transform(pairs, lambda p: p["y"])
+    first = F.array_join(F.concat(both, xs, F.array_sort(F.array_except(l, xs))), " ")
+    second = F.array_join(F.concat(both, ys, F.array_sort(F.array_except(r, ys))), " ")
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), (left == right).cast("double")).otherwise(edit_ratio(first, second))
 
 
 def title_similarity(a: Column, b: Column) -> Column:
-    """Greater of edit ratio and token-set ratio of two title keys; 0 if either is empty.
-
-    For pairs that blocking has left: the token-set part runs in Arrow batches.
-    """
-
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(p, q) for p, q in zip(x, y, strict=True)], index=x.index, dtype=float)
-
-    sets = F.pandas_udf(ratio, "double")
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(edit_ratio(a, b), sets(a, b)))
+    """Greater of edit ratio and token-set ratio of two title keys; 0 if either is empty."""
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(edit_ratio(a, b), token_set_ratio(a, b)))
 
 
 def split_authors(c: Column) -> Column:

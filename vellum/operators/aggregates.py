@@ -90,12 +90,12 @@ def exploded_counts(df: DataFrame, key: str, values: Column, empty: str) -> Data
     return df.select(F.explode(F.when(F.size(distinct) == 0, F.array(F.lit(empty))).otherwise(distinct)).alias("value")).groupBy("value").agg(F.count("*").alias("count"))
 
 
-def rollup_status(df: DataFrame, group: str, status: str) -> DataFrame:
-    """Status of a group from its rows' states: any ``P`` open, all ``F`` done, else mixed."""
+def rollup_status(df: DataFrame, group: str, status: str, done: str, running: str) -> DataFrame:
+    """Status of a group from its rows' states: processing while any is ``running``, ready if all are ``done``, else open."""
     return df.groupBy(group).agg(
         F.count("*").alias("rows"),
-        F.count_if(F.col(status) == "F").alias("done"),
-        F.when(F.count_if(F.col(status) == "P") > 0, "processing").when(F.count_if(F.col(status) != "F") == 0, "ready").otherwise("open").alias("status"),
+        F.count_if(F.col(status) == done).alias("done"),
+        F.when(F.count_if(F.col(status) == running) > 0, "processing").when(F.count_if(F.col(status) != done) == 0, "ready").otherwise("open").alias("status"),
     )
 
 

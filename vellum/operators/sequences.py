@@ -80,29 +80,32 @@ def overlapping_batches(df: DataFrame, order: list[str], size: int, overlap: int
     return rows.withColumn("batch", F.explode(F.sequence(first, until)))
 
 
-def redundancy_filter(df: DataFrame, group: str, order: str, value: str, threshold: float, gap: float) -> DataFrame:
+def redundancy_filter(df: DataFrame, group: str, order: list[str], value: str, threshold: float, gap: float) -> DataFrame:
     """Rows kept by a scan of each group: the first, the last, and those that differ from the last KEPT one by
-    ``threshold`` or come ``gap`` after it.  The scan needs one row of state, so a group streams through its task in
-    batches; no group is held whole."""
+    ``threshold`` or come ``gap`` (of the first order column) after it; further order columns part ties.  The scan needs
+    one row of state, so a group streams through its task in batches; no group is held whole."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group_now, kept, waiting = None, None, None  # waiting: the row seen last, if it was not kept
+        now, kept, waiting = None, None, None  # waiting: the last row of the batch before, if it was not kept
         for part in parts:
-            take: list[int] = []
-            extra = []
-            for i, (g, o, v) in enumerate(zip(part[group], part[order], part[value], strict=True)):
-                if g != group_now:
-                    if waiting is not None:
-                        extra.append(waiting)
-                    group_now, kept, waiting = g, (o, v), None
+            take, last = [], None
+            for i, (g, o, v) in enumerate(zip(part[group], part[order[0]], part[value], strict=True)):
+                if g != now:
+                    if last is not None:
+                        take.append(last)
+                    elif waiting is not None:
+                        yield waiting
+                    now, kept, last, waiting = g, (o, v), None, None
                     take.append(i)
                 elif abs(v - kept[1]) >= threshold or o - kept[0] > gap:
-                    kept, waiting = (o, v), None
+                    kept, last, waiting = (o, v), None, None
                     take.append(i)
                 else:
-                    waiting = part.iloc[[i]]
-            yield pd.concat([*extra, part.iloc[take]])
+                    last = i
+            if last is not None:
+                waiting = part.iloc[[last]]
+            yield part.iloc[take]
         if waiting is not None:
             yield waiting
 
-    return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, df.schema)
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, df.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import numbers, text
-from vellum.operators import joins
+from vellum.operators import catalogue, joins
 from vellum.operators.sequences import overlapping_batches, uniform_sample
 from vellum.sources import export, query_string
 from vellum.storage import table
@@ -27,11 +27,12 @@ def query(sql: str | None = None):
 @query("""SELECT p_partkey, p_brand, p_type, p_size FROM part
 WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#23') AND CAST(floor(p_size / 10.0) * 10 AS INT) IN (10, 20)""")
 def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filters = query_string.parse("brand=Brand%2311&brand=Brand%2312&brand=Brand%2323&decade=10&decade=20")
-    return table(spark, sf_dir, "part").where(query_string.predicate(filters)).select("p_partkey", "p_brand", "p_type", "p_size")
+    filters = query_string.parse("topic=Brand%2311,Brand%2312,Brand%2323&decade=10,20,15")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", F.lit(None).cast("string").alias("category"), F.array("p_brand").alias("topics"), F.col("p_size").alias("year"))
+    return rows.where(catalogue.predicate(filters)).select("p_partkey", "p_brand", "p_type", "p_size")
 
 
-@query("""SELECT p_partkey, p_name FROM part, (SELECT 1)
+@query("""SELECT p_partkey, p_name FROM part
 WHERE contains(lower(p_name), 'a') AND contains(lower(p_name), 'e') AND contains(lower(p_brand), 'brand')""")
 def free_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
@@ -70,9 +71,10 @@ def exists_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_flag(table(spark, sf_dir, "orders"), "o_orderkey", returned, "l_orderkey", "has_other").select("o_orderkey", "has_other")
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
 def anti_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owners = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    owners = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(owners, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -131,7 +133,11 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.neighbours(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")], "event_id").select("event_id", "previous", "next")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT s_nationkey AS g, s_suppkey AS l, c_custkey AS r, abs(CAST(round(s_acctbal * 100) AS BIGINT) - CAST(round(c_acctbal * 100) AS BIGINT)) AS d FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d, l, r) AS i FROM p),
+w AS (SELECT g, 0 AS i, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS rs, CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS r FROM (SELECT DISTINCT g FROM p)
+UNION ALL SELECT w.g, b.i, list_append(ls, b.l), list_append(rs, b.r), b.l, b.r FROM w, LATERAL (SELECT n.i, n.l, n.r FROM n WHERE n.g = w.g AND n.i > w.i AND NOT list_contains(ls, n.l) AND NOT list_contains(rs, n.r) ORDER BY n.i LIMIT 1) b)
+SELECT l AS s_suppkey, r AS c_custkey, -round(abs(s_acctbal - c_acctbal), 2) AS score FROM w JOIN supplier ON l = s_suppkey JOIN customer ON r = c_custkey""")
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and customers of a nation, matched one to one by nearness of balance (in cents)."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
@@ -195,16 +201,18 @@ def article_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.without_article(text.fold_for_search(title)).alias("key"))
 
 
-@query("""SELECT p_partkey, isbn || CAST((10 - s % 10) % 10 AS VARCHAR) AS isbn13, true AS valid FROM
+@query("""SELECT p_partkey, isbn || CAST((10 - s % 10) % 10 AS VARCHAR) AS isbn13, isbn || CAST(p_partkey % 10 AS VARCHAR) AS code, (10 - s % 10) % 10 = p_partkey % 10 AS valid FROM
 (SELECT p_partkey, isbn, list_sum(list_transform(range(1, 13), lambda i: CAST(substr(isbn, i, 1) AS INT) * (CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END))) AS s
 FROM (SELECT p_partkey, '978' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS isbn FROM part))""")
 def isbn_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = numbers.isbn13_from(F.concat(F.lit("978"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")))
-    return table(spark, sf_dir, "part").select("p_partkey", code.alias("isbn13")).withColumn("valid", numbers.isbn_valid(F.col("isbn13")))
+    """Check digits of made-up codes, and codes with the right digit or, mostly, a wrong one."""
+    body = F.concat(F.lit("978"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", numbers.isbn13_from(body).alias("isbn13"), F.concat(body, (F.col("p_partkey") % 10).cast("string")).alias("code"))
+    return rows.withColumn("valid", numbers.isbn_valid(F.col("code")))
 
 
-@query("""WITH t AS (SELECT p_partkey, p_name, p_partkey % 12 + 1 AS v FROM part) SELECT p_partkey, CAST(v AS VARCHAR) AS volumes FROM t""")
+@query("""WITH t AS (SELECT p_partkey, p_name, p_partkey % 12 + 1 AS v FROM part) SELECT p_partkey, CAST(v AS VARCHAR) AS volumes FROM t""".replace("% 12 + 1", "% 39 + 1"))
 def volume_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roman = F.array(*[F.lit(x) for x in "I II III IV V VI VII VIII IX X XI XII".split()])
-    title = F.concat(F.col("p_brand").substr(1, 5), F.lit(" "), F.element_at(roman, (F.col("p_partkey") % 12 + 1).cast("int")), F.lit("."))
+    roman = F.array(*[F.lit("X" * t + o) for t in range(4) for o in " I II III IV V VI VII VIII IX".split(" ")][1:])
+    title = F.concat(F.col("p_brand").substr(1, 5), F.lit(" "), F.element_at(roman, (F.col("p_partkey") % 39 + 1).cast("int")), F.lit("."))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.volume_numbers(title).cast("array<string>"), ",").alias("volumes"))

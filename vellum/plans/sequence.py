@@ -71,10 +71,13 @@ def count_window_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.window_argmax(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", 8, "value")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+w AS (SELECT user_id, event_id, r, n, value AS v, sec AS s, true AS kept FROM e WHERE r = 1
+UNION ALL SELECT e.user_id, e.event_id, e.r, e.n, CASE WHEN k THEN e.value ELSE w.v END, CASE WHEN k THEN e.sec ELSE w.s END, k FROM w JOIN (SELECT * FROM e) e ON e.user_id = w.user_id AND e.r = w.r + 1, LATERAL (SELECT abs(e.value - w.v) >= 30 OR e.sec - w.s > 604800 AS k) x)
+SELECT event_id, user_id FROM w WHERE kept OR r = n""")
 def redundancy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", _seconds("ts").alias("at"), "value", "event_id")
-    return S.redundancy_filter(rows, "user_id", "at", "value", 30.0, 86400.0 * 7)
+    return S.redundancy_filter(rows, "user_id", ["at", "event_id"], "value", 30.0, 86400.0 * 7).select("event_id", "user_id")
 
 
 @query("""SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM events""")
@@ -161,7 +164,7 @@ def retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.tumbling(table(spark, sf_dir, "events"), "ts", "6 hours")
+    return state.tumbling(table(spark, sf_dir, "events"), "ts", "6 hours", "event_type")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS s FROM events),

@@ -127,13 +127,13 @@ def weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey, count(*) AS rows, count(*) FILTER (o_orderstatus = 'F') AS done,
 CASE WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'processing' WHEN count(*) FILTER (o_orderstatus <> 'F') = 0 THEN 'ready' ELSE 'open' END AS status FROM orders GROUP BY 1""")
 def conditional_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rollup_status(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
+    return A.rollup_status(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "F", "P")
 
 
 @query("""SELECT o_custkey, CASE WHEN d <= 0 THEN 0 WHEN d >= n THEN 100 ELSE CAST(least(greatest(round(100.0 * d / n), 1), 99) AS INT) END AS percent
 FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS d, count(*) AS n FROM orders GROUP BY 1)""")
 def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = A.rollup_status(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
+    done = A.rollup_status(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "F", "P")
     return done.select("o_custkey", numbers.percent(F.col("done"), F.col("rows")).alias("percent"))
 
 

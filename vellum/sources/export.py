@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,18 @@ def csv_lines(df: DataFrame, columns: list[str], delimiter: str = ",") -> DataFr
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str, delimiter: str = ",") -> None:
-    csv_lines(df, columns, delimiter).write.option("lineSep", "\r\n").text(path)
+    """Files of lines, each beginning with the line of column names, as Spark's own CSV files do."""
+    head = delimiter.join(columns)
+
+    def run(parts):
+        begun = False
+        for part in parts:
+            if not begun:
+                yield pa.RecordBatch.from_arrays([pa.array([head], part.schema.field(0).type)], schema=part.schema)
+                begun = True
+            yield part
+
+    csv_lines(df, columns, delimiter).mapInArrow(run, "line string").write.option("lineSep", "\r\n").text(path)
 
 
 def nested(df: DataFrame, key: str, value: str) -> DataFrame:

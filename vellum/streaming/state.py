@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +14,16 @@ LIMITED = "key long, id long, at double, hits int, allowed boolean"
 
 
 def _scan(rows: pd.DataFrame, opened: float, hits: int, window: float, limit: int) -> tuple[pd.DataFrame, float, int]:
-    """Fixed windows that open at a key's first hit; the count stands still at limit + 1."""
-    out = []
-    for key, i, at in zip(rows["key"], rows["id"], rows["at"], strict=True):
-        if hits == 0 or at >= opened + window:
-            opened, hits = at, 0
-        hits = min(hits + 1, limit + 1)
-        out.append((key, i, at, hits, hits <= limit))
-    return pd.DataFrame(out, columns=["key", "id", "at", "hits", "allowed"]), opened, hits
+    """Fixed windows that open at a key's first hit; the count stands still at limit + 1.  A step a window, not a row."""
+    at = rows["at"].to_numpy(float)
+    n, i = np.empty(len(at), np.int64), 0
+    while i < len(at):
+        if hits == 0 or at[i] >= opened + window:
+            opened, hits = at[i], 0
+        end = max(i + 1, int(np.searchsorted(at, opened + window)))
+        n[i:end] = np.minimum(hits + 1 + np.arange(end - i), limit + 1)
+        hits, i = int(n[end - 1]), end
+    return rows[["key", "id", "at"]].assign(hits=n.astype("int32"), allowed=n <= limit), opened, hits
 
 
 def limited(hits: DataFrame, window: float, limit: int) -> DataFrame:
@@ -32,11 +35,14 @@ def limited(hits: DataFrame, window: float, limit: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, opened, n = None, 0.0, 0
         for part in parts:
+            done = []
             for key, rows in part.groupby("key", sort=False):
                 if key != now:
                     now, opened, n = key, 0.0, 0
                 out, opened, n = _scan(rows, opened, n, window, limit)
-                yield out
+                done.append(out)
+            if done:
+                yield pd.concat(done)
 
     return hits.select("key", "id", "at").repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(run, LIMITED)
 
@@ -73,10 +79,10 @@ def retried(attempts: DataFrame, job: str, order: str, failed: str, most: int =
     return one.select(job, "attempts", status.alias("status"), F.when(status == "queued", backoff(F.col("failures"))).alias("wait"))
 
 
-def tumbling(events: DataFrame, at: str, length: str, late: str | None = None) -> DataFrame:
-    """(start, kind, n) by window; give ``late`` for a stream, to set its watermark."""
+def tumbling(events: DataFrame, at: str, length: str, kind: str, late: str | None = None) -> DataFrame:
+    """(start, kind, n) by window and ``kind``; give ``late`` for a stream, to set its watermark."""
     df = events.withWatermark(at, late) if late else events
-    return df.groupBy(F.window(at, length).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return df.groupBy(F.window(at, length).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
 def idle_sessions(events: DataFrame, key: str, at: str, gap: str, late: str | None = None) -> DataFrame:
