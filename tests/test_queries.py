@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from vellum.plans import browse, library, sequence, summary, work
+from vellum.plans import browse, library, match, sequence, summary, work
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**browse.QUERIES, **summary.QUERIES, **sequence.QUERIES, **library.QUERIES, **work.QUERIES}
-SQL = {**browse.ORACLE_SQL, **summary.ORACLE_SQL, **sequence.ORACLE_SQL, **library.ORACLE_SQL, **work.ORACLE_SQL}
+QUERIES = {**browse.QUERIES, **summary.QUERIES, **sequence.QUERIES, **library.QUERIES, **work.QUERIES, **match.QUERIES}
+SQL = {**browse.ORACLE_SQL, **summary.ORACLE_SQL, **sequence.ORACLE_SQL, **library.ORACLE_SQL, **work.ORACLE_SQL, **match.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")

@@ -187,3 +187,102 @@ def is_title_prefix(a: Column, b: Column) -> Column:
     short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
     long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
     return (short != long) & (F.length(F.replace(short, F.lit(" "), F.lit(""))) >= 6) & F.startswith(long, F.concat(short, F.lit(" ")))
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _name_tokens(part: Column) -> Column:
+    """Words of a name: as written without a closing point, folded, and whether an initial."""
+
+    def token(t: Column) -> Column:
+        initial = lambda f: (F.length(f) == 1) | t.rlike(r"^\p{L}{1,3}\.$")
+        return let(F.replace(text.fold_for_compare(t), F.lit(" "), F.lit("")), lambda f: F.struct(F.regexp_replace(t, r"[.,]$", "").alias("raw"), f.alias("folded"), initial(f).alias("initial")))
+
+    return F.filter(F.transform(F.split(F.trim(part), r"[\s]+"), token), lambda t: t["folded"] != "")
+
+
+def person(name: Column, local: list[str], foreign: list[str], families: list[str]) -> Column:
+    """struct(words, family_first, sure, comma) of one name.
+
+    ``local``: given names of the language that writes family names first; ``foreign``: given names
+    of others; ``families``: family names of the former (all folded; the caller's lists).  A comma
+    parts family and given names.  Else known given names, then initials, tell the order; where two
+    rules are of equal right the answer is not sure, and Western order is taken.
+    """
+    within = lambda w, known: F.coalesce(w.isin(known), F.lit(False)) if known else F.lit(False)
+    inverted = F.contains(name, F.lit(","))
+    parts = F.struct(_name_tokens(F.when(inverted, F.substring_index(name, ",", 1)).otherwise(name)).alias("head"), _name_tokens(F.when(inverted, F.substring_index(name, ",", -1)).otherwise("")).alias("tail"), inverted.alias("inverted"))
+
+    def ends_of(p: Column) -> Column:
+        full = lambda every: F.filter(every, lambda t: ~t["initial"])
+        return let(F.concat(p["head"], p["tail"]), lambda every: let(F.when(F.size(full(every)) > 0, full(every)).otherwise(every), lambda words: F.struct(
+            words.alias("words"), F.coalesce(F.get(every, 0)["initial"], F.lit(False)).alias("lead"), F.coalesce(F.get(every, F.size(every) - 1)["initial"], F.lit(False)).alias("end"),
+            F.get(words, 0)["folded"].alias("first"), F.get(words, F.size(words) - 1)["folded"].alias("last"), p["inverted"].alias("inverted"), F.size(full(p["head"])).alias("front"),
+        )))
+
+    def known(e: Column) -> Column:
+        f_local, l_local = within(e["first"], local), within(e["last"], local)
+        return F.struct(
+            e.alias("e"), f_local.alias("fl"), l_local.alias("ll"), (f_local | within(e["first"], foreign)).alias("fg"), (l_local | within(e["last"], foreign)).alias("lg"),
+            within(e["first"], families).alias("ff"), within(e["last"], families).alias("lf"),
+        )
+
+    def judged(k: Column) -> Column:
+        e, neither = k["e"], ~k["fg"] & ~k["lg"]
+        rules = [
+            (F.size(e["words"]) <= 1, ~e["lead"]), (k["ll"] & ~k["fg"], F.lit(True)), (e["lead"] & ~e["end"], F.lit(False)), (e["end"] & ~e["lead"], F.lit(True)), (k["fg"] & ~k["lg"], F.lit(False)),
+            (k["ll"] & ~k["fl"], F.lit(True)), (k["fl"] & ~k["ll"], F.lit(False)), (neither & k["ff"] & ~k["lf"], F.lit(True)), (neither & k["lf"] & ~k["ff"], F.lit(False)),
+        ]
+        order, sure = F.when(e["inverted"], F.lit(True)), F.when(e["inverted"], F.lit(True))
+        for when, then in rules:
+            order, sure = order.when(when, then), sure.when(when, F.lit(True))
+        comma = F.when(e["inverted"], e["front"]).otherwise(0)
+        return F.when(F.size(e["words"]) > 0, F.struct(e["words"].alias("words"), order.otherwise(k["fl"] & k["ll"]).alias("family_first"), sure.otherwise(F.lit(False)).alias("sure"), comma.alias("comma")))
+
+    return let(let(let(parts, ends_of), known), judged)
+
+
+def families_of(p: Column) -> Column:
+    """Folded strings that may be the family name of a ``person``: the likely one, the other end where that is not sure, and double names as one."""
+    w = F.transform(p["words"], lambda t: t["folded"])
+    n = F.size(w)
+    front, back = F.get(w, 0), F.element_at(w, -1)
+    likely = F.when(p["family_first"], front).otherwise(back)
+    other = F.when(~p["sure"] & (n >= 2), F.when(p["family_first"], back).otherwise(front))
+    double = F.when((n >= 3) | ((n >= 2) & ~p["sure"]), F.when(p["family_first"], F.array_join(F.slice(w, 1, 2), "")).otherwise(F.array_join(F.slice(w, F.greatest(n - 1, F.lit(1)), F.lit(2)), "")))
+    before = F.slice(w, F.lit(1), F.greatest(p["comma"], F.lit(0)))
+    told = F.array_union(F.array(F.array_join(before, "")), before)
+    return F.array_distinct(F.when(p["comma"] > 0, told).otherwise(F.array_compact(F.array(likely, other, double))))
+
+
+def authors_compatible(a: Column, b: Column, local: list[str], foreign: list[str], families: list[str], least: float = 0.8) -> Column:
+    """True if either field names nobody, or a family name of one is like one of the other (``least``)."""
+    keys = lambda c: F.array_distinct(F.flatten(F.transform(text.split_authors(c), lambda n: let(person(n, local, foreign, families), families_of))))
+    near = lambda x, y: F.exists(x, lambda p: F.exists(y, lambda q: family_similarity(p, q) >= least))
+    return let(F.struct(keys(a).alias("x"), keys(b).alias("y")), lambda k: (F.size(k["x"]) == 0) | (F.size(k["y"]) == 0) | F.coalesce(near(k["x"], k["y"]), F.lit(False)))
+
+
+def local_order(name: Column, local: list[str]) -> Column:
+    """A name of two words whose first is a given name of the local language and whose last is none, turned: family name first."""
+    w = F.split(F.trim(name), r"\s+")
+    given = lambda i: text.fold_for_compare(F.get(w, i)).isin(local)
+    turned = (F.size(w) == 2) & ~F.contains(name, F.lit(",")) & given(0) & ~given(1)
+    return F.when(turned, F.concat_ws(" ", F.get(w, 1), F.get(w, 0))).otherwise(F.trim(name))
+
+
+def sort_key(author: Column, local: list[str], foreign: list[str], families: list[str]) -> Column:
+    """Folded key of an author field, family name first, people parted by ``; ``; null without one."""
+
+    def of(p: Column) -> Column:
+        w = F.transform(p["words"], lambda t: t["folded"])
+        turned = F.concat(F.slice(w, F.greatest(F.size(w), F.lit(1)), F.lit(1)), F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))))
+        return F.array_join(F.when(p["family_first"], w).otherwise(turned), " ")
+
+    def one(n: Column) -> Column:
+        return let(person(n, local, foreign, families), of)
+
+    key = F.array_join(F.filter(F.transform(text.split_authors(author), one), lambda k: k.isNotNull() & (k != "")), "; ")
+    return F.when(key != "", key)
