@@ -103,7 +103,7 @@ class Memo(dict):
     When it is full the words met last go: those in common use were met first.
     """
 
-    def __init__(self, vocabulary: str, most: int = 600_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         super().__init__()
         self.tokenizer, self.most = load(vocabulary), most
 

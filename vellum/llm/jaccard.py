@@ -69,7 +69,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 400_000 and len(word) <= 64:
+        if len(self) < 250_000 and len(word) <= 64:
             self[word] = h
         return h
 
@@ -118,7 +118,7 @@ def _set_key(s: np.ndarray) -> int:
 class Seen(set):
     """Keys met in this task, up to a fixed number; a key may be new again beyond it."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self._most = most
 
