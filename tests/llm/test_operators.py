@@ -78,6 +78,57 @@ def test_fingerprints(docs, rows, nothing):
     assert fingerprint.op1(nothing).count() == 0
 
 
+def brute_anchors(text):
+    """(place, hash) of the closed syncmers of a text, k-mer by k-mer in plain numbers."""
+    mask, m = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(h):
+        h ^= h >> 31
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        return h ^ (h >> 29)
+
+    def poly(codes):
+        return sum((c + 1) * pow(m, i, 1 << 64) for i, c in enumerate(codes)) & mask
+
+    codes, k, s = [ord(c) for c in text], fingerprint.K, fingerprint.S
+    out = []
+    for i in range(len(codes) - k + 1):
+        inner = [mixed(poly(codes[j : j + s])) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, mixed(mixed(poly(codes[i : i + k])))))
+    return out
+
+
+def brute_sketch(text):
+    found = {h for _, h in brute_anchors(text)} or ({int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")} if text else set())
+    return [h >> 16 for h in sorted(found)[: fingerprint.SIZE]]
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    first = sorted(set(a) | set(b))[: fingerprint.SIZE]
+    return sum(x in set(a) and x in set(b) for x in first) / len(first)
+
+
+def test_fingerprints_by_definition(spark, docs, rows):
+    """Fingerprints, likenesses and anchors of all texts but the longest, from the definition."""
+    short = [(i, t or "") for i, t, *_ in rows if len(t or "") < 3000]
+    order = sorted({i: t for i, t in short if i is not None}.items())
+    df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in fingerprint.op1(df).collect()}
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 4
+        own, edited, other = brute_sketch(t), brute_sketch(t[: len(t) - cut] + after[:cut]), brute_sketch(after)
+        assert [out[i].fingerprint, out[i].edited_fingerprint] == ["".join(f"{h:012x}" for h in x) for x in (own, edited)]
+        assert abs(out[i].near_edited - brute_likeness(own, edited)) < 1e-12 and abs(out[i].near_next - brute_likeness(own, other)) < 1e-12
+    few = dict(order[:12])
+    got = collections.defaultdict(set)
+    for r in fingerprint.anchors(df.where(F.col("doc_id").isin(list(few)))).collect():
+        got[r.doc_id].add((r.position, r.anchor & (1 << 64) - 1))
+    assert {i: got[i] for i in few} == {i: set(brute_anchors(t)) for i, t in few.items()}
+
+
 def test_syncmers_are_context_free():
     rng = np.random.default_rng(1)
     passage = rng.integers(97, 123, 300).astype(np.uint32)
@@ -529,6 +580,26 @@ def test_resharding_evens_out(spark):
     assert totals.max() - totals.min() < 2 * 1216
 
 
+def test_resharding_moves_fewest_bytes(spark):
+    """What moves is what no plan could leave: the bytes above each shard's capacity, but for one document a cut."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.xxhash64("id") % 300 + 300).cast("int")).alias("text"))
+    rows = sharding.saved(sharding.sized(df), "test-moved")
+    old = F.when(F.col("doc_id") % 3 == 0, 0).otherwise((F.col("doc_id") % 8).cast("int"))
+    total = rows.agg(F.sum("size")).first()[0]
+    capacities = sharding.equal_capacities(total, 8)
+    out = sharding.reshard(rows, 8, old, capacities).collect()
+    held, moved, largest = collections.Counter(), 0, max(r.size for r in out)
+    for r in out:
+        held[r.old_shard] += r.size
+        moved += r.size if r.shard != r.old_shard else 0
+    least = sum(max(0, held[k] - capacities[k]) for k in range(8))
+    assert abs(moved - least) <= 8 * largest and moved < total / 2
+    now = collections.Counter()
+    for r in out:
+        now[r.shard] += r.size
+    assert max(now.values()) - min(now.values()) <= 16 * largest
+
+
 def test_rewritten_files_hold_the_plan(spark, docs, rows, tmp_path):
     """Every row of a changed shard stands once in its files, null and repeated ids too; a shard is cut into ranges of slots."""
     more = [(None, f"no id {i % 7}", "en", "s", i) for i in range(300)] + [(7, f"same id {i % 5}", "de", "s", i) for i in range(200)]
