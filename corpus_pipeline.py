@@ -32,13 +32,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that score at least the ranking's threshold; empty texts count as any other."""
+    """Keeps the documents that score at least the ranking's threshold.
+
+    Null and empty texts are scored as any other; without both labels every document stays; rows of
+    equal ids are scored each; further columns stay.
+    """
     model = quality.fit(quality.measured(docs), table(spark, sf_dir, "labels"), F.lit(True))
     return quality.scored(docs, model).where(F.col("score") >= quality.CUT).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; every document stays, with its new text and n_chars."""
+    """Deletes later repeated runs of lines; every document stays, with its new text and n_chars.
+
+    Null and empty texts stay as they are; rows equal in id and text keep the same lines; texts of
+    any length are read whole; an empty table stays empty.
+    """
     new = linededup.deduplicated(docs)
     return new.select(*[_changed(c) for c in docs.columns])
 
@@ -53,12 +61,20 @@ def _changed(column: str):
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one of least id (and of rows with its id and text one)."""
+    """Keeps of each group of linked documents the one of least id (and of rows with its id and text one).
+
+    Null texts, and texts without words, are linked with nothing and stay; so do rows without an id
+    unless such a copy is there; an empty table stays empty.
+    """
     return jaccard.first_of_groups(docs, words=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens; the columns of op3."""
+    """Packs what is left into sequences of 4096 tokens; the columns of op3.
+
+    A null or empty text is the one piece of the closing id; longer texts than a sequence are cut;
+    rows of null or equal ids are packed each; columns other than doc_id and text stay out.
+    """
     return packing.op3(docs)
 
 
