@@ -287,3 +287,66 @@ def reader_row() -> list[Column]:
     more = [F.when(F.col("favourite"), "favorites"), F.when(F.col("status") == "abandoned", "did-not-finish")]
     rating = F.when(F.col("rating") > 0, F.least(F.round("rating"), F.lit(5)).cast("int")).otherwise(0)
     return [F.col("title"), F.coalesce(names.first_author(F.col("author")), F.lit("")).alias("author"), rating.alias("rating"), F.col("year"), shelf.alias("exclusive_shelf"), F.concat_ws(", ", shelf, *more).alias("shelves")]
+
+
+def words_of_titles(books: DataFrame, stop: list[str], least: int = 3) -> DataFrame:
+    """(word, n): words of titles with ``least`` letters or more that are neither numbers nor among ``stop`` (the caller's list), once a record."""
+    found = F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    rows = books.select(F.explode(F.array_distinct(found)).alias("word")).where((F.length("word") >= least) & ~F.col("word").rlike(r"^\p{N}+$"))
+    return rows.where(~F.col("word").isin(stop)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def fun_facts(books: DataFrame, stop: list[str], a_day: int = 30) -> DataFrame:
+    """One row: oldest and newest record, longest title, most common title word, unread pages and the days they take, fullest decade."""
+    year = numbers.valid_year(F.col("year"))
+    title = F.trim(F.coalesce("title", F.lit("")))
+    pick = lambda rank, what="id": F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.lower("title").alias("t"), "id")))["id"].alias(what)
+    known = F.when(F.col("pages") > 0, F.col("pages"))
+    unread = F.coalesce("status", F.lit("unknown")) != "read"
+    one = books.agg(
+        pick(year, "oldest"), pick(-year, "newest"), pick(F.when(F.length(title) > 0, -F.length(title)), "longest"), F.count_if(unread).alias("unread"),
+        F.sum(F.when(unread, known)).alias("_sum"), F.count(F.when(unread, known)).alias("_known"), F.count(known).alias("_all"), F.round(F.median(known)).alias("_median"),
+    )
+    best = lambda df, *order: df.orderBy(*order).limit(1)
+    word = best(words_of_titles(books, stop).where("n >= 2"), F.desc("n"), F.desc(F.length("word")), "word").select("word", F.col("n").alias("word_count"))
+    decade = best(books.select(numbers.decade(F.col("year")).alias("decade")).where("decade is not null").groupBy("decade").agg(F.count("*").alias("decade_count")), F.desc("decade_count"), F.desc("decade"))
+    each = F.when(F.col("_all") >= 3, F.col("_median")).otherwise(250)
+    pages = F.round(F.coalesce("_sum", F.lit(0)) + (F.col("unread") - F.col("_known")) * each).cast("long")
+    out = one.join(word, F.lit(True), "left").join(decade, F.lit(True), "left")  # one row each
+    return out.select("oldest", "newest", "longest", "word", "word_count", "decade", "decade_count", "unread", pages.alias("unread_pages"), F.ceil(pages / a_day).cast("long").alias("reading_days"))
+
+
+def dashboard(books: DataFrame) -> DataFrame:
+    """(name, key, value) of a catalogue: totals, shares, states, confidence bands, sources, and the ten foremost authors."""
+    quality = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    band = F.when(quality < 0.6, "low").when(quality < 0.8, "medium").otherwise("high")
+    status = F.when(F.col("status").isin(STATUSES), F.col("status")).otherwise("unknown")
+    one = lambda name, key: F.struct(F.lit(name).alias("name"), key.alias("key"))
+    hits = F.array(one("total", F.lit("books")), one("total", F.when(F.col("favourite"), "favourites")), one("total", F.when(pending_review(), "pending")), one("total", F.when(F.col("reviewed"), "reviewed")), one("status", status), one("confidence", band), one("source", F.col("source")))
+    counts = books.select(F.explode(hits).alias("x")).where("x.key is not null").groupBy("x.name", "x.key").agg(F.count("*").cast("double").alias("value"))
+    # States that no record has are there with 0.
+    dense = books.sparkSession.createDataFrame([("status", s) for s in STATUSES], "name string, key string").join(counts.where("name = 'status'"), ["name", "key"], "left").select("name", "key", F.coalesce("value", F.lit(0.0)).alias("value"))
+    read = books.agg((F.count_if(F.col("status") == "read") / F.count("*")).alias("read"), F.avg(F.when(F.col("source") != "manual", quality)).alias("confidence"))
+    shares = read.select(F.explode(F.array(*[F.struct(F.lit("mean").alias("name"), F.lit(c).alias("key"), F.col(c).alias("value")) for c in ("read", "confidence")])).alias("x")).select("x.*")
+    groups = author_groups(books)
+    top = groups.orderBy(F.desc("n"), "key").limit(10).select(F.lit("author").alias("name"), F.col("author").alias("key"), F.col("n").cast("double").alias("value"))
+    many = groups.agg(F.count("*").cast("double").alias("value")).select(F.lit("total").alias("name"), F.lit("authors").alias("key"), "value")
+    return counts.where("name <> 'status'").unionByName(dense).unionByName(shares).unionByName(top).unionByName(many)
+
+
+def read_model(books: DataFrame, owner: Column, private: list[str]) -> DataFrame:
+    """Records as a reader sees them: the owner's own columns are null for everyone else."""
+    return books.select(*[F.when(owner, F.col(c)).alias(c) if c in private else F.col(c) for c in books.columns])
+
+
+def unassigned(detections: DataFrame, record: str, books: DataFrame, key: str = "id") -> DataFrame:
+    """Detections whose record is missing or gone."""
+    return detections.join(books.select(F.col(key).alias("_k")), F.col(record) == F.col("_k"), "left_anti")
+
+
+def incomplete(books: DataFrame, columns: list[str]) -> DataFrame:
+    """Records that lack one of ``columns`` and have not been gone through, in shelf order."""
+    lacks = F.lit(False)
+    for c in columns:
+        lacks |= F.col(c).isNull()
+    return books.where(lacks & ~F.coalesce("reviewed", F.lit(False)))

@@ -254,3 +254,49 @@ def name_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in capitals in mixed case again."""
     first = names.first_author(F.col("author"))
     return books(spark, sf_dir).select("id", names.accents(F.col("title")).alias("accents"), text.fold(first).alias("folded"), names.name_case(F.upper(first)).alias("cased"))
+
+
+STOP = ["the", "az", "red", "blue"]
+
+
+@query(""", d AS (SELECT decade, count(*) AS n FROM b WHERE decade IS NOT NULL GROUP BY 1 ORDER BY n DESC, decade DESC LIMIT 1),
+w AS (SELECT word, count(*) AS n FROM (SELECT id, unnest(list_distinct(string_split(lower(title), ' '))) AS word FROM b) WHERE length(word) >= 3 AND word NOT IN ('the', 'az', 'red', 'blue') GROUP BY 1 ORDER BY n DESC, length(word) DESC, word LIMIT 1),
+p AS (SELECT CAST(round(sum(CASE WHEN status <> 'read' THEN coalesce(pages, (SELECT round(median(pages)) FROM b)) END)) AS BIGINT) AS pages FROM b)
+SELECT (SELECT arg_min(id, (year, lower(title), id)) FROM b WHERE year IS NOT NULL) AS oldest, (SELECT arg_min(id, (-year, lower(title), id)) FROM b WHERE year IS NOT NULL) AS newest, (SELECT arg_min(id, (-length(title), lower(title), id)) FROM b) AS longest,
+word, w.n AS word_count, decade, d.n AS decade_count, (SELECT count(*) FROM b WHERE status <> 'read') AS unread, pages AS unread_pages, CAST(ceil(pages / 30.0) AS BIGINT) AS reading_days FROM w, d, p""")
+def fun_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.fun_facts(books(spark, sf_dir), STOP)
+
+
+@query(""", u AS (SELECT 'total' AS name, 'books' AS key FROM b UNION ALL SELECT 'total', 'favourites' FROM b WHERE favourite UNION ALL SELECT 'total', 'pending' FROM b WHERE pending UNION ALL SELECT 'total', 'reviewed' FROM b WHERE reviewed
+ UNION ALL SELECT 'confidence', CASE WHEN confidence < 0.6 THEN 'low' WHEN confidence < 0.8 THEN 'medium' ELSE 'high' END FROM b UNION ALL SELECT 'source', source FROM b),
+g AS (SELECT key AS k, arg_min(name, (shelf, id)) AS author, count(DISTINCT id) AS n FROM a GROUP BY 1)
+SELECT name, key, CAST(count(*) AS DOUBLE) AS value FROM u GROUP BY 1, 2 UNION ALL SELECT 'status', s, CAST((SELECT count(*) FROM b WHERE status = s) AS DOUBLE) FROM (VALUES ('unknown'), ('read'), ('reading'), ('to_read'), ('abandoned')) v(s)
+UNION ALL SELECT 'mean', 'read', count(*) FILTER (status = 'read') / count(*) FROM b UNION ALL SELECT 'mean', 'confidence', avg(confidence) FROM b WHERE source <> 'manual'
+UNION ALL SELECT 'total', 'authors', CAST(count(*) AS DOUBLE) FROM g UNION ALL (SELECT 'author', author, CAST(n AS DOUBLE) FROM g ORDER BY n DESC, k LIMIT 10)""")
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.dashboard(books(spark, sf_dir))
+
+
+@query("SELECT id, title, CASE WHEN source_id = 's3' THEN rating END AS rating, CASE WHEN source_id = 's3' THEN lent_to END AS lent_to FROM b")
+def read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.read_model(books(spark, sf_dir), F.col("source_id") == "s3", ["rating", "lent_to"]).select("id", "title", "rating", "lent_to")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM b WHERE NOT favourite) GROUP BY 1, 2")
+def unassigned_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = books(spark, sf_dir).where("not favourite")
+    return C.unassigned(table(spark, sf_dir, "lineitem"), "l_partkey", kept).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id FROM b WHERE (language IS NULL OR year IS NULL OR category IS NULL) AND NOT reviewed")
+def pending_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.incomplete(books(spark, sf_dir), ["language", "year", "category"]).select("id")
+
+
+@query("""SELECT id, CASE WHEN lower(trim(language)) LIKE '__' OR lower(trim(language)) LIKE '__-%' THEN substr(lower(trim(language)), 1, 2) END AS lang, upper(country) AS land, CASE WHEN rating > 0 THEN repeat('★', rating) || repeat('☆', 5 - rating) ELSE '' END AS stars,
+CAST(floor(ceil(coalesce(pages, 0) / 3.0) / 365) AS BIGINT) AS years, CAST(ceil(coalesce(pages, 0) / 3.0) % 365 AS BIGINT) AS days, lent_at IS NOT NULL AS dated FROM b""")
+def code_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = books(spark, sf_dir)
+    left = numbers.split_days(F.coalesce("pages", F.lit(0)) / 3)
+    return rows.select("id", numbers.language(F.col("language")).alias("lang"), numbers.country(F.col("country")).alias("land"), numbers.stars(F.col("rating")).alias("stars"), *left, numbers.iso_valid(F.col("lent_at")).alias("dated"))
