@@ -156,3 +156,26 @@ def test_recommendations_fall_back(spark):
     assert [(r.id, r.tier) for r in catalogue.recommendation_pool(df).collect()] == [(3, 3)]
     assert [(r.id, r.tier) for r in catalogue.recommendation_pool(df.where("id < 3")).collect()] == [(2, 4)]
     assert catalogue.recommendation_pool(df.limit(0)).count() == 0
+
+
+def test_seeded_numbers(spark):
+    def plain(seed, n):
+        out, m = [], (1 << 32) - 1
+        for _ in range(n):
+            seed = (seed + 0x6D2B79F5) & m
+            t = (seed ^ (seed >> 15)) * (seed | 1) & m
+            t ^= (t + ((t ^ (t >> 7)) * (t | 61) & m)) & m
+            out.append((t ^ (t >> 14)) / 2**32)
+        return out
+
+    for seed in (0, 1, 12345, 4294967295):
+        got = [r.x for r in spark.range(1, 40, 1, 1).select(numbers.seeded(F.lit(seed), F.col("id")).alias("x")).collect()]
+        assert got == plain(seed, 39)
+
+
+def test_selections(spark):
+    from vellum.operators import records
+
+    ids = lambda *x: F.array(*map(F.lit, x))
+    row = spark.range(1).select(records.toggled(ids("a", "b"), ids("b")), records.toggled(ids("a"), ids("b", "a")), records.pruned(ids("a", "b"), ids("b", "c")), records.restored(ids("a", "d"), F.array(F.struct(F.lit(2).alias("at"), F.lit("c").alias("id")), F.struct(F.lit(1).alias("at"), F.lit("b").alias("id"))))).first()
+    assert list(row) == [["a"], ["a", "b"], ["b"], ["a", "b", "c", "d"]]

@@ -76,6 +76,30 @@ def hash01(c: Column, salt: int = 0) -> Column:
     return fnv1a(F.concat(F.lit(f"{salt}:"), c)) / 4294967296
 
 
+_M32 = 4294967295
+
+
+def _times32(a: Column, b: Column) -> Column:
+    """Product of two unsigned 32-bit numbers, its lower 32 bits; by halves, so that no long overflows."""
+    low = a.bitwiseAND(F.lit(65535).cast("long")) * b
+    high = (F.shiftright(a, 16) * b).bitwiseAND(F.lit(65535).cast("long")) * 65536
+    return (low.bitwiseAND(F.lit(_M32).cast("long")) + high).bitwiseAND(F.lit(_M32).cast("long"))
+
+
+def seeded(seed: Column, step: Column) -> Column:
+    """The number from 0 to 1 that a 32-bit generator of one addition and two mixing products gives at its ``step``-th call (from 1)."""
+    mask = F.lit(_M32).cast("long")
+    a = (seed.cast("long") + _times32(F.lit(0x6D2B79F5).cast("long"), step.cast("long"))).bitwiseAND(mask)
+    t = _times32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("long")))
+    t = t.bitwiseXOR((t + _times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(mask))
+    return t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296
+
+
+def daily_seed(key: Column, day: Column) -> Column:
+    """A seed that stays the same all day."""
+    return fnv1a(F.concat(key, F.lit(":"), F.date_format(day, "yyyy-MM-dd")))
+
+
 def split_days(days: Column) -> list[Column]:
     """Whole years of 365 days and the days left."""
     d = F.greatest(F.ceil(days), F.lit(0))

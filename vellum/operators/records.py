@@ -53,3 +53,19 @@ def tag_delta(current: Column, add: Column, remove: Column) -> Column:
 def changes(before: Column, after: Column) -> tuple[Column, Column]:
     """(added, removed)."""
     return F.array_except(after, before), F.array_except(before, after)
+
+
+def toggled(selected: Column, ids: Column) -> Column:
+    """A selection after a click on all of ``ids``: without them if all were selected, with all of them else; order kept."""
+    return F.when(F.size(F.array_except(ids, selected)) == 0, F.array_except(selected, ids)).otherwise(F.array_union(selected, ids))
+
+
+def pruned(selected: Column, there: Column) -> Column:
+    """A selection without what is gone."""
+    return F.filter(selected, lambda x: F.array_contains(there, x))
+
+
+def restored(kept: Column, removed: Column) -> Column:
+    """A list with removed elements (struct(at, id)) back at their places, the first first."""
+    back = F.array_sort(removed)
+    return F.aggregate(back, kept, lambda acc, r: F.concat(F.slice(acc, F.lit(1), F.least(r["at"], F.size(acc))), F.array(r["id"]), F.slice(acc, F.least(r["at"], F.size(acc)) + 1, F.greatest(F.size(acc) - r["at"], F.lit(0)))))

@@ -122,6 +122,47 @@ def continued(df: DataFrame, group: str, frame: str, start: str, end: str, least
     return now.join(best, [group, frame, start, end], "left")
 
 
+def filled_forward(df: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """``name``: the value, or where it is null the last one before in the group, or the first one after if there is none before."""
+    w = Window.partitionBy(group).orderBy(*order)
+    before = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn(name, F.coalesce(before, after))
+
+
+def pan_offsets(df: DataFrame, group: str, frame: str, shift: str) -> DataFrame:
+    """(group, frame, offset): running sum of each frame's median shift; the first frame lies at its own."""
+    step = df.groupBy(group, frame).agg(F.median(shift).alias("_m"))
+    w = Window.partitionBy(group).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    return step.select(group, frame, F.sum("_m").over(w).alias("offset"))
+
+
+def rising(df: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """``name``: the greatest value so far, so that progress never falls back."""
+    return df.withColumn(name, F.max(value).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def completion_due(df: DataFrame, group: str, at: str, running: Column, wait: float) -> DataFrame:
+    """(group, due): when a group without running work may be closed: ``wait`` seconds after its last event."""
+    out = df.groupBy(group).agg(F.max(at).alias("_last"), F.max(running.cast("int")).alias("_busy"))
+    return out.where("_busy = 0").select(group, (F.col("_last") + wait).alias("due"))
+
+
+def slice_of(df: DataFrame, order: list[str], first: int, rows: int, around: int = 0) -> DataFrame:
+    """Rows of a view of a sorted table, with ``around`` more on either side; positions are numbered without a task that holds the table."""
+    from vellum.operators.sequences import with_position
+
+    return with_position(df, order).where(F.col("position").between(max(0, first - around), first + rows + around - 1))
+
+
+def with_leftovers(items: DataFrame, key: str, groups: DataFrame, group: str) -> DataFrame:
+    """(group, n, known): items of each group, groups without items, and the keys of items whose group is gone (``known`` false)."""
+    counts = items.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    named = groups.select(F.col(group).alias("_g")).distinct()
+    out = counts.join(named, F.col("_k").eqNullSafe(F.col("_g")), "full")
+    return out.select(F.coalesce("_g", "_k").alias(group), F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").isNotNull().alias("known"))
+
+
 def medoids(df: DataFrame, group: str, value: str, weight: str) -> DataFrame:
     """(group, value, cost): of each group's distinct values the one of least weighted edit distance to all; ties to the greater weight, then the lesser value.
 

@@ -241,3 +241,47 @@ def aligned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line.select(F.col("l_suppkey").alias("g"), F.floor(F.col("l_orderkey") / 64).cast("long").alias("frame"), (F.col("l_orderkey") * 64 + F.col("l_linenumber") * 8 + F.col("l_partkey") % 8).alias("id"), "p_name")
     one = rows.groupBy("g", "frame", "id").agg(F.min("p_name").alias("title")).withColumn("i", F.col("id"))
     return runs.align_frames(one, "g", "frame", "i", "title", 0.6)
+
+
+@query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type <> 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+first_value(CASE WHEN event_type <> 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM events""")
+def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_type") != "view", F.col("value")))
+    return runs.filled_forward(rows, "user_id", [F.col("ts"), F.col("event_id")], "v", "filled").select("event_id", "filled")
+
+
+@query("""WITH m AS (SELECT l_suppkey, l_linenumber, median(l_quantity) AS m FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_linenumber, sum(m) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS "offset" FROM m""")
+def pan_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.pan_offsets(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM events")
+def monotonic_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.rising(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")], "value", "progress").select("event_id", "progress")
+
+
+@query("SELECT l_orderkey, max(l_linenumber) + 2.5 AS due FROM lineitem GROUP BY 1 HAVING NOT bool_or(l_linestatus = 'O')")
+def completion_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.completion_due(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_linestatus") == "O", 2.5)
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS p FROM orders) WHERE p BETWEEN 92 AND 147")
+def viewport_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.slice_of(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], 100, 40, 8).select("o_orderkey")
+
+
+@query("""SELECT coalesce(s.k, l.k) AS s_suppkey, coalesce(n, 0) AS n, s.k IS NOT NULL AS known FROM (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 3 <> 1) s FULL JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_suppkey % 5 <> 2 GROUP BY 1) l ON s.k = l.k""")
+def grouped_with_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 <> 2")
+    return runs.with_leftovers(items, "l_suppkey", table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 1"), "s_suppkey")
+
+
+@query("""WITH a AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 0))) AS x, list_sort(list_distinct(list(event_type) FILTER (event_id % 5 = 1))) AS y FROM events GROUP BY 1), b AS (SELECT user_id, coalesce(x, []) AS x, coalesce(y, []) AS y FROM a)
+SELECT user_id, array_to_string(CASE WHEN len(list_filter(y, lambda t: NOT list_contains(x, t))) = 0 THEN list_filter(x, lambda t: NOT list_contains(y, t)) ELSE list_concat(x, list_filter(y, lambda t: NOT list_contains(x, t))) END, ',') AS toggled,
+array_to_string(list_filter(x, lambda t: list_contains(y, t)), ',') AS pruned FROM b""")
+def selection_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import records
+
+    one = lambda of, rest: F.array_sort(F.collect_set(F.when(F.col("event_id") % of == rest, F.col("event_type"))))
+    sets = table(spark, sf_dir, "events").groupBy("user_id").agg(one(2, 0).alias("x"), one(5, 1).alias("y"))
+    return sets.select("user_id", F.array_join(records.toggled(F.col("x"), F.col("y")), ",").alias("toggled"), F.array_join(records.pruned(F.col("x"), F.col("y")), ",").alias("pruned"))
