@@ -103,7 +103,7 @@ class Memo(dict):
     When it is full the words met last go: those in common use were met first.
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int):
         super().__init__()
         self.tokenizer, self.most = load(vocabulary), most
 
@@ -120,9 +120,9 @@ class Memo(dict):
 
 
 @functools.lru_cache(maxsize=1)
-def memo(vocabulary: str) -> Memo:
+def memo(vocabulary: str, most: int) -> Memo:
     """The worker's own, kept from task to task."""
-    return Memo(vocabulary)
+    return Memo(vocabulary, most)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

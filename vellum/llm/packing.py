@@ -35,16 +35,17 @@ from vellum.llm.bpe import ROWS, VOCABULARY, memo, raw_texts
 from vellum.llm.common import partitions, saved
 
 CAPACITY, CLOSE = 4096, 1
+WORDS = 1_000_000  #: whose ids a worker remembers, 0.2 GB
 LAID = 0.8  #: part of the fit that is laid out; the rest leaves pieces of all lengths to fill what rounding leaves
 TRIPLES = 12  #: further lengths tried with each length
 
 
-def cut(docs: DataFrame, capacity: int = CAPACITY, close: int = CLOSE, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each piece of each document."""
+def cut(docs: DataFrame, capacity: int = CAPACITY, close: int = CLOSE, vocabulary: str = VOCABULARY, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of each piece of each document; a worker remembers the ids of ``words`` words."""
     end = np.array([close], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = memo(vocabulary)
+        own = memo(vocabulary, words)
         for b in (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS)):
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for i, ids in zip(b.column(0).to_pylist(), own.of(raw_texts(b.column(1))), strict=True):
@@ -239,5 +240,5 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def op3(docs: DataFrame) -> DataFrame:
-    return pack(saved(cut(docs), "packing-pieces"))
+def op3(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    return pack(saved(cut(docs, words=words), "packing-pieces"))
