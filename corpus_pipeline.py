@@ -75,7 +75,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is the one piece of the closing id; longer texts than a sequence are cut;
     rows of null or equal ids are packed each; columns other than doc_id and text stay out.
     """
-    return packing.op3(docs)
+    return packing.op3(docs, words=400_000)  # workers still hold what the stages before needed
 
 
 STAGES = [
