@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, fingerprint, jaccard, langid, linededup, packing, quality, sharding, topk, toxicity
+from vellum.llm import bpe, collocation, fingerprint, jaccard, langid, linededup, packing, quality, sharding, topk, toxicity
 from vellum.llm.common import table
 
 
@@ -48,7 +48,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_packing, op4_bpe, op5_quality, op6_topk, op7_toxicity, op8_line_dedup, op9_reshard, op10_jaccard)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.op13(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_packing, op4_bpe, op5_quality, op6_topk, op7_toxicity, op8_line_dedup, op9_reshard, op10_jaccard, op13_collocations)}
 
 #: Fingerprints, models, tokenizers, packings and flows are beyond SQL; their tests compare with brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -63,4 +67,18 @@ e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM g),
 l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
 SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(other) FROM r WHERE r.doc_id = g.doc_id) AS component_id, (SELECT count(*) FROM l WHERE l.a = g.doc_id) AS n_links FROM g""",
+    "op13_collocations": r"""WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+e AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM e, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30),
+cut AS (SELECT c.lang, c.k, c.phrase, c.a, c.w, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
+ FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+ JOIN g l ON l.lang = c.lang AND l.k = c.j AND l.phrase = array_to_string(c.w[1:c.j], ' ')
+ JOIN g r ON r.lang = c.lang AND r.k = c.k - c.j AND r.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT DISTINCT c.lang, array_to_string(c.w[s:s + m - 1], ' ') AS phrase, m, c.a FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS s) WHERE m < c.k AND s + m - 1 <= c.k),
+kept AS (SELECT low.* FROM low WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = low.lang AND i.phrase = low.phrase AND 100::HUGEINT * i.a >= 80::HUGEINT * low.a))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)) WHERE rank <= 2000""",
 }
