@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, collocation, fingerprint, jaccard, langid, linededup, packing, quality, sharding, topk, toxicity, whitening
+from vellum.llm import bpe, collocation, fingerprint, htmltext, jaccard, langid, linededup, packing, quality, sharding, topk, toxicity, whitening
 from vellum.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.op11(table(spark, sf_dir, "pages"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.op12(table(spark, sf_dir, "embeddings"))
 
@@ -56,7 +60,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.op13(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_packing, op4_bpe, op5_quality, op6_topk, op7_toxicity, op8_line_dedup, op9_reshard, op10_jaccard, op12_whitening, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_packing, op4_bpe, op5_quality, op6_topk, op7_toxicity, op8_line_dedup, op9_reshard, op10_jaccard, op11_main_text, op12_whitening, op13_collocations)}
 
 #: Fingerprints, models, tokenizers, packings and flows are beyond SQL; their tests compare with brute force.
 ORACLE_SQL: dict[str, str] = {
