@@ -7,11 +7,12 @@ k-gram's number names its two (k-1)-grams: these parents lead to the parts of ev
 to the phrases that a longer one may swallow.
 
 Scale: texts are worked on in blocks of some ``BLOCK`` bytes.  A block tells each distinct
-pair once, with its count; pairs meet by a shuffle on both numbers, where a pair's least
-(block, code) becomes its number, so the names need no second shuffle and no driver.  The
-frequent pairs go back to the blocks that hold them, and only those.  No table is broadcast
-by this module, a hot word or pair has one row a block, and a language's best come from
-salted parts of its candidates.  A pair has as many rows as there are blocks with it.
+pair once, with its count; pairs meet by the hash of both numbers in buckets, of which there
+are as many as the corpus has ``BUCKET`` words, and travel as packed arrays, one for a block
+and bucket.  A bucket counts, names the frequent pairs, and tells each block which of its pairs
+these are; the places of the next level follow.  Nothing goes through the driver or is broadcast
+by this module; a hot word or pair has one entry a block, and a language's best come from
+salted parts of its candidates.
 
 Defined cases: a null text is empty, a null language is ``und``; texts without words and
 empty tables give nothing; equal rows count each; further columns are not read.  A text longer
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import dropped, saved
+from vellum.llm.common import dropped, partitions, saved
 
 LEAST = 30  #: occurrences of a candidate
 LONGEST = 4  #: words of the longest candidate
@@ -40,6 +41,8 @@ BLOCK = 16 << 20  #: bytes of text worked on at once
 SALT = 32  #: parts in which a language's best are sought
 CODES = 26  #: bits of a code within its block (a block of 16 MB has some 3 million words)
 BLOCKS = 12  #: bits of a block's number within its task
+BUCKET = 1 << 20  #: words of the corpus for each bucket of pairs; a bucket's pairs are counted at once
+BITS = 40  #: bits of a pair's number within its bucket
 
 #: Bytes of a word, the one blank, and the mark between pieces.
 _SPLITTERS = b".,;:!?\n\x0b\x0c\r"
@@ -50,12 +53,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _packed(places: np.ndarray) -> bytes:
-    return zstandard.compress(places.astype(np.int32).tobytes(), 1)
+def _packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.int32)
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def _unpacked_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lefts, rights, counts and codes."""
+    raw = zstandard.decompress(data)
+    n = len(raw) // 24
+    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n), np.frombuffer(raw, np.int32, n, 20 * n)
 
 
 def words(data: bytes) -> tuple[pa.StringArray, np.ndarray]:
@@ -87,13 +97,13 @@ def _coded(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 _LEVEL_1 = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("code", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-_LEVEL_K = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("code", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
-_STRINGS = {"lang", "word"}
+_PAIRS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("bucket", pa.int64()), ("pairs", pa.binary())])
+_COUNTED = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64())])
+_DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+    return ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
 
 
 def _rows(schema: pa.Schema, size: int, **columns) -> pa.Table:
@@ -103,8 +113,8 @@ def _rows(schema: pa.Schema, size: int, **columns) -> pa.Table:
         v = columns.get(f.name)
         if v is None:
             out.append(pa.nulls(size, f.type))
-        elif isinstance(v, (np.ndarray, pa.Array)):
-            out.append(pa.array(v, f.type) if isinstance(v, np.ndarray) else v.cast(f.type))
+        elif isinstance(v, (np.ndarray, list, pa.Array)):
+            out.append(v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type))
         else:
             out.append(pa.repeat(pa.scalar(v, f.type), size))
     return pa.table(out, schema=schema)
@@ -139,51 +149,107 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
-def _paired(key, places: pa.Table, named: pa.Table) -> pa.Table:
-    """A block's next level: places by the names of its frequent grams, and the distinct adjacent pairs."""
-    if not places.num_rows or not named.num_rows:
-        return _rows(_LEVEL_K, 0)
-    old = _unpacked(places.column("places")[0].as_py())
-    codes, ids = named.column("code").to_numpy(), named.column("id").to_numpy()
-    order = np.argsort(codes)
-    codes, ids = codes[order], ids[order]
-    lookup = np.full(max(int(old.max(initial=0)), int(codes[-1])) + 2, -1, np.int64)  # the last one answers for -1
+def _renamed(places: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places by the index of their code in ``codes``; -1 where it is not there."""
+    lookup = np.full(max(int(places.max(initial=0)), int(codes.max(initial=0))) + 2, -1, np.int64)  # the last one answers for -1
     lookup[codes] = np.arange(len(codes))
-    new = lookup[old]
-    at = np.flatnonzero((new[:-1] >= 0) & (new[1:] >= 0))
-    if not len(at):
-        return _rows(_LEVEL_K, 0)
-    pairs, where, counts = np.unique(new[at] * len(codes) + new[at + 1], return_inverse=True, return_counts=True)
-    if len(pairs) >> CODES:
-        raise ValueError(f"a block has {len(pairs)} distinct pairs")
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    out = np.full(len(old), -1, np.int32)
-    out[at] = rank[where]
-    pairs, counts = pairs[order], counts[order]
-    block = key[0].as_py()
-    told = _rows(_LEVEL_K, len(pairs), kind=1, block=block, code=np.arange(len(pairs)), left=ids[pairs // len(codes)], right=ids[pairs % len(codes)], n=counts)
-    return pa.concat_tables([_rows(_LEVEL_K, 1, kind=0, block=block, places=_packed(out)), told])
+    return lookup[places]
+
+
+def _adjacent(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of adjacent grams by rising numbers, (left, right, count), and the places by the pair that begins there."""
+    size = int(places.max(initial=0)) + 1
+    at = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
+    pairs, where, counts = np.unique(places[at] * size + places[at + 1], return_inverse=True, return_counts=True)
+    out = np.full(len(places), -1, np.int64)
+    out[at] = where
+    return pairs // size, pairs % size, counts, out
+
+
+def _known(named: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and names of a block's frequent grams, by rising codes."""
+    if "codes" in named.column_names:
+        codes = np.concatenate([_unpacked(c, np.int32) for c in named.column("codes").to_pylist()])
+        ids = np.concatenate([_unpacked(c, np.int64) for c in named.column("ids").to_pylist()])
+    else:
+        codes, ids = named.column("code").to_numpy(), named.column("id").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], ids[order]
+
+
+def _pairing(buckets: int, level: int):
+    """A block's next level: its places by frequent (level - 1)-grams, and the distinct adjacent pairs of these, by buckets."""
+
+    def run(key, before, named):
+        if not before.num_rows or not named.num_rows:
+            return _rows(_PAIRS, 0)
+        places = _unpacked(before.column("places")[0].as_py(), np.int32)
+        if level > 2:  # the places tell (level - 2)-grams
+            places = _adjacent(places.astype(np.int64))[3]
+        codes, ids = _known(named)
+        places = _renamed(places, codes)
+        left, right, counts, _ = _adjacent(places)
+        if not len(left):
+            return _rows(_PAIRS, 0)
+        if len(left) >> 31:
+            raise ValueError(f"a block has {len(left)} distinct pairs")
+        left, right = ids[left], ids[right]
+        bucket = (_mixed(_mixed(left) + right.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        told = [_packed(left[i], right[i], counts[i].astype(np.int32), i.astype(np.int32)) for a, b in zip(starts, ends, strict=True) for i in (order[a:b],)]
+        block = key[0].as_py()
+        pairs = _rows(_PAIRS, len(told), kind=1, block=block, bucket=bucket[order[starts]], pairs=told)
+        return pa.concat_tables([_rows(_PAIRS, 1, kind=0, block=block, places=_packed(places.astype(np.int32))), pairs])
+
+    return run
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def _counting(least: int):
+    """A bucket's frequent pairs: their names and counts, and for each block the codes that they have there."""
+
+    def run(key, rows):
+        parts = [_unpacked_pairs(p) for p in rows.column("pairs").to_pylist()]
+        left, right, counts, codes = (np.concatenate(c) for c in zip(*parts, strict=True))
+        blocks = np.repeat(rows.column("block").to_numpy(), [len(p[0]) for p in parts])
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.flatnonzero((np.diff(left, prepend=left[0] - 1) != 0) | (np.diff(right, prepend=right[0] - 1) != 0))
+        f = np.add.reduceat(counts[order].astype(np.int64), new)
+        name = np.where(f >= least, np.cumsum(f >= least) - 1, -1)
+        first = np.int64(key[0].as_py()) << np.int64(BITS)
+        frequent = np.flatnonzero(name >= 0)
+        names = _rows(_COUNTED, len(frequent), kind=1, id=first + name[frequent], left=left[new[frequent]], right=right[new[frequent]], f=f[frequent])
+        each = np.empty(len(order), np.int64)
+        each[order] = np.repeat(name, np.diff(new, append=len(order)))
+        held = np.flatnonzero(each >= 0)
+        held = held[np.argsort(blocks[held], kind="stable")]
+        ends = np.flatnonzero(np.diff(blocks[held], append=-1)) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        cells = [held[a:b] for a, b in zip(starts, ends, strict=True) if b > a]
+        told = _rows(_COUNTED, len(cells), kind=0, block=[int(blocks[c[0]]) for c in cells], codes=[_packed(codes[c]) for c in cells], ids=[_packed(first + each[c]) for c in cells])
+        return pa.concat_tables([told, names])
+
+    return run
 
 
 def _key() -> Column:
     return F.shiftleft("block", CODES).bitwiseOR(F.col("code"))
 
 
-def _named(level: DataFrame, by: list[str], least: int) -> DataFrame:
-    """(block, code, id, f, *by) of the grams that stand ``least`` times or more in the corpus."""
-    same = Window.partitionBy(*by)
-    key = _key()
-    rows = level.where("kind = 1").select("block", "code", *by, F.sum("n").over(same).alias("f"), F.min(key).over(same).alias("id"))
+def _named_words(level: DataFrame, least: int) -> DataFrame:
+    """(block, code, id, f, lang, word) of the words that stand ``least`` times or more in their language."""
+    same = Window.partitionBy("lang", "word")
+    rows = level.where("kind = 1").select("block", "code", "lang", "word", F.sum("n").over(same).alias("f"), F.min(_key()).over(same).alias("id"))
     return saved(rows.where(F.col("f") >= least), "names")
 
 
-def _names(named: DataFrame) -> DataFrame:
-    """One row for each gram."""
-    return named.where(F.col("id") == _key()).drop("block", "code")
-
-
 def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) with all words of a language, and for each length the frequent phrases.
 
@@ -194,29 +260,26 @@ def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col:
     rows = docs.where(F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
     level = saved(rows.mapInArrow(_blocks, _ddl(_LEVEL_1)), "words", by="kind")
     totals = saved(level.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    named = _named(level, ["lang", "word"], least)
+    buckets = max(partitions(docs.sparkSession), (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    named = _named_words(level, least)
     none = F.array().cast("array<long>")
-    found = [_names(named).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))]
+    words_found = named.where(F.col("id") == _key()).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))
+    named = named.select("block", "code", "id")
+    found = [words_found]
     for k in range(2, longest + 1):
         before = level
-        level = saved(
-            before.where("kind = 0").select("block", "places").groupBy("block").cogroup(named.select("block", "code", "id").groupBy("block")).applyInArrow(_paired, _ddl(_LEVEL_K)), f"pairs{k}", by="kind"
-        )
+        pairs = before.where("kind = 0").select("block", "places").groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_pairing(buckets, k), _ddl(_PAIRS))
+        level = saved(pairs, f"pairs{k}", by="kind")
         dropped(before)
-        named = _named(level, ["left", "right"], least)
+        counted = saved(level.where("kind = 1").select("bucket", "block", "pairs").groupBy("bucket").applyInArrow(_counting(least), _ddl(_COUNTED)), f"counted{k}", by="kind")
+        dropped(level, "kind=1")
+        named = counted.where("kind = 0").select("block", "codes", "ids")
         a, b = (found[-1].select(F.col("id").alias(side), F.struct("*").alias(f"_{side}")) for side in ("left", "right"))
-        found.append(
-            saved(
-                _names(named)
-                .join(a, "left")
-                .join(b, "right")
-                .select(
-                    "id", F.col("_left.lang").alias("lang"), F.concat_ws(" ", "_left.phrase", "_right.last").alias("phrase"), F.col("_right.last").alias("last"), "f",
-                    F.concat("_left.heads", F.array("_left.f")).alias("heads"), F.concat("_right.tails", F.array("_right.f")).alias("tails"), "left", "right",
-                ),
-                f"phrases{k}",
-            )
+        phrases = counted.where("kind = 1").join(a, "left").join(b, "right").select(
+            "id", F.col("_left.lang").alias("lang"), F.concat_ws(" ", "_left.phrase", "_right.last").alias("phrase"), F.col("_right.last").alias("last"), "f",
+            F.concat("_left.heads", F.array("_left.f")).alias("heads"), F.concat("_right.tails", F.array("_right.f")).alias("tails"), "left", "right",
         )
+        found.append(saved(phrases, f"phrases{k}"))
     dropped(level)
     return totals, found
 
