@@ -198,15 +198,19 @@ def category_slices(books: DataFrame, palette: DataFrame, slots: int = 7) -> Dat
     return out.join(books.agg(F.count("*").alias("_all"))).select("key", "n", numbers.share(F.col("n"), F.col("_all")).alias("share"), "slot")
 
 
-def sort_order(key: str) -> list[Column]:
-    """Order of a catalogue by ``author``, ``title``, ``year``, ``added``, ``rating`` or ``shelf``; missing values last, then the shelf."""
+def with_sort_keys(books: DataFrame) -> DataFrame:
+    """``books`` with the keys of all orders as columns, worked out once a record: no sort works them out in its comparisons."""
     author = names.sort_name(F.col("author"), F.col("author_sort"))
-    by_author = names.collation_key(author)
-    by_author = F.when(author.isNotNull(), by_author).asc_nulls_last()
-    by_title = names.collation_key(names.title_sort_name(F.col("title"))).asc()
+    by_author = F.when(author.isNotNull(), names.collation_key(author))
+    return books.withColumns({"_author_key": by_author, "_title_key": names.collation_key(names.title_sort_name(F.col("title"))), "_year_key": numbers.valid_year(F.col("year"))})
+
+
+def sort_order(key: str) -> list[Column]:
+    """Order of ``with_sort_keys`` by ``author``, ``title``, ``year``, ``added``, ``rating`` or ``shelf``; missing values last, then the shelf."""
+    by_author, by_title = F.asc_nulls_last("_author_key"), F.asc("_title_key")
     shelf = [F.col("shelf").asc(), F.col("created").asc(), F.col("id").asc()]
     rating = [F.desc_nulls_last("rating"), F.desc("favourite"), by_title]
-    found = {"author": [by_author, by_title], "title": [by_title, by_author], "year": [numbers.valid_year(F.col("year")).asc_nulls_last(), by_author, by_title], "added": [F.desc_nulls_last("created")], "rating": rating, "shelf": []}
+    found = {"author": [by_author, by_title], "title": [by_title, by_author], "year": [F.asc_nulls_last("_year_key"), by_author, by_title], "added": [F.desc_nulls_last("created")], "rating": rating, "shelf": []}
     return [*found[key], *shelf]
 
 
@@ -225,7 +229,7 @@ def index_rail(spark, groups: DataFrame) -> DataFrame:
 
 def topic_sections(books: DataFrame, least: int = 2) -> DataFrame:
     """(category, topic, n): topics within each main category; those of fewer than ``least`` records fold into ``other``, a record once."""
-    keyed = books.select("id", topic_keys().alias("_keys")).select("id", F.coalesce(F.get("_keys", 0), F.lit("other")).alias("category"), F.slice("_keys", 2, 1_000_000).alias("_rest"))
+    keyed = books.select("id", topic_keys().alias("_keys")).select("id", F.coalesce(F.get("_keys", 0), F.lit("other")).alias("category"), F.slice("_keys", F.lit(2), F.greatest(F.size("_keys"), F.lit(1))).alias("_rest"))
     rows = keyed.select("id", "category", F.explode_outer("_rest").alias("topic"))
     counts = rows.where("topic is not null").groupBy("category", "topic").agg(F.count("*").alias("m"))
     named = rows.join(counts, ["category", "topic"], "left").select("id", "category", F.when(F.coalesce("m", F.lit(0)) >= least, F.col("topic")).otherwise("other").alias("topic"))

@@ -30,11 +30,14 @@ def counted(counters: DataFrame, hits: DataFrame, key: str, n: str) -> DataFrame
     return counters.join(add, key, "full").select(key, (F.coalesce(n, F.lit(0)) + F.coalesce("_add", F.lit(0))).alias(n))
 
 
-def throttled(hits: DataFrame, key: list[str], at: str, every: float) -> DataFrame:
-    """Hits at least ``every`` seconds after the one before of the same key count; the others do not."""
-    w = Window.partitionBy(*key).orderBy(at)
-    before = F.lag(at).over(w)
-    return hits.withColumn("_b", before).where(F.col("_b").isNull() | (F.col(at) - F.col("_b") >= every)).drop("_b")
+def throttled(hits: DataFrame, key: list[str], at: str, id_col: str, every: float) -> DataFrame:
+    """The hits that count: a key's first one, and each that comes ``every`` seconds or more after the one counted last."""
+    from vellum.streaming import state
+
+    named = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    rows = hits.select(named.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(at).cast("double").alias("at"))
+    counted_ = state.limited(rows, every, 1).where("allowed").select(F.col("id").alias(id_col))
+    return hits.join(counted_, id_col, "left_semi")
 
 
 def merged_maps(df: DataFrame, group: str, counts: str) -> DataFrame:

@@ -112,16 +112,31 @@ def nearest_within(left: DataFrame, right: DataFrame, group: str, at: str, toler
 
 
 def continued(df: DataFrame, group: str, frame: str, start: str, end: str, least: float) -> DataFrame:
-    """(group, frame, start, end, before): the interval of the frame before that an interval continues: most overlap, ``least`` of the shorter at least."""
+    """(group, frame, start, end, before): the interval of the frame before that an interval continues: most overlap, ``least`` of the shorter at least.
+
+    Each earlier interval is continued once, by the one that overlaps it most (ties to the lesser start, then end); an
+    interval whose best one is taken by another begins anew.
+    """
     now = df.select(group, frame, start, end)
     old = df.select(F.col(group), (F.col(frame) + 1).alias(frame), F.col(start).alias("_s"), F.col(end).alias("_e"))
     overlap = F.least(end, "_e") - F.greatest(start, "_s")
-    share = overlap / F.least(F.col(end) - F.col(start), F.col("_e") - F.col("_s"))
+    share = overlap / F.greatest(F.lit(1.0), F.least(F.col(end) - F.col(start), F.col("_e") - F.col("_s")))
     met = now.join(old, [group, frame]).where(share >= least)
-    best = met.groupBy(group, frame, start, end).agg(F.min(F.struct((-share).alias("m"), F.col("_s").alias("s")))["s"].alias("before"))
+    claim = met.groupBy(group, frame, start, end).agg(F.min(F.struct((-share).alias("m"), F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("_b"))
+    one = claim.groupBy(group, frame, "_b.s", "_b.e").agg(F.min(F.struct(F.col("_b.m").alias("m"), F.col(start).alias("_x"), F.col(end).alias("_y"))).alias("_c"))
+    best = one.select(group, frame, F.col("_c._x").alias(start), F.col("_c._y").alias(end), F.col("s").alias("before"))
     return now.join(best, [group, frame, start, end], "left")
 
 
+def orders_filled(df: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """``name``: the value, or where it is null one more than the greatest so far in its group (filled ones count), from 1."""
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # With c nulls so far the greatest is c more than the greatest value, each less the nulls before it.
+    rows = df.withColumn("_c", F.count(F.when(F.col(value).isNull(), 1)).over(w))
+    most = F.greatest(F.coalesce(F.max(F.col(value) - F.col("_c")).over(w), F.lit(0)), F.lit(0))
+    return rows.withColumn(name, F.coalesce(F.col(value), most + F.col("_c"))).drop("_c")
+
+
 def filled_forward(df: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
     """``name``: the value, or where it is null the last one before in the group, or the first one after if there is none before."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from vellum.functions import names, numbers, text
 from vellum.operators import catalogue as C
-from vellum.storage import table
+from vellum.storage import staged, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -192,7 +192,8 @@ _ORDERS = {
        + " UNION ALL ".join(f"(SELECT '{k}' AS sort, id, CAST(row_number() OVER (ORDER BY {o + ', ' if o else ''}shelf, created, id) AS INT) AS place FROM t ORDER BY place LIMIT 40)" for k, o in _ORDERS.items()))
 def library_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of each of the six orders."""
-    rows, out = books(spark, sf_dir), None
+    keys = ["id", "shelf", "created", "rating", "favourite", "_author_key", "_title_key", "_year_key"]
+    rows, out = staged(C.with_sort_keys(books(spark, sf_dir)).select(*keys)), None
     for key in _ORDERS:
         page = rows.orderBy(*C.sort_order(key)).limit(40)  # a page: a top-k, not a sort of all
         placed = page.select(F.lit(key).alias("sort"), "id", F.row_number().over(Window.orderBy(*C.sort_order(key))).alias("place"))

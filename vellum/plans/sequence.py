@@ -154,12 +154,12 @@ def dedupe_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.enqueued(_hits(spark, sf_dir), "key", "at", "id", 86400.0).drop("at")
 
 
-@query("""WITH a AS (SELECT user_id, count(*) AS attempts, count(*) FILTER (event_type <> 'purchase') AS f, count(*) FILTER (event_type = 'purchase') AS s FROM events GROUP BY 1)
-SELECT user_id, attempts, CASE WHEN s > 0 THEN 'done' WHEN f >= 3 THEN 'failed' ELSE 'queued' END AS status,
-CASE WHEN s = 0 AND f < 3 THEN CAST(least(30 * pow(4, greatest(f, 1) - 1), 21600) AS BIGINT) END AS wait FROM a""")
+@query("""WITH a AS (SELECT user_id, event_type = 'purchase' AS ok, row_number() OVER w AS i, sum(CASE WHEN event_type <> 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT * FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.user_id = x.user_id AND y.i < x.i AND (y.ok OR y.f >= 3))), g AS (SELECT user_id, count(*) AS attempts, bool_or(ok) AS done, max(f) AS f FROM r GROUP BY 1)
+SELECT user_id, attempts, CASE WHEN done THEN 'done' WHEN f >= 3 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN NOT done AND f < 3 THEN CAST(least(30 * pow(4, greatest(f, 1) - 1), 21600) AS BIGINT) END AS wait FROM g""")
 def retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type") != "purchase")
-    return state.retried(attempts, "user_id", "ts", "failed")
+    return state.retried(attempts, "user_id", ["ts", "event_id"], "failed")
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

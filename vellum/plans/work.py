@@ -113,10 +113,13 @@ def counters_raised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.counted(counters, table(spark, sf_dir, "events").select(F.col("user_id").alias("k")), "k", "n")
 
 
-@query("""SELECT event_id, user_id FROM (SELECT event_id, user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts)) AS gap FROM events) WHERE gap IS NULL OR gap >= 86400""")
+@query("""WITH RECURSIVE h AS (SELECT user_id, event_type, event_id, epoch(ts) AS "at", row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts), event_id) AS i FROM events),
+r AS (SELECT user_id, event_type, event_id, i, "at" AS opened, TRUE AS counted FROM h WHERE i = 1
+UNION ALL SELECT h.user_id, h.event_type, h.event_id, h.i, CASE WHEN h."at" >= r.opened + 86400 THEN h."at" ELSE r.opened END, h."at" >= r.opened + 86400 FROM r JOIN h ON h.user_id = r.user_id AND h.event_type = r.event_type AND h.i = r.i + 1)
+SELECT event_id, user_id FROM r WHERE counted""")
 def throttled_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("at"))
-    return changes.throttled(rows, ["user_id", "event_type"], "at", 86400.0).select("event_id", "user_id")
+    return changes.throttled(rows, ["user_id", "event_type"], "at", "event_id", 86400.0).select("event_id", "user_id")
 
 
 @query("""SELECT user_id, j.key AS name, CAST(sum(CAST(j.value AS BIGINT)) AS BIGINT) AS n FROM events, json_each(props) AS j WHERE j.type IN ('UBIGINT', 'BIGINT') GROUP BY 1, 2""")
@@ -132,8 +135,10 @@ def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.visible(rows, F.col("o_custkey").cast("string"), F.col("o_orderstatus") == "P", "17").select("o_orderkey")
 
 
-@query("""SELECT o_orderkey AS id, array_to_string(list_concat(CASE WHEN o_orderkey % 2 = 0 AND l.x THEN [] WHEN o_orderkey % 2 = 0 THEN ['old'] ELSE ['own'] END, CASE WHEN l.y THEN ['new'] ELSE [] END), ',') AS tags
-FROM orders LEFT JOIN (SELECT l_orderkey, bool_or(l_suppkey % 3 = 0) AND NOT bool_or(l_suppkey % 5 = 1) AS x, bool_or(l_suppkey % 5 = 0) AS y FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
+@query("""WITH l AS (SELECT l_orderkey, bool_or(l_suppkey % 3 = 0) AS o, bool_or(l_suppkey % 5 = 1) AS again, bool_or(l_suppkey % 5 = 0) AS y FROM lineitem GROUP BY 1),
+t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN ['old'] ELSE ['own'] END AS own, coalesce(o, FALSE) AS o, coalesce(again, FALSE) AS again, coalesce(y, FALSE) AS y FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
+k AS (SELECT id, own[1] = 'old' AND o AND NOT again AS lost, own, list_concat(CASE WHEN again AND NOT o AND own[1] <> 'old' THEN ['old'] ELSE [] END, CASE WHEN y THEN ['new'] ELSE [] END) AS gained FROM t)
+SELECT id, array_to_string(list_sort(list_concat(CASE WHEN lost THEN [] ELSE own END, gained)), ',') AS tags FROM k""")
 def propagated_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as sources: some lose the tag ``old``, some have it anew, some gain ``new``."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("old"))).otherwise(F.array(F.lit("own"))).alias("tags"))
@@ -143,8 +148,7 @@ def propagated_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     mod = F.col("source_id") % 5
     new = s.select("source_id", F.when(mod == 0, F.array(F.lit("new"))).when(mod == 1, F.array(F.lit("old"))).otherwise(none).alias("tags"))
     out = changes.propagated_tags(orders, links, old, new)
-    # A tag that a source has anew and another lost stays or comes; texts show the order.
-    return out.select("id", F.array_join(F.filter("tags", lambda t: (t != "old") | (F.col("id") % 2 == 0)), ",").alias("tags"))
+    return out.select("id", F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
 @query("""WITH k AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS active, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_orderstatus = 'P') AS broken FROM orders GROUP BY 1)
@@ -209,8 +213,8 @@ def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.nearest_within(left, right, "g", "at", 5.0).select("l_orderkey", "at", F.col("nearest").cast("long").alias("nearest"))
 
 
-@query("""WITH t AS (SELECT DISTINCT l_suppkey AS g, l_linenumber AS f, CAST(l_partkey AS DOUBLE) AS s, CAST(l_partkey + l_quantity AS DOUBLE) AS e FROM lineitem), m AS (SELECT a.*, b.s AS bs, (least(a.e, b.e) - greatest(a.s, b.s)) / least(a.e - a.s, b.e - b.s) AS x FROM t a JOIN t b ON a.g = b.g AND a.f = b.f + 1),
-k AS (SELECT g, f, s, e, arg_min(bs, (-x, bs)) AS before FROM m WHERE x >= 0.6 GROUP BY 1, 2, 3, 4) SELECT t.g, t.f, t.s, t.e, before FROM t LEFT JOIN k USING (g, f, s, e)""")
+@query("""WITH t AS (SELECT DISTINCT l_suppkey AS g, l_linenumber AS f, CAST(l_partkey AS DOUBLE) AS s, CAST(l_partkey + l_quantity AS DOUBLE) AS e FROM lineitem), m AS (SELECT a.*, b.s AS bs, b.e AS be, (least(a.e, b.e) - greatest(a.s, b.s)) / greatest(1, least(a.e - a.s, b.e - b.s)) AS x FROM t a JOIN t b ON a.g = b.g AND a.f = b.f + 1),
+k AS (SELECT * FROM m WHERE x >= 0.6 QUALIFY row_number() OVER (PARTITION BY g, f, s, e ORDER BY x DESC, bs, be) = 1), c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY g, f, bs, be ORDER BY x DESC, s, e) = 1) SELECT t.g, t.f, t.s, t.e, bs AS before FROM t LEFT JOIN c USING (g, f, s, e)""")
 def continued_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     spans = line.select(F.col("l_suppkey").alias("g"), F.col("l_linenumber").alias("f"), F.col("l_partkey").cast("double").alias("s"), (F.col("l_partkey") + F.col("l_quantity")).alias("e")).distinct()
@@ -250,6 +254,15 @@ def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.filled_forward(rows, "user_id", [F.col("ts"), F.col("event_id")], "v", "filled").select("event_id", "filled")
 
 
+@query("""WITH RECURSIVE h AS (SELECT user_id, event_id, CASE WHEN event_type <> 'view' THEN event_id % 7 END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, coalesce(v, 1) AS o, greatest(coalesce(v, 1), 0) AS most FROM h WHERE i = 1 UNION ALL SELECT h.user_id, h.event_id, h.i, coalesce(h.v, most + 1), greatest(most, coalesce(h.v, most + 1)) FROM r JOIN h ON h.user_id = r.user_id AND h.i = r.i + 1)
+SELECT event_id, CAST(o AS BIGINT) AS "order" FROM r""")
+def orders_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a batch; a view has none and gets one more than the greatest so far."""
+    rows = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_type") != "view", F.col("event_id") % 7))
+    return runs.orders_filled(rows, "user_id", [F.col("ts"), F.col("event_id")], "v", "order").select("event_id", "order")
+
+
 @query("""WITH m AS (SELECT l_suppkey, l_linenumber, median(l_quantity) AS m FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_linenumber, sum(m) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS "offset" FROM m""")
 def pan_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.pan_offsets(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_linenumber", "l_quantity")

@@ -9,8 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
-LIMITED = "key long, id long, at double, hits int, allowed boolean"
+LIMITED = "key {kind}, id long, at double, hits int, allowed boolean"
+
+
+def _limited(hits: DataFrame) -> str:
+    return LIMITED.format(kind=hits.schema["key"].dataType.simpleString())
 
 
 def _scan(rows: pd.DataFrame, opened: float, hits: int, window: float, limit: int) -> tuple[pd.DataFrame, float, int]:
@@ -44,7 +49,7 @@ def limited(hits: DataFrame, window: float, limit: int) -> DataFrame:
             if done:
                 yield pd.concat(done)
 
-    return hits.select("key", "id", "at").repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(run, LIMITED)
+    return hits.select("key", "id", "at").repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(run, _limited(hits))
 
 
 def limited_stream(hits: DataFrame, window: float, limit: int) -> DataFrame:
@@ -57,7 +62,7 @@ def limited_stream(hits: DataFrame, window: float, limit: int) -> DataFrame:
         state.update((opened, n))
         yield out
 
-    return hits.select("key", "id", "at").groupBy("key").applyInPandasWithState(run, LIMITED, "opened double, hits int", "append", GroupStateTimeout.NoTimeout)
+    return hits.select("key", "id", "at").groupBy("key").applyInPandasWithState(run, _limited(hits), "opened double, hits int", "append", GroupStateTimeout.NoTimeout)
 
 
 def enqueued(requests: DataFrame, key: str, at: str, order: str, busy: float) -> DataFrame:
@@ -66,17 +71,19 @@ def enqueued(requests: DataFrame, key: str, at: str, order: str, busy: float) ->
     return limited(hits, busy, 1).where("allowed").select("key", "id", "at")
 
 
-def retried(attempts: DataFrame, job: str, order: str, failed: str, most: int = 3) -> DataFrame:
-    """State of each job from its attempts: done at the first success, failed after ``most``, else queued with its wait."""
+def retried(attempts: DataFrame, job: str, order: list[str], failed: str, most: int = 3) -> DataFrame:
+    """State of each job from its attempts in order: done at the first success, failed for good at failure ``most``, else queued with its wait.
+
+    What a job did after its end is not run: it counts neither as attempt nor as success.
+    """
     from vellum.functions.numbers import backoff
 
-    one = attempts.groupBy(job).agg(
-        F.count("*").alias("attempts"),
-        F.min(F.when(~F.col(failed), F.col(order))).alias("success"),
-        F.count_if(F.col(failed)).alias("failures"),
-    )
-    status = F.when(F.col("success").isNotNull(), "done").when(F.col("failures") >= most, "failed").otherwise("queued")
-    return one.select(job, "attempts", status.alias("status"), F.when(status == "queued", backoff(F.col("failures"))).alias("wait"))
+    w = Window.partitionBy(job).orderBy(*order)
+    placed = attempts.select(job, failed, F.row_number().over(w).alias("_i"), F.sum(F.col(failed).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_f"))
+    one = placed.groupBy(job).agg(F.count("*").alias("_n"), F.min(F.when(~F.col(failed), F.col("_i"))).alias("_s"), F.min(F.when(F.col("_f") >= most, F.col("_i"))).alias("_x"))
+    end = F.least("_s", "_x")  # the lesser of those that there are
+    status = F.when(F.col("_s") == end, "done").when(F.col("_x") == end, "failed").otherwise("queued")
+    return one.select(job, F.coalesce(end, F.col("_n")).alias("attempts"), status.alias("status"), F.when(end.isNull(), backoff(F.col("_n"))).alias("wait"))
 
 
 def tumbling(events: DataFrame, at: str, length: str, kind: str, late: str | None = None) -> DataFrame:
