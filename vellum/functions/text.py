@@ -115,6 +115,28 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(edit_ratio(a, b), token_set_ratio(a, b)))
 
 
+def title_cover(a: Column, b: Column) -> Column:
+    """Share of the longer title key's letters that the shorter one has, if the longer one has all its words, else 0.
+
+    Each word of the shorter title, in order, takes the word most like it of those left (ratio 0.8 at least; words
+    under three letters must be equal); fewer than four letters cover nothing.
+    """
+    letters = lambda t: F.length(F.replace(t, F.lit(" "), F.lit("")))
+    small, large = F.when(letters(a) <= letters(b), a).otherwise(b), F.when(letters(a) <= letters(b), b).otherwise(a)
+    alike = lambda t, p: F.when(t == p, 1.0).when((F.length(t) >= 3) & (F.length(p) >= 3), edit_ratio(t, p)).otherwise(0.0)
+
+    def taken(left: Column, t: Column) -> Column:
+        scores = F.transform(left, lambda p: alike(t, p))
+        # Without a fitting word there is nothing left, for this word and all that follow.
+        best = F.filter(F.array(F.struct(F.array_max(scores).alias("s"), F.array_position(scores, F.array_max(scores)).cast("int").alias("at"))), lambda x: x["s"] >= 0.8)
+        rest = lambda x: F.concat(F.slice(left, F.lit(1), x["at"] - 1), F.slice(left, x["at"] + 1, F.size(left)))
+        return F.get(F.transform(best, rest), 0)
+
+    left = F.aggregate(words(small), words(large), taken)
+    fits = (small != "") & (F.size(words(small)) <= F.size(words(large))) & (letters(small) >= 4) & left.isNotNull()
+    return F.when(fits, F.least(F.lit(1.0), letters(small) / F.greatest(F.lit(1), letters(large)))).otherwise(0.0)
+
+
 def split_authors(c: Column) -> Column:
     """Names of an author field parted by ``;`` or by a spaced ``&`` or ``+``."""
     parts = F.split(F.coalesce(c, F.lit("")), r"\s*(?:;|\s&\s|\s\+\s)\s*")
