@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text
 from vellum.operators.joins import greedy_one_to_one, trigram_candidates
+from vellum.storage import staged
 
 SAME, LONG, LONG_LETTERS = 0.85, 0.95, 12
+# Letters of a title that is strong without authors, the part that suffices beside authors.
+LETTERS, PART_TOLD = 18, 0.25
 
 
 def title_pairs(left: DataFrame, right: DataFrame, block: float, least: float, measure: str = "edit") -> DataFrame:
@@ -80,3 +83,58 @@ def match_quality(truth: DataFrame, found: DataFrame, least: float = 0.6) -> Dat
     out = counts.join(truth.agg(F.count("*").alias("truth"))).join(found.agg(F.count("*").alias("found")))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.select("truth", "found", "matched", "exact", share("matched", "found").alias("precision"), share("matched", "truth").alias("recall"))
+
+
+#: Neighbours of a record and of a known record that count as context, records of a source that need none, other
+#: matches that show a shelf read again, the places at an end.
+CLUSTERS, BOOKS, FEW, AGAIN, END = 3, 4, 3, 2, 1
+
+
+def in_context(candidates: DataFrame, sizes: DataFrame, known: DataFrame) -> DataFrame:
+    """``candidates`` with supported, refilmed and accepted: whether the places of both sides speak for a match.
+
+    ``candidates``: (source, place, known, score, strong), a record at a place of a new shelf that may be a known one; ``sizes``:
+    (source, n), its records; ``known``: (known, block, rank, size), where the known one stands.  A match is supported on a
+    shelf of few records, by a neighbour that matches a neighbour of the known one, or at the ends of both shelves.  A strong
+    match also counts if other records match the same block.  Places are met by exploding the offsets of one side.
+    """
+    keys = ["source", "place", "known"]
+    placed = candidates.join(known, "known").join(sizes, "source")
+    near = placed.select("source", F.col("known").alias("_k"), "block", F.col("rank").alias("_r"), F.explode(F.array(*[F.col("place") + d for d in range(-CLUSTERS, CLUSTERS + 1) if d])).alias("place"))
+    by_side = placed.select(*keys, "block", "rank").join(near, ["source", "block", "place"]).where((F.col("_k") != F.col("known")) & (F.abs(F.col("_r") - F.col("rank")) <= BOOKS)).select(*keys).distinct()
+    whole = candidates.where(F.col("score") >= SAME).join(known.select("known", "block"), "known").select("source", "block", "place").distinct()
+    others = whole.groupBy("source", "block").agg(F.count("*").alias("_n"))
+    mine = whole.withColumn("_mine", F.lit(1))
+    at_end = ((F.col("place") < END) | (F.col("place") >= F.col("n") - END)) & ((F.col("rank") < END) | (F.col("rank") >= F.col("size") - END))
+    out = placed.join(by_side.withColumn("_near", F.lit(True)), keys, "left").join(others, ["source", "block"], "left").join(mine, ["source", "block", "place"], "left")
+    out = out.withColumn("supported", (F.col("n") <= FEW) | F.col("_near").isNotNull() | at_end).withColumn("refilmed", F.coalesce(F.col("_n") - F.coalesce("_mine", F.lit(0)) >= AGAIN, F.lit(False)))
+    return out.select(*candidates.columns, "supported", "refilmed", (F.col("supported") | (F.col("strong") & F.col("refilmed"))).alias("accepted"))
+
+
+def read_matches(records: DataFrame, known: DataFrame, people) -> DataFrame:
+    """(id, known, score, strong): records that may be known ones by their whole title, a part of it, or author and title read the other way round.
+
+    Both sides have id, title, author.  Authors must not contradict each other, nor volume numbers.  A whole title is strong
+    if both sides name compatible authors, or if it is long and all but identical; a part needs two fifths of the title, a
+    quarter beside authors that agree; a swapped pair is strong.  Titles and authors are compared once each.
+    """
+    from vellum.operators import shelf
+
+    def side(df: DataFrame) -> DataFrame:
+        number = F.array_join(text.volume_numbers(F.col("title")).cast("array<string>"), ",")
+        rows = df.select("id", text.title_key(F.col("title")).alias("t"), number.alias("n"), shelf.families(F.col("author"), people).alias("a"), text.title_key(F.col("author")).alias("w"))
+        return rows.where("t != ''")
+
+    x, y = staged(side(records)), staged(side(known)).toDF("known", "u", "n2", "a2", "w2")
+    every = x.select("t").union(y.select("u")).union(x.where("w != ''").select("w")).union(y.where("w2 != ''").select("w2")).distinct()
+    scores = staged(shelf.title_scores(every))
+    scores = scores.unionByName(every.select("t", F.col("t").alias("u"), F.lit(1.0).alias("score"), F.lit(1.0).alias("cover")))
+    met = x.join(scores, "t").join(y, "u").where(((F.col("n") == "") | (F.col("n2") == "") | (F.col("n") == F.col("n2"))) & shelf.compatible(F.col("a"), F.col("a2")))
+    told = (F.size("a") > 0) & (F.size("a2") > 0)
+    long = (F.col("score") >= LONG) & (F.length(F.replace("t", F.lit(" "), F.lit(""))) >= LETTERS)
+    whole = met.where(F.col("score") >= SAME).select("id", "known", "score", (told | long).alias("strong"))
+    part = met.where((F.col("score") < SAME) & (F.col("cover") >= F.when(told, PART_TOLD).otherwise(shelf.PART))).select("id", "known", (0.5 + 0.3 * F.col("cover")).alias("score"), F.lit(False).alias("strong"))
+    same = scores.where(F.col("score") >= SAME).select("t", "u")
+    turned = x.where("w != ''").join(same.toDF("w", "u"), "w").join(y.where("w2 != ''"), "u").join(same.toDF("t", "w2"), ["t", "w2"]).select("id", "known", F.lit(SAME).alias("score"), F.lit(True).alias("strong"))
+    best = F.max(F.struct("strong", "score"))
+    return whole.unionByName(part).unionByName(turned).groupBy("id", "known").agg(best.alias("_b")).select("id", "known", "_b.score", "_b.strong")
