@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from vellum.plans import browse, library, match, sequence, shelves, summary, work
+from vellum.plans import browse, library, match, sequence, shelves, summary, work, writes
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**browse.QUERIES, **summary.QUERIES, **sequence.QUERIES, **library.QUERIES, **work.QUERIES, **match.QUERIES, **shelves.QUERIES}
-SQL = {**browse.ORACLE_SQL, **summary.ORACLE_SQL, **sequence.ORACLE_SQL, **library.ORACLE_SQL, **work.ORACLE_SQL, **match.ORACLE_SQL, **shelves.ORACLE_SQL}
+QUERIES = {**browse.QUERIES, **summary.QUERIES, **sequence.QUERIES, **library.QUERIES, **work.QUERIES, **match.QUERIES, **shelves.QUERIES, **writes.QUERIES}
+SQL = {**browse.ORACLE_SQL, **summary.ORACLE_SQL, **sequence.ORACLE_SQL, **library.ORACLE_SQL, **work.ORACLE_SQL, **match.ORACLE_SQL, **shelves.ORACLE_SQL, **writes.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
