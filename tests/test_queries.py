@@ -3,17 +3,17 @@
 import duckdb
 import pytest
 
-from vellum.plans import browse, library, match, sequence, shelves, summary, work, writes
+from vellum.plans import browse, library, match, media, sequence, shelves, summary, work, writes
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**browse.QUERIES, **summary.QUERIES, **sequence.QUERIES, **library.QUERIES, **work.QUERIES, **match.QUERIES, **shelves.QUERIES, **writes.QUERIES}
-SQL = {**browse.ORACLE_SQL, **summary.ORACLE_SQL, **sequence.ORACLE_SQL, **library.ORACLE_SQL, **work.ORACLE_SQL, **match.ORACLE_SQL, **shelves.ORACLE_SQL, **writes.ORACLE_SQL}
+QUERIES = {**browse.QUERIES, **summary.QUERIES, **sequence.QUERIES, **library.QUERIES, **work.QUERIES, **match.QUERIES, **media.QUERIES, **shelves.QUERIES, **writes.QUERIES}
+SQL = {**browse.ORACLE_SQL, **summary.ORACLE_SQL, **sequence.ORACLE_SQL, **library.ORACLE_SQL, **work.ORACLE_SQL, **match.ORACLE_SQL, **media.ORACLE_SQL, **shelves.ORACLE_SQL, **writes.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     return con
 

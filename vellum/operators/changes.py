@@ -78,6 +78,32 @@ def source_activity(df: DataFrame, group: str, status: Column, running: list[str
     return out.withColumn("phase", phase)
 
 
+def source_counts(sources: DataFrame, group: str, upload: Column, status: Column, last: Column, now: float, idle: float) -> DataFrame:
+    """(group, processing, alive, done, error, uploaded): sources of each group by what they do; an upload is alive within ``idle`` of its last sign."""
+    there = upload == "uploaded"
+    count = lambda c, name: F.count_if(c).alias(name)
+    return sources.groupBy(group).agg(
+        count(there & status.isin("pending", "queued", "processing"), "processing"), count((upload == "uploading") & (now - last < idle), "alive"),
+        count(there & (status == "done"), "done"), count(there & (status == "error"), "error"), count(there, "uploaded"),
+    )
+
+
+def collection_status(records: Column) -> Column:
+    """State of a group by its ``source_counts`` and the number of its records: an error only if every uploaded source failed."""
+    empty = F.when(records > 0, "ready").otherwise("draft")
+    return F.when(F.col("processing") > 0, "processing").when(F.col("uploaded") == 0, empty).when((F.col("done") == 0) & (F.col("error") > 0), "error").otherwise("ready")
+
+
+def completion() -> Column:
+    """What a group's completion waits for, by its ``source_counts``."""
+    return F.when(F.col("processing") > 0, "wait_processing").when(F.col("alive") > 0, "wait_uploads").otherwise("enrich")
+
+
+def completion_at(now: float, again: float) -> Column:
+    """When completion runs: at once, or, so that an upload left alone blocks nothing, ``again`` seconds later; null while sources run."""
+    return F.when(F.col("processing") > 0, None).when(F.col("alive") > 0, now + again).otherwise(now)
+
+
 def weighted_progress(df: DataFrame, group: str, size: str, part: Column) -> DataFrame:
     """(group, size, progress): parts done (0 to 1) weighted by size; groups of no size count their rows."""
     out = df.groupBy(group).agg(F.sum(size).alias("size"), F.sum(F.col(size) * part).alias("_d"), F.avg(part).alias("_m"))
