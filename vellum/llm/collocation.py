@@ -6,7 +6,7 @@ over the whole corpus, and the frequent pairs get numbers, which replace the pla
 k-gram's number names its two (k-1)-grams: these parents lead to the parts of every cut and
 to the phrases that a longer one may swallow.
 
-Scale: texts are worked on in blocks of some ``BLOCK`` bytes.  A block tells each distinct
+Scale: texts are worked on in blocks of some ``BLOCK`` characters.  A block tells each distinct
 pair once, with its count; pairs meet by the hash of both numbers in buckets, of which there
 are as many as the corpus has ``BUCKET`` words, and travel as packed arrays, one for a block
 and bucket.  A bucket counts, names the frequent pairs, and tells each block which of its pairs
@@ -27,6 +27,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ LONGEST = 4  #: words of the longest candidate
 SWALLOWED = 80  #: per cent of a phrase's occurrences that lie in a longer one
 SCALE = 2_000_000
 FIRST = 2000  #: phrases told for each language
-BLOCK = 16 << 20  #: bytes of text worked on at once
+BLOCK = 16 << 20  #: characters of text worked on at once
 SALT = 32  #: parts in which a language's best are sought
 CODES = 26  #: bits of a code within its block (a block of 16 MB has some 3 million words)
 BLOCKS = 12  #: bits of a block's number within its task
@@ -120,33 +121,34 @@ def _rows(schema: pa.Schema, size: int, **columns) -> pa.Table:
     return pa.table(out, schema=schema)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of (lang, text) rows: their places, and each distinct word with its count."""
-    from pyspark import TaskContext
+def _blocks(limit: int):
+    """Blocks of (lang, text) rows, closed beyond ``limit`` characters: their places, and each distinct word with its count."""
 
-    number = TaskContext.get().partitionId() << BLOCKS
-    held: dict[str, list[str]] = {}
-    size = 0
-
-    def told() -> Iterator[pa.RecordBatch]:
-        nonlocal number
+    def told(held: dict[str, list[str]], number: int) -> Iterator[pa.RecordBatch]:
         for lang, texts in held.items():
             places, known, counts = _coded(texts)
             if len(known):
                 yield from _rows(_LEVEL_1, 1, kind=0, block=number, places=_packed(places)).to_batches()
                 yield from _rows(_LEVEL_1, len(known), kind=1, block=number, code=np.arange(len(known)), lang=lang, word=known, n=counts).to_batches(1 << 16)
-                number += 1
-                if not number % (1 << BLOCKS):
-                    raise ValueError("a task has too many blocks of text; use smaller file splits")
+            number += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = number = TaskContext.get().partitionId() << BLOCKS
+        held: dict[str, list[str]] = {}
+        size = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if size and size + len(text) > limit:
+                    yield from told(held, number)
+                    number += len(held)
+                    held, size = {}, 0
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+        if number + len(held) - first > 1 << BLOCKS:
+            raise ValueError("a task has too many blocks of text; use smaller file splits")
+        yield from told(held, number)
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if size and size + len(text) > BLOCK:
-                yield from told()
-                held, size = {}, 0
-            held.setdefault(lang, []).append(text)
-            size += len(text)
-    yield from told()
+    return run
 
 
 def _renamed(places: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -197,7 +199,7 @@ def _pairing(buckets: int, level: int):
         bucket = (_mixed(_mixed(left) + right.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-        starts = np.concatenate(([0], ends[:-1]))
+        starts = np.concatenate(([0], ends))[:-1]
         told = [_packed(left[i], right[i], counts[i].astype(np.int32), i.astype(np.int32)) for a, b in zip(starts, ends, strict=True) for i in (order[a:b],)]
         block = key[0].as_py()
         pairs = _rows(_PAIRS, len(told), kind=1, block=block, bucket=bucket[order[starts]], pairs=told)
@@ -231,8 +233,8 @@ def _counting(least: int):
         held = np.flatnonzero(each >= 0)
         held = held[np.argsort(blocks[held], kind="stable")]
         ends = np.flatnonzero(np.diff(blocks[held], append=-1)) + 1
-        starts = np.concatenate(([0], ends[:-1]))
-        cells = [held[a:b] for a, b in zip(starts, ends, strict=True) if b > a]
+        starts = np.concatenate(([0], ends))[:-1]
+        cells = [held[a:b] for a, b in zip(starts, ends, strict=True)]
         told = _rows(_COUNTED, len(cells), kind=0, block=[int(blocks[c[0]]) for c in cells], codes=[_packed(codes[c]) for c in cells], ids=[_packed(first + each[c]) for c in cells])
         return pa.concat_tables([told, names])
 
@@ -250,7 +252,7 @@ def _named_words(level: DataFrame, least: int) -> DataFrame:
     return saved(rows.where(F.col("f") >= least), "names")
 
 
-def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
+def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK, bucket: int = BUCKET) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) with all words of a language, and for each length the frequent phrases.
 
     A phrase: id, lang, phrase, last (word), f, heads and tails (occurrences of its first and
@@ -258,9 +260,9 @@ def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col:
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     rows = docs.where(F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    level = saved(rows.mapInArrow(_blocks, _ddl(_LEVEL_1)), "words", by="kind")
+    level = saved(rows.mapInArrow(_blocks(block), _ddl(_LEVEL_1)), "words", by="kind")
     totals = saved(level.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    buckets = max(partitions(docs.sparkSession), (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    buckets = max(partitions(docs.sparkSession), (totals.agg(F.sum("n")).first()[0] or 0) // bucket)
     named = _named_words(level, least)
     none = F.array().cast("array<long>")
     words_found = named.where(F.col("id") == _key()).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))
@@ -289,9 +291,9 @@ def _score(a: Column, parts: Column, scale: int) -> Column:
     return F.call_function("div", a.cast("decimal(20,0)") * F.lit(scale).cast("decimal(10,0)"), parts.cast("decimal(20,0)"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, swallowed: int = SWALLOWED, scale: int = SCALE, first: int = FIRST, **columns: str) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the ``first`` best phrases of each language."""
-    totals, found = grams(docs, least, longest, **columns)
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, swallowed: int = SWALLOWED, scale: int = SCALE, first: int = FIRST, **more) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the ``first`` best phrases of each language; ``more`` goes to ``grams``."""
+    totals, found = grams(docs, least, longest, **more)
     scored = []
     for k in range(2, longest + 1):
         rows = found[k - 1]
