@@ -37,19 +37,19 @@ def tokens(name: Column) -> Column:
 
 def _placed(keys: Column, pool: Column) -> Column:
     """struct(out, left, ok): for each key the first token of ``pool`` that folds to it, taken out of the pool."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), pool.alias("left"), F.lit(True).alias("ok"))
+    known = F.transform(pool, lambda w: F.struct(w.alias("w"), text.fold_for_search(w).alias("k")))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), known.alias("left"), F.lit(True).alias("ok"))
+
+    def taken(acc: Column, at: Column) -> Column:
+        left = F.concat(F.slice(acc["left"], F.lit(1), at - 1), F.slice(acc["left"], at + 1, F.size(acc["left"])))
+        return F.struct(F.concat(acc["out"], F.array(F.get(acc["left"], at - 1)["w"])).alias("out"), left.alias("left"), F.lit(True).alias("ok"))
 
     def step(acc: Column, key: Column) -> Column:
-        at = F.array_position(F.transform(acc["left"], text.fold_for_search), key).cast("int")
-        left = F.concat(F.slice(acc["left"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(acc["left"], at + 1, F.greatest(F.size(acc["left"]) - at, F.lit(0))))
-        found = acc["ok"] & (at > 0)
-        return F.struct(
-            F.when(found, F.concat(acc["out"], F.slice(acc["left"], F.greatest(at, F.lit(1)), F.lit(1)))).otherwise(acc["out"]).alias("out"),
-            F.when(found, left).otherwise(acc["left"]).alias("left"),
-            found.alias("ok"),
-        )
+        at = F.when(acc["ok"], F.array_position(F.transform(acc["left"], lambda t: t["k"]), key)).otherwise(0).cast("int")
+        return let(at, lambda i: F.when(i > 0, taken(acc, i)).otherwise(F.struct(acc["out"].alias("out"), acc["left"].alias("left"), F.lit(False).alias("ok"))))
 
-    return F.aggregate(keys, start, step)
+    return let(F.aggregate(keys, start, step), lambda d: F.struct(d["out"].alias("out"), F.transform(d["left"], lambda t: t["w"]).alias("left"), d["ok"].alias("ok")))
 
 
 def sort_name(author: Column, author_sort: Column) -> Column:
@@ -59,10 +59,13 @@ def sort_name(author: Column, author_sort: Column) -> Column:
     follow.  Without an author the folded key, without a key the name as it is; a key that
     names somebody else stands for itself.
     """
-    name, key = first_author(author), text.fold_for_search(author_sort)
-    done = _placed(F.split(key, " "), tokens(name))
-    named = F.when(done["ok"], F.concat_ws(" ", done["out"], done["left"])).otherwise(key)
-    return F.when(name.isNull(), F.when(key != "", key)).when(key == "", name).otherwise(named)
+
+    def of(p: Column) -> Column:
+        name, key = p["name"], p["key"]
+        named = let(_placed(F.split(key, " "), tokens(name)), lambda done: F.when(done["ok"], F.concat_ws(" ", done["out"], done["left"])).otherwise(key))
+        return F.when(name.isNull(), F.when(key != "", key)).when(key == "", name).otherwise(named)
+
+    return let(F.struct(first_author(author).alias("name"), text.fold_for_search(author_sort).alias("key")), of)
 
 
 def family_name(author: Column, author_sort: Column) -> Column:
@@ -115,9 +118,12 @@ def title_sort_name(title: Column) -> Column:
 
 def collation_key(c: Column) -> Column:
     """A key that sorts without accents and case first, digits by value, and by the text itself at last."""
-    folded = text.fold(c)
-    parts = F.regexp_extract_all(folded, F.lit(r"(\d+|\D+)"), 1)
-    return F.struct(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p)), ""), c)
+
+    def of(t: Column) -> Column:
+        parts = F.regexp_extract_all(text.fold(t), F.lit(r"(\d+|\D+)"), 1)
+        return F.struct(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p)), ""), t.alias("text"))
+
+    return let(c, of)
 
 
 def is_all_capitals(s: Column) -> Column:

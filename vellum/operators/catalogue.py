@@ -7,6 +7,7 @@ statuses) come out small, lists that grow with the catalogue stay tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import names, numbers, text
+from vellum.storage import staged
 
 COLUMNS = (
     "id", "title", "author", "author_sort", "category", "topics", "tags", "language", "original_language", "country", "year", "status", "pages", "rating",
@@ -201,7 +203,7 @@ def category_slices(books: DataFrame, palette: DataFrame, slots: int = 7) -> Dat
 def with_sort_keys(books: DataFrame) -> DataFrame:
     """``books`` with the keys of all orders as columns, worked out once a record: no sort works them out in its comparisons."""
     author = names.sort_name(F.col("author"), F.col("author_sort"))
-    by_author = F.when(author.isNotNull(), names.collation_key(author))
+    by_author = names.let(author, lambda a: F.when(a.isNotNull(), names.collation_key(a)))
     return books.withColumns({"_author_key": by_author, "_title_key": names.collation_key(names.title_sort_name(F.col("title"))), "_year_key": numbers.valid_year(F.col("year"))})
 
 
@@ -266,23 +268,42 @@ def survivors(books: DataFrame, group: Column) -> DataFrame:
     return books.select(group.alias("g"), best.alias("b")).groupBy("g").agg(F.min("b")["id"].alias("keep"))
 
 
-def duplicates(books: DataFrame, least: float = 0.85) -> DataFrame:
+def duplicates(books: DataFrame, least: float = 0.85, compatible: Callable[[Column, Column], Column] | None = None, original: str | None = None) -> DataFrame:
     """(a, b, kind, score), a < b: records of one title key (exact), or of keys that are similar or begin with each other (similar).
 
-    Titles with different volume numbers never match.  Keys are compared once, whatever number of
-    records bears them; records of one key meet through the key's first record (by id), not in pairs.
+    Titles with different volume numbers never match as similar ones, nor do keys under four signs.  With ``compatible``, a
+    condition on two author fields, records of authors that do not agree never match; with ``original``, a column of
+    original titles, a record also is an exact match of those whose title is its original one.  Keys and authors are
+    compared once, whatever number of records bears them; records of one key and author meet through the first of
+    them (by id), not in pairs.  A pair that is exact is not told as similar.
     """
     from vellum.operators.joins import similar_pairs
 
-    keyed = books.select("id", text.title_key(F.col("title")).alias("k"), text.volume_numbers(F.col("title")).alias("v"))
+    author = F.col("author") if compatible else F.lit(None).cast("string")
+    keyed = books.select("id", author.alias("w"), text.title_key(F.col("title")).alias("k"), text.volume_numbers(F.col("title")).alias("v"), (text.title_key(F.col(original)) if original else F.lit("")).alias("o"))
     keyed = keyed.where(F.length(F.replace("k", F.lit(" "), F.lit(""))) >= 2)
-    heads = keyed.groupBy("k").agg(F.min(F.struct("id", "v")).alias("h")).select("k", F.col("h.id").alias("head"), F.col("h.v").alias("v"))
-    exact = keyed.join(heads.select("k", "head"), "k").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
-    found = similar_pairs(heads.where(F.length("k") >= 4), "k", "k", 0.3, least, "edit")
-    x, y = heads.toDF("a_", "ia", "va"), heads.toDF("b_", "ib", "vb")
-    similar = found.join(x, F.col("a") == F.col("a_")).join(y, F.col("b") == F.col("b_")).where(~text.volumes_conflict(F.col("va"), F.col("vb")))
-    similar = similar.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.lit("similar").alias("kind"), F.col("similarity").alias("score"))
-    return exact.unionByName(similar)
+    heads = staged(keyed.groupBy("k", "w").agg(F.min(F.struct("id", "v")).alias("h")).select("k", "w", F.col("h.id").alias("head"), F.col("h.v").alias("v")))
+    agree = (lambda x, y: compatible(F.col(x), F.col(y))) if compatible else (lambda x, y: F.lit(True))
+    pair = lambda df, kind, score: df.where("ia != ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.lit(kind).alias("kind"), score.alias("score"))
+    same = keyed.join(heads.select("k", F.col("w").alias("_w"), "head"), (keyed["k"] == heads["k"]) & keyed["w"].eqNullSafe(F.col("_w"))).select(F.col("id").alias("ia"), F.col("head").alias("ib"))
+    exact = pair(same, "exact", F.lit(1.0))
+    x, y = heads.toDF("k", "wa", "ia", "va"), heads.toDF("k", "wb", "ib", "vb")
+    if compatible:
+        exact = exact.unionByName(pair(x.join(y, "k").where("ia < ib").where(agree("wa", "wb")), "exact", F.lit(1.0)))
+    if original:
+        told = keyed.where("o != '' and o != k").select(F.col("id").alias("ia"), F.col("w").alias("wa"), F.col("o").alias("k"))
+        exact = exact.unionByName(pair(told.join(y, "k").where(agree("wa", "wb")), "exact", F.lit(1.0)))
+    exact = exact.distinct()
+    names_ = heads.where(F.length("k") >= 4).select("k").distinct()
+    found = similar_pairs(names_, "k", "k", 0.3, least, "edit").select("a", "b")
+    # Beginnings of a key, word by word, meet the keys that they are.
+    words = F.split("k", " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    begun = names_.where(F.contains("k", F.lit(" "))).select(F.col("k").alias("b"), F.explode(starts).alias("a")).join(names_.toDF("a"), "a", "left_semi").where(names.is_title_prefix(F.col("a"), F.col("b")))
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(begun.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    met = found.join(x.withColumnRenamed("k", "a"), "a").join(y.withColumnRenamed("k", "b"), "b").where(~text.volumes_conflict(F.col("va"), F.col("vb"))).where(agree("wa", "wb"))
+    similar = pair(met.withColumn("_s", text.edit_ratio(F.col("a"), F.col("b"))).drop("a", "b"), "similar", F.col("_s"))
+    return exact.unionByName(similar.join(exact.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def reader_row() -> list[Column]:

@@ -15,6 +15,8 @@ from vellum.storage import staged
 SAME, LONG, LONG_LETTERS = 0.85, 0.95, 12
 # Letters of a title that is strong without authors, the part that suffices beside authors.
 LETTERS, PART_TOLD = 18, 0.25
+# Likeness of titles to be merged, and of those beside each other, so many places apart at most.
+NEAR, SOMEWHAT, BESIDE = 0.6, 0.35, 2
 
 
 def title_pairs(left: DataFrame, right: DataFrame, block: float, least: float, measure: str = "edit") -> DataFrame:
@@ -57,14 +59,19 @@ def merge_score(similarity: Column, compatible: Column, both_authors: Column, di
 
 
 def merge_candidates(targets: DataFrame, books: DataFrame, compatible: Column, limit: int = 8) -> DataFrame:
-    """(id, other, score, place): for each target the ``limit`` best records of a similar title and compatible authors; ties to the shelf.
+    """(id, other, score, place): for each target the ``limit`` best records of compatible authors and a similar title; ties to the shelf.
 
-    Both sides have id, title, author, shelf; the limit is what a reader is shown.
+    Next to the target on the shelf (``BESIDE``), a title that is somewhat like its own suffices if both authors are known.  Both sides
+    have id, title, author, shelf (a whole number); the limit is what a reader is shown.
     """
     side = lambda df: df.select("id", "author", "shelf", text.title_key(F.col("title")).alias("t")).where("t != ''")
     x, y = side(targets), side(books).toDF("other", "author2", "shelf2", "u")
-    pairs = title_pairs(x, y.withColumnRenamed("u", "t"), 0.2, 0.6)
-    met = x.join(pairs, "t").join(y, "u").where("id != other").where(compatible)
+    pairs = title_pairs(x, y.withColumnRenamed("u", "t"), 0.2, NEAR)
+    alike = x.join(pairs, "t").join(y, "u")
+    # Places beside a target are few, and met by their numbers.
+    beside = x.withColumn("shelf2", F.explode(F.array(*[F.col("shelf") + d for d in range(-BESIDE, BESIDE + 1)]))).join(y, "shelf2").withColumn("score", text.edit_ratio(F.col("t"), F.col("u")))
+    beside = beside.where((F.col("score") >= SOMEWHAT) & (F.col("score") < NEAR) & F.col("author").isNotNull() & F.col("author2").isNotNull()).select(*alike.columns)
+    met = alike.unionByName(beside).where("id != other").where(compatible)
     score = merge_score(F.col("score"), compatible, F.col("author").isNotNull() & F.col("author2").isNotNull(), F.abs(F.col("shelf") - F.col("shelf2")))
     scored = met.select("id", "other", "shelf2", F.round(score, 9).alias("s"))
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("m"), "shelf2", "other"))), 1, limit)

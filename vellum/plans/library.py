@@ -237,13 +237,31 @@ def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.survivors(books(spark, sf_dir), F.col("title"))
 
 
-@query(""", k AS (SELECT id, lower(CASE WHEN title LIKE 'The %' THEN substr(title, 5) WHEN title LIKE 'Az %' THEN substr(title, 4) ELSE title END) AS t FROM b), h AS (SELECT t, min(id) AS head FROM k GROUP BY t)
+_KEYS = """, k AS (SELECT id, author, lower(CASE WHEN title LIKE 'The %' THEN substr(title, 5) WHEN title LIKE 'Az %' THEN substr(title, 4) ELSE title END) AS t FROM b)"""
+_ALIKE = "(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.75 OR (starts_with(y.t, x.t || ' ') AND length(replace(x.t, ' ', '')) >= 6) OR (starts_with(x.t, y.t || ' ') AND length(replace(y.t, ' ', '')) >= 6))"
+
+
+@query(_KEYS + f""", h AS (SELECT t, min(id) AS head FROM k GROUP BY t)
 SELECT head AS a, id AS b, 'exact' AS kind, CAST(1.0 AS DOUBLE) AS score FROM k JOIN h USING (t) WHERE id <> head
-UNION ALL SELECT least(x.head, y.head), greatest(x.head, y.head), 'similar', round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 9) FROM h x JOIN h y ON x.t < y.t AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.75""")
+UNION ALL SELECT least(x.head, y.head), greatest(x.head, y.head), 'similar', round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 9) FROM h x JOIN h y ON x.t < y.t AND {_ALIKE}""")
 def duplicate_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.duplicates(books(spark, sf_dir), 0.75).withColumn("score", F.round("score", 9))
 
 
+@query(_KEYS + f""", e AS (SELECT id, author, CASE WHEN id % 3 = 0 THEN t[:position(' ' IN t || ' ') - 1] || ' ' || split_part(t, ' ', 2) ELSE t END AS t, CASE WHEN id % 5 = 0 THEN t END AS o FROM k), h AS (SELECT t, author, min(id) AS head FROM e GROUP BY 1, 2),
+x AS (SELECT least(id, head) AS a, greatest(id, head) AS b FROM e JOIN h ON h.t = e.t AND h.author IS NOT DISTINCT FROM e.author WHERE id <> head
+UNION SELECT x.head, y.head FROM h x JOIN h y ON x.t = y.t AND x.head < y.head AND (x.author IS NULL OR y.author IS NULL OR x.author = y.author)
+UNION SELECT least(id, head), greatest(id, head) FROM e JOIN h ON h.t = e.o AND e.o <> e.t AND id <> head AND (h.author IS NULL OR e.author IS NULL OR h.author = e.author)),
+z AS (SELECT least(x.head, y.head) AS a, greatest(x.head, y.head) AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 9) AS score FROM h x JOIN h y ON x.t < y.t AND (x.author IS NULL OR y.author IS NULL OR x.author = y.author) AND {_ALIKE})
+SELECT a, b, 'exact' AS kind, CAST(1.0 AS DOUBLE) AS score FROM x UNION ALL SELECT a, b, 'similar', score FROM z WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.a = z.a AND x.b = z.b)""")
+def duplicate_suggestions_of_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of which a third is cut to two words, original titles, authors that must be the same or unknown."""
+    key = text.title_key(F.col("title"))
+    rows = books(spark, sf_dir).withColumn("original", F.when(F.col("id") % 5 == 0, key)).withColumn("title", F.when(F.col("id") % 3 == 0, F.array_join(F.slice(F.split(key, " "), 1, 2), " ")).otherwise(key))
+    out = C.duplicates(rows, 0.75, lambda a, b: a.isNull() | b.isNull() | (a == b), "original")
+    return out.withColumn("score", F.round("score", 9))
+
+
 @query("""SELECT id, title, coalesce(authors[1], '') AS author, CASE WHEN rating > 0 THEN least(rating, 5) ELSE 0 END AS rating, year, CASE status WHEN 'read' THEN 'read' WHEN 'reading' THEN 'currently-reading' ELSE 'to-read' END AS exclusive_shelf,
 concat_ws(', ', CASE status WHEN 'read' THEN 'read' WHEN 'reading' THEN 'currently-reading' ELSE 'to-read' END, CASE WHEN favourite THEN 'favorites' END, CASE WHEN status = 'abandoned' THEN 'did-not-finish' END) AS shelves FROM b""")
 def tracker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,8 @@ def existing_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_TITLED.format(0.6) + """, m AS (SELECT x.id, y.id AS other, y.shelf, round(score * 1.0 + 0.12 + CASE WHEN abs(x.shelf - y.shelf) <= 3 THEN 0.08 WHEN abs(x.shelf - y.shelf) <= 12 THEN 0.04 ELSE 0 END, 9) AS score
- FROM b x JOIN s USING (t) JOIN b y ON y.t = s.u WHERE x.id <> y.id AND x.author = y.author),
+ FROM b x JOIN s USING (t) JOIN b y ON y.t = s.u WHERE x.id <> y.id AND x.author = y.author
+ UNION ALL SELECT x.id, y.id, y.shelf, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) + 0.12 + 0.08, 9) FROM b x JOIN b y ON abs(x.shelf - y.shelf) <= 2 AND x.id <> y.id AND x.author = y.author AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.35 AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) < 0.6),
 r AS (SELECT id, other, score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, shelf, other) - 1 AS INT) AS place FROM m) SELECT * FROM r WHERE place < 8""")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that a reader is shown beside each one."""
@@ -53,7 +54,11 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.merge_candidates(rows, rows, F.col("author") == F.col("author2"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT p_name AS title, min(p_partkey) AS id FROM part GROUP BY 1), x AS (SELECT id, lower(title) AS t FROM o WHERE id % 2 = 0), y AS (SELECT id AS other, lower(title) AS u FROM o WHERE id % 2 = 1),
+p AS (SELECT id, other, score, row_number() OVER (ORDER BY score DESC, id, other) AS i FROM (SELECT id, other, 1 - levenshtein(t, u) / greatest(length(t), length(u)) AS score FROM x, y) WHERE score >= 0.75),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS rs, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS e
+UNION ALL SELECT j, CASE WHEN ok THEN list_append(ls, id) ELSE ls END, CASE WHEN ok THEN list_append(rs, other) ELSE rs END, m + CASE WHEN ok THEN 1 ELSE 0 END, e + CASE WHEN ok AND score = 1 THEN 1 ELSE 0 END FROM (SELECT w.*, p.id, p.other, p.score, p.i AS j, NOT list_contains(ls, p.id) AND NOT list_contains(rs, p.other) AS ok FROM w JOIN p ON p.i = w.i + 1) q)
+SELECT (SELECT count(*) FROM x) AS truth, (SELECT count(*) FROM y) AS found, m AS matched, e AS exact, m / (SELECT count(*) FROM y) AS precision, m / (SELECT count(*) FROM x) AS recall FROM w ORDER BY i DESC LIMIT 1""")
 def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct titles in two halves, as true and as found ones."""
     rows = _titled(spark, sf_dir).groupBy("title").agg(F.min("id").alias("id"))
