@@ -21,7 +21,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps the documents whose text is in one of the corpus' languages.
 
     Rejected: null texts, texts without letters, and texts of which hardly an n-gram is
-    known.  Where no language can be learnt (no text has a ``lang``) all texts stay.
+    known.  Where no language can be learnt (no text has a ``lang``) all texts stay.  Empty texts have
+    no letters; very long ones are read whole; repeated rows and rows of equal or null ids are judged
+    each, equal texts alike; ties between languages do not matter, since any known one keeps a text;
+    further columns stay; an empty table stays empty.
     """
     model = langid.fit(docs, F.lit(True))
     if not model.languages:
@@ -35,7 +38,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps the documents that score at least the ranking's threshold.
 
     Null and empty texts are scored as any other; without both labels every document stays; rows of
-    equal ids are scored each; further columns stay.
+    equal ids are scored each; further columns stay.  A score equal to the threshold keeps its document;
+    very long texts are measured whole; an empty table stays empty.
     """
     model = quality.fit(quality.measured(docs), table(spark, sf_dir, "labels"), F.lit(True))
     return quality.scored(docs, model).where(F.col("score") >= quality.CUT).select("row.*")
