@@ -348,3 +348,33 @@ def test_tumbling_stream(spark, tmp_path):
     q = state.tumbling(stream, "ts", "6 hours", "event_type", "1 hour").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "check")).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("windows").collect()} == batch
+
+
+def test_whole_exports(spark, tmp_path):
+    """Files of the three kinds, read back: guards, quotes, owner's columns; an unknown kind is an error."""
+    import csv
+    import json
+
+    schema = "id long, title string, subtitle string, original_title string, author string, isbn string, rating double, publisher string, edition_year int, year int, created date, status string, favourite boolean, notes string, family_first boolean, language string, category string, topics array<string>, tags array<string>, copies int, pages int, confidence double, needs_review boolean, source string, lent_to string, lent_at date"
+    rows = [
+        (1, '=SUM(A1)', 'a "b", c', None, "Szabó Magda; Other One", "963-07-0000-X", 4.6, None, None, 1987, None, "abandoned", True, "line\r\ntwo", True, None, "fiction", ["fiction", "poems"], ["x", "y"], None, None, None, None, "video", "Kata", None),
+        (2, "Plain", None, None, None, None, None, "P", 2001, None, None, None, None, None, None, "hu", None, None, None, 2, 10, 0.456, True, None, None, None),
+    ]
+    books = spark.createDataFrame(rows, schema).coalesce(1)
+    read = lambda d: next((tmp_path / d).glob("part-*")).read_text(encoding="utf-8", newline="")
+
+    def lines(d):
+        with next((tmp_path / d).glob("part-*")).open(encoding="utf-8", newline="") as f:
+            return list(csv.reader(f))
+
+    export.exported(books, "tracker", f"file://{tmp_path}/t", True, F.col("family_first"))
+    assert lines("t") == [export.TRACKER, ["'=SUM(A1): a \"b\", c", "Magda Szabó", "963070000X", "5", "", "", "", "", "1987", "", "", "to-read, favorites, did-not-finish", "to-read, favorites, did-not-finish", "line\r\ntwo"], ["Plain", "", "", "0", "", "P", "", "2001", "", "", "", "to-read", "to-read", ""]]
+    export.exported(books, "csv", f"file://{tmp_path}/c", True, labels=F.create_map(F.lit("hu"), F.lit("magyar")), delimiter=";")
+    head, one, two = next((tmp_path / "c").glob("part-*")).read_text(encoding="utf-8").split("author;")[0], *[r for r in csv.reader(read("c").splitlines(keepends=True), delimiter=";")][1:]
+    assert head == "﻿" and one[1] == "'=SUM(A1)" and one[8:11] == ["fiction", "poems", "x, y"] and "Kata" in one and two[7] == "magyar" and two[-4] == "46"
+    export.exported(books, "csv", f"file://{tmp_path}/v")
+    assert "Kata" not in read("v") and "line" not in read("v")
+    export.exported(books, "json", f"file://{tmp_path}/j")
+    assert [json.loads(x)["title"] for x in read("j").splitlines()] == ["=SUM(A1)", "Plain"]
+    with pytest.raises(ValueError, match="pdf"):
+        export.exported(books, "pdf", f"file://{tmp_path}/p")

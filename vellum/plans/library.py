@@ -319,3 +319,40 @@ def code_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = books(spark, sf_dir)
     left = numbers.split_days(F.coalesce("pages", F.lit(0)) / 3)
     return rows.select("id", numbers.language(F.col("language")).alias("lang"), numbers.country(F.col("country")).alias("land"), numbers.stars(F.col("rating")).alias("stars"), *left, numbers.iso_valid(F.col("lent_at")).alias("dated"))
+
+
+_EXPORT = """, x AS (SELECT b.*, CASE WHEN b.id % 4 = 0 THEN 'Part ' || b.id % 10 WHEN b.id % 4 = 1 THEN '' END AS subtitle, CASE b.id % 3 WHEN 0 THEN '978-0-306-40615-7' WHEN 1 THEN '0-306-40615-2' ELSE '12' END AS isbn, CASE WHEN b.id % 5 = 0 THEN NULL ELSE 'House ' || b.id % 3 END AS publisher, CASE WHEN b.id % 6 = 0 THEN NULL ELSE 1990 + b.id % 30 END AS edition_year,
+DATE '2024-01-01' + CAST(b.id % 300 AS INT) AS day, 'note ' || b.id AS notes, b.id % 7 = 0 AS family_first FROM b)
+"""
+_SHELF = "CASE status WHEN 'read' THEN 'read' WHEN 'reading' THEN 'currently-reading' ELSE 'to-read' END"
+_SHELVES = f"concat_ws(', ', {_SHELF}, CASE WHEN favourite THEN 'favorites' END, CASE WHEN status = 'abandoned' THEN 'did-not-finish' END)"
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    more = {
+        "subtitle": F.when(k % 4 == 0, F.concat(F.lit("Part "), k % 10)).when(k % 4 == 1, ""), "isbn": F.when(k % 3 == 0, "978-0-306-40615-7").when(k % 3 == 1, "0-306-40615-2").otherwise("12"), "publisher": F.when(k % 5 != 0, F.concat(F.lit("House "), k % 3)),
+        "edition_year": F.when(k % 6 != 0, 1990 + k % 30), "created": F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")), "notes": F.concat(F.lit("note "), k), "family_first": k % 7 == 0, "copies": F.when(k % 9 == 0, 2), "original_title": F.lit(None).cast("string"),
+    }
+    return books(spark, sf_dir).withColumns(more)
+
+
+@query(_EXPORT + f"""SELECT CASE WHEN coalesce(subtitle, '') <> '' THEN title || ': ' || subtitle ELSE title END AS "Title", CASE WHEN family_first AND contains(coalesce(authors[1], ''), ' ') THEN regexp_replace(authors[1], '^(.*) ([^ ]+)$', '\\2 \\1') ELSE coalesce(authors[1], '') END AS "Author",
+CASE id % 3 WHEN 0 THEN '9780306406157' WHEN 1 THEN '0306406152' ELSE '' END AS "ISBN", CAST(CASE WHEN rating > 0 THEN least(5, rating) ELSE 0 END AS VARCHAR) AS "My Rating", '' AS "Average Rating", coalesce(publisher, '') AS "Publisher", '' AS "Binding", coalesce(CAST(edition_year AS VARCHAR), '') AS "Year Published",
+coalesce(CAST(year AS VARCHAR), '') AS "Original Publication Year", '' AS "Date Read", strftime(day, '%Y/%m/%d') AS "Date Added", {_SHELVES} AS "Shelves", {_SHELVES} AS "Bookshelves", notes AS "My Review" FROM x""")
+def tracker_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reading tracker's import file as its owner gets it."""
+    from vellum.sources import export
+
+    return _exported(spark, sf_dir).select(*export.tracker_columns(True, F.col("family_first")))
+
+
+@query(_EXPORT + """SELECT author, title, subtitle, CAST(NULL AS VARCHAR) AS original_title, publisher, year, edition_year, CASE language WHEN 'hu' THEN 'Hungarian' ELSE language END AS language, prime AS topic, array_to_string(list_filter(keys, lambda k: k <> prime), ', ') AS other_topics, array_to_string(tags, ', ') AS tags,
+CASE status WHEN 'unknown' THEN NULL WHEN 'to_read' THEN 'To read' ELSE status END AS status, CASE WHEN rating > 0 THEN rating END AS rating, CASE WHEN favourite THEN 'yes' END AS favourite, CASE WHEN id % 9 = 0 THEN 2 ELSE 1 END AS copies, isbn, pages, CAST(round(confidence * 100) AS INT) AS confidence, CASE WHEN needs_review THEN 'yes' ELSE 'no' END AS needs_review,
+source, strftime(day, '%Y-%m-%d') AS added FROM x""")
+def catalogue_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue's table for spreadsheets as a visitor gets it."""
+    from vellum.sources import export
+
+    labels = F.create_map(F.lit("hu"), F.lit("Hungarian"), F.lit("to_read"), F.lit("To read"))
+    return _exported(spark, sf_dir).select(*export.catalogue_columns(False, labels))
