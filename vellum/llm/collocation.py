@@ -38,9 +38,9 @@ LONGEST = 4  #: words of the longest candidate
 SWALLOWED = 80  #: per cent of a phrase's occurrences that lie in a longer one
 SCALE = 2_000_000
 FIRST = 2000  #: phrases told for each language
-BLOCK = 16 << 20  #: characters of text worked on at once
+BLOCK = 8 << 20  #: characters of text worked on at once
 SALT = 32  #: parts in which a language's best are sought
-CODES = 26  #: bits of a code within its block (a block of 16 MB has some 3 million words)
+CODES = 26  #: bits of a code within its block (a block of 8 MB has some 1.5 million words)
 BLOCKS = 12  #: bits of a block's number within its task
 BUCKET = 1 << 20  #: words of the corpus for each bucket of pairs; a bucket's pairs are counted at once
 BITS = 40  #: bits of a pair's number within its bucket
@@ -142,6 +142,7 @@ def _blocks(limit: int):
                     yield from told(held, number)
                     number += len(held)
                     held, size = {}, 0
+                    pa.default_memory_pool().release_unused()  # a worker lives on; what it does not need goes back
                 held.setdefault(lang, []).append(text)
                 size += len(text)
         if number + len(held) - first > 1 << BLOCKS:
@@ -202,6 +203,7 @@ def _pairing(buckets: int, level: int):
         starts = np.concatenate(([0], ends))[:-1]
         told = [_packed(left[i], right[i], counts[i].astype(np.int32), i.astype(np.int32)) for a, b in zip(starts, ends, strict=True) for i in (order[a:b],)]
         block = key[0].as_py()
+        pa.default_memory_pool().release_unused()
         pairs = _rows(_PAIRS, len(told), kind=1, block=block, bucket=bucket[order[starts]], pairs=told)
         return pa.concat_tables([_rows(_PAIRS, 1, kind=0, block=block, places=_packed(places.astype(np.int32))), pairs])
 
@@ -220,6 +222,7 @@ def _counting(least: int):
         parts = [_unpacked_pairs(p) for p in rows.column("pairs").to_pylist()]
         left, right, counts, codes = (np.concatenate(c) for c in zip(*parts, strict=True))
         blocks = np.repeat(rows.column("block").to_numpy(), [len(p[0]) for p in parts])
+        pa.default_memory_pool().release_unused()
         order = np.lexsort((right, left))
         left, right = left[order], right[order]
         new = np.flatnonzero((np.diff(left, prepend=left[0] - 1) != 0) | (np.diff(right, prepend=right[0] - 1) != 0))
