@@ -26,6 +26,8 @@ _JOB = {
 _JOBS = "WITH jobs AS (SELECT " + ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {c}" for c, e in _JOB.items()) + """ FROM events WHERE event_id % 3 <> 2),
 asked AS (SELECT event_type AS type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'u' || CAST(user_id % 60 AS VARCHAR) END AS key, CAST(event_id % 611 AS DOUBLE) AS "at", event_id AS id FROM events WHERE event_id % 3 = 2)
 """
+#: All events as jobs, where nothing is asked for.
+_ALL_JOBS = _JOBS.replace(" WHERE event_id % 3 <> 2),", "),").replace("asked AS", "unused AS")
 
 
 def query(sql: str | None = None):
@@ -38,8 +40,10 @@ def query(sql: str | None = None):
     return add
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 3 <> 2").select(*[F.expr(e).alias(c) for c, e in _JOB.items()])
+def _jobs(spark: SparkSession, sf_dir: str, every: bool = True) -> DataFrame:
+    """Events as jobs: all of them, or those that are not requests."""
+    events = table(spark, sf_dir, "events")
+    return (events if every else events.where("event_id % 3 <> 2")).select(*[F.expr(e).alias(c) for c, e in _JOB.items()])
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,16 +55,16 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_JOBS + """SELECT type, key, min("at") AS "at", arg_min(id, ("at", id)) AS id FROM asked WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.type = asked.type AND j.key = asked.key AND status IN ('queued', 'running')) GROUP BY 1, 2
 UNION ALL SELECT type, key, "at", id FROM asked WHERE key IS NULL""")
 def queue_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.accepted(_jobs(spark, sf_dir), _asked(spark, sf_dir))
+    return queue.accepted(_jobs(spark, sf_dir, False), _asked(spark, sf_dir))
 
 
 @query(_JOBS + """, a AS (SELECT type, key, min("at") AS "at", min(id) AS new FROM asked WHERE key IS NOT NULL GROUP BY 1, 2), q AS (SELECT type, key, arg_min(id, (run_at, id)) AS id, min(run_at) AS run_at FROM jobs WHERE status = 'queued' AND key IS NOT NULL GROUP BY 1, 2)
 SELECT coalesce(q.id, new) AS id, a.type, a.key, least(coalesce(run_at, "at"), "at") AS run_at, q.id IS NULL AS created FROM a LEFT JOIN q ON a.type = q.type AND a.key = q.key""")
 def queue_ensured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.ensured(_jobs(spark, sf_dir), _asked(spark, sf_dir).where("key is not null"))
+    return queue.ensured(_jobs(spark, sf_dir, False), _asked(spark, sf_dir).where("key is not null"))
 
 
-@query(_JOBS + """, n AS (SELECT id, row_number() OVER (ORDER BY run_at, id) AS r FROM jobs WHERE status = 'queued' AND run_at <= 500 ORDER BY r LIMIT 40)
+@query(_ALL_JOBS + """, n AS (SELECT id, row_number() OVER (ORDER BY run_at, id) AS r FROM jobs WHERE status = 'queued' AND run_at <= 500 ORDER BY r LIMIT 40)
 SELECT id, CASE WHEN r IS NULL THEN status ELSE 'running' END AS status, CASE WHEN r IS NULL THEN attempts ELSE attempts + 1 END AS attempts, CASE WHEN r IS NULL THEN locked_at ELSE 500.0 END AS locked_at,
 CASE WHEN r IS NULL THEN locked_by ELSE 'worker' || CAST(r - 1 AS VARCHAR) END AS locked_by FROM jobs LEFT JOIN n USING (id)""")
 def queue_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,7 @@ def queue_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.claimed(_jobs(spark, sf_dir), 500.0, [f"worker{i}" for i in range(40)]).select("id", "status", "attempts", "locked_at", "locked_by")
 
 
-@query(_JOBS + """SELECT id, CASE WHEN status <> 'running' OR id % 2 = 0 THEN status WHEN id % 5 = 0 OR attempts >= most THEN 'failed' ELSE 'queued' END AS status,
+@query(_ALL_JOBS + """SELECT id, CASE WHEN status <> 'running' OR id % 2 = 0 THEN status WHEN id % 5 = 0 OR attempts >= most THEN 'failed' ELSE 'queued' END AS status,
 CASE WHEN status <> 'running' OR id % 2 = 0 OR id % 5 = 0 OR attempts >= most THEN run_at ELSE 500 + least(30 * pow(4, greatest(attempts, 1) - 1), 21600) END AS run_at,
 CASE WHEN status <> 'running' OR id % 2 = 0 THEN locked_by END AS locked_by, CASE WHEN status = 'running' AND id % 2 = 1 THEN 'no answer' END AS error FROM jobs""")
 def queue_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +82,14 @@ def queue_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.failed(jobs, lost, 500.0).select("id", "status", "run_at", "locked_by", "error")
 
 
-@query(_JOBS + """, s AS (SELECT *, status = 'running' AND (locked_at IS NULL OR locked_at < 4000 - 1800) AS stale FROM jobs)
+@query(_ALL_JOBS + """, s AS (SELECT *, status = 'running' AND (locked_at IS NULL OR locked_at < 4000 - 1800) AS stale FROM jobs)
 SELECT id, CASE WHEN NOT stale THEN status WHEN attempts >= most THEN 'failed' ELSE 'queued' END AS status, CASE WHEN stale THEN 4000.0 ELSE run_at END AS run_at, CASE WHEN NOT stale THEN locked_at END AS locked_at,
 CASE WHEN stale AND attempts >= most THEN 'worker lost while running' END AS error FROM s""")
 def queue_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.reset_stale(_jobs(spark, sf_dir), 4000.0).select("id", "status", "run_at", "locked_at", "error")
 
 
-@query(_JOBS + """SELECT id, CASE WHEN locked_by = 'w1' THEN 'queued' ELSE status END AS status, CASE WHEN locked_by = 'w1' THEN greatest(attempts - 1, 0) ELSE attempts END AS attempts,
+@query(_ALL_JOBS + """SELECT id, CASE WHEN locked_by = 'w1' THEN 'queued' ELSE status END AS status, CASE WHEN locked_by = 'w1' THEN greatest(attempts - 1, 0) ELSE attempts END AS attempts,
 CASE WHEN locked_by = 'w1' THEN 900.0 ELSE run_at END AS run_at, CASE WHEN locked_by = 'w2' THEN 900.0 WHEN locked_by = 'w1' THEN NULL ELSE locked_at END AS locked_at FROM jobs WHERE NOT (status IN ('done', 'failed') AND run_at < 900 - 86400 * 0.001)""".replace("86400 * 0.001", "500"))
 def queue_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One worker beats, one shuts down, and what ended long ago goes."""
@@ -205,11 +209,11 @@ def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.packed_rows(rows, "o_custkey", ["o_orderkey"], "w", 60.0, 2.0).select("o_orderkey", "row", "at")
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey AS g, l_partkey AS "at" FROM lineitem WHERE l_linenumber = 1), r AS (SELECT l_suppkey AS g, l_partkey AS "at" FROM lineitem WHERE l_linenumber = 2)
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey AS g, l_partkey AS "at" FROM lineitem WHERE l_linenumber % 2 = 1), r AS (SELECT l_suppkey AS g, l_partkey AS "at" FROM lineitem WHERE l_linenumber % 2 = 0)
 SELECT l_orderkey, "at", (SELECT arg_min(r."at", (abs(r."at" - l."at"), r."at")) FROM r WHERE r.g = l.g AND abs(r."at" - l."at") <= 5) AS nearest FROM l""")
 def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("at"))
-    left, right = rows.where("l_linenumber = 1").select("l_orderkey", "g", "at"), rows.where("l_linenumber = 2").select("g", "at")
+    left, right = rows.where("l_linenumber % 2 = 1").select("l_orderkey", "g", "at"), rows.where("l_linenumber % 2 = 0").select("g", "at")
     return runs.nearest_within(left, right, "g", "at", 5.0).select("l_orderkey", "at", F.col("nearest").cast("long").alias("nearest"))
 
 
