@@ -54,19 +54,36 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones, and so on: high bytes are nearly all alike and take no room."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _numbers(raw: memoryview, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+    return zstandard.compress(b"".join(_planes(np.ascontiguousarray(a)) for a in arrays), 1)
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+    return _numbers(memoryview(zstandard.decompress(data)), kind)
+
+
+def _packed_pairs(left: np.ndarray, right: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> bytes:
+    """Rising codes are told by their gaps."""
+    return _packed(left, right, counts.astype(np.int32), np.diff(codes, prepend=0).astype(np.int32))
 
 
 def _unpacked_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lefts, rights, counts and codes."""
-    raw = zstandard.decompress(data)
+    raw = memoryview(zstandard.decompress(data))
     n = len(raw) // 24
-    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n), np.frombuffer(raw, np.int32, n, 20 * n)
+    ends = [0, 8 * n, 16 * n, 20 * n, 24 * n]
+    left, right, counts, gaps = (_numbers(raw[a:b], kind) for a, b, kind in zip(ends[:-1], ends[1:], (np.int64, np.int64, np.int32, np.int32), strict=True))
+    return left, right, counts, np.cumsum(gaps, dtype=np.int64).astype(np.int32)
 
 
 def words(data: bytes) -> tuple[pa.StringArray, np.ndarray]:
@@ -201,7 +218,7 @@ def _pairing(buckets: int, level: int):
         order = np.argsort(bucket, kind="stable")
         ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
         starts = np.concatenate(([0], ends))[:-1]
-        told = [_packed(left[i], right[i], counts[i].astype(np.int32), i.astype(np.int32)) for a, b in zip(starts, ends, strict=True) for i in (order[a:b],)]
+        told = [_packed_pairs(left[i], right[i], counts[i], i) for a, b in zip(starts, ends, strict=True) for i in (order[a:b],)]
         block = key[0].as_py()
         pa.default_memory_pool().release_unused()
         pairs = _rows(_PAIRS, len(told), kind=1, block=block, bucket=bucket[order[starts]], pairs=told)
