@@ -134,3 +134,16 @@ def test_answers(spark):
     assert any(w[2] for w in want.values()) and any(w[1] > 2 for w in want.values())
     yes = asking.same_or_not(df, spark.createDataFrame([("1", " Igen"), ("2", "no"), ("999", "yes")], "id string, answer string"))
     assert [r.id for r in yes.where("same").collect()] == ["1"]
+
+
+def test_cuts_of_one_profile(spark):
+    """Cuts whose steepest slope lies at an end: they agree wholly once slopes that only one side has are left out."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(60):
+        v = rng.normal(0, 0.1, 64)
+        v[8:11] = (-3.0, 0.0, 3.0)
+        rows.append((i, i % 13 - 6, v[8:58].tolist(), v[8 - (i % 13 - 6) : 58 - (i % 13 - 6)].tolist()))
+    got = spark.createDataFrame(rows, "i int, d int, a array<double>, b array<double>").select("d", motion.shift_of_cuts("a", "b").alias("m")).collect()
+    assert all(r.m.shift == r.d and r.m.score > 1 - 1e-6 for r in got)
+    assert any(motion.estimate(np.array(a), np.array(b))[1] < 0.9 for _, d, a, b in rows)

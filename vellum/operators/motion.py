@@ -21,8 +21,12 @@ def features(level: np.ndarray) -> np.ndarray:
     return np.stack([level, slope])
 
 
-def estimate(a: np.ndarray, b: np.ndarray, overlap: float = OVERLAP) -> tuple[int, float, float] | None:
-    """(shift, score, margin): what lies at p in ``a`` lies at p + shift in ``b``, by normalised correlation; None for profiles too short."""
+def estimate(a: np.ndarray, b: np.ndarray, overlap: float = OVERLAP, ends: bool = True) -> tuple[int, float, float] | None:
+    """(shift, score, margin): what lies at p in ``a`` lies at p + shift in ``b``, by normalised correlation; None for profiles too short.
+
+    The slope at an end of a profile is none; without ``ends`` slopes are compared only where both sides have one, so that a profile
+    that is cut out of a longer one agrees with it wholly.
+    """
     n = min(len(a), len(b))
     least = max(4, int(np.floor(n * overlap + 0.5)))
     if n < least:
@@ -31,8 +35,12 @@ def estimate(a: np.ndarray, b: np.ndarray, overlap: float = OVERLAP) -> tuple[in
     shifts, scores = np.arange(-(n - least), n - least + 1), []
     for d in shifts:
         x, y = fa[:, max(0, -d) : n - max(0, d)], fb[:, max(0, d) : n + min(0, d)]
-        x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-        parts = [float((weight * (p * q).sum(axis=1)).sum()) for p, q in ((x, y), (x, x), (y, y))]
+        if ends:
+            x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+            parts = [float((weight * (p * q).sum(axis=1)).sum()) for p, q in ((x, y), (x, x), (y, y))]
+        else:
+            x, y = ([v[0] - v[0].mean(), v[1, 1:-1] - v[1, 1:-1].mean()] for v in (x, y))
+            parts = [float(sum(w * (p @ q) for w, p, q in zip(weight, s, t, strict=True))) for s, t in ((x, y), (x, x), (y, y))]
         scores.append(parts[0] / np.sqrt(parts[1] * parts[2] + 1e-9))
     s = np.array(scores)
     peak = np.flatnonzero(np.append(True, s[1:] >= s[:-1]) & np.append(s[:-1] >= s[1:], True))
@@ -41,11 +49,24 @@ def estimate(a: np.ndarray, b: np.ndarray, overlap: float = OVERLAP) -> tuple[in
     return int(shifts[order[0]]), float(s[order[0]]), float(s[order[0]] - (s[others[0]] if others else -1.0))
 
 
-@F.pandas_udf(StructType([StructField("shift", IntegerType()), StructField("score", DoubleType()), StructField("margin", DoubleType())]))
+_ESTIMATE = StructType([StructField("shift", IntegerType()), StructField("score", DoubleType()), StructField("margin", DoubleType())])
+
+
+def _estimates(a: pd.Series, b: pd.Series, ends: bool) -> pd.DataFrame:
+    found = [None if x is None or y is None else estimate(np.asarray(x), np.asarray(y), ends=ends) for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame([f or (None, None, None) for f in found], columns=["shift", "score", "margin"])
+
+
+@F.pandas_udf(_ESTIMATE)
 def shift(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """``estimate`` of two columns of profiles; nulls where there is none."""
-    found = [None if x is None or y is None else estimate(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame([f or (None, None, None) for f in found], columns=["shift", "score", "margin"])
+    return _estimates(a, b, True)
+
+
+@F.pandas_udf(_ESTIMATE)
+def shift_of_cuts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """``estimate`` of two columns of cuts from longer profiles, without the slopes at their ends; nulls where there is none."""
+    return _estimates(a, b, False)
 
 
 def _fitted(pairs: DataFrame, group: str) -> DataFrame:

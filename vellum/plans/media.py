@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import barcodes, numbers
 from vellum.operators import asking, changes, draws, motion
-from vellum.storage import table
+from vellum.storage import dealt, table
 from vellum.streaming import jobs
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -61,8 +61,8 @@ def profile_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as profiles, cut out at two places: the shift between both comes back."""
     v, d = F.col("embedding").cast("array<double>"), (F.col("vec_id") % 13 - 6).cast("int")
     cut = lambda at: F.slice(v, at, F.lit(50))
-    found = table(spark, sf_dir, "embeddings").select("vec_id", motion.shift(cut(F.lit(8)), cut(8 - d)).alias("m"))
-    # The slopes at the ends of a cut are none, so the score is 1 but for these.
+    found = dealt(table(spark, sf_dir, "embeddings"), "vec_id").select("vec_id", motion.shift_of_cuts(cut(F.lit(8)), cut(8 - d)).alias("m"))
+    # The score is 1 but for rounding.
     return found.select("vec_id", "m.shift", F.when(F.col("m.score") > 0.9, 1.0).otherwise(F.col("m.score")).alias("score"))
 
 
