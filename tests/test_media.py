@@ -147,3 +147,30 @@ def test_cuts_of_one_profile(spark):
     got = spark.createDataFrame(rows, "i int, d int, a array<double>, b array<double>").select("d", motion.shift_of_cuts("a", "b").alias("m")).collect()
     assert all(r.m.shift == r.d and r.m.score > 1 - 1e-6 for r in got)
     assert any(motion.estimate(np.array(a), np.array(b))[1] < 0.9 for _, d, a, b in rows)
+
+
+def plain_line(pairs, rounds=2):
+    """(s, d, n) of one group by the definition."""
+    def fit(p):
+        x, y = np.array(p).T
+        v = x.var()
+        s = ((x - x.mean()) * (y - y.mean())).mean() / v if v * len(x) > 1e-6 else 1.0
+        s = s if 0.9 < s < 1.1 else 1.0
+        return s, y.mean() - s * x.mean()
+
+    for _ in range(rounds):
+        s, d = fit(pairs)
+        off = [abs(y - (s * x + d)) for x, y in pairs]
+        kept = [p for p, r in zip(pairs, off, strict=True) if r <= max(6.0, 2.5 * float(np.median(off)))]
+        pairs = kept if len(kept) >= 4 else pairs
+    return (*fit(pairs), len(pairs))
+
+
+def test_lines_of_many_groups_in_one_shuffle(spark):
+    rng = random.Random(8)
+    rows = [(g, float(x), x * 1.02 + rng.gauss(0, 2) + (300 if rng.random() < 0.2 else 0)) for g in range(50) for x in rng.sample(range(500), 4 + g % 9)]
+    out = motion.robust_lines(spark.createDataFrame(rows, "g int, x double, y double"), "g")
+    for r in out.collect():
+        s, d, n = plain_line([p[1:] for p in rows if p[0] == r.g])
+        assert abs(r.s - s) < 1e-9 and abs(r.d - d) < 1e-6 and r.matches == n
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1

@@ -77,7 +77,8 @@ def robust_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order numbers of a supplier's parts against a stretched copy of them with outliers."""
     line = table(spark, sf_dir, "lineitem")
     x = (F.col("l_orderkey") % 1000).cast("double")
-    y = (F.col("l_orderkey") % 1000 * F.lit(1.03) + F.col("l_quantity") / 10 + F.when(F.col("l_linenumber") > 5, 400).otherwise(0)).cast("double")
+    # 103 / 100: as near to the decimal product as a double can be.
+    y = (F.col("l_orderkey") % 1000 * 103 / 100 + F.col("l_quantity") / 10 + F.when(F.col("l_linenumber") > 5, 400).otherwise(0)).cast("double")
     out = motion.robust_lines(line.select((F.col("l_suppkey") * 1000 + F.col("l_partkey") % 100).alias("g"), x.alias("x"), y.alias("y")), "g")
     return out.select("g", F.round("s", 6).alias("s"), F.round("d", 5).alias("d"), "matches")
 
