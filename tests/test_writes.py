@@ -74,3 +74,13 @@ def test_settled_and_empty(spark):
     assert writes.duplicates_settled(none, detections, answers)["books"].count() == 0
     assert writes.reset(none, detections.where("false"), spark.createDataFrame([(1,)], "source long"))["books"].count() == 0
     assert writes.appended(none, none.select("id", "collection", "title", "author", "publisher"), 3).count() == 0
+
+
+def test_records_of_two_recordings_with_one_number(spark):
+    """Readings that name their recording count for it alone."""
+    found = [(100, 1, 8, 0, "N", None, None, 0.9, False, 10, None), (100, 1, 9, 0, "M", None, None, 0.8, False, 12, 1)]
+    readings = spark.createDataFrame([(8, 100, 10), (8, 100, 11), (9, 100, 12)], "source long, record long, detection long")
+    detections = spark.createDataFrame([(i, 8 + (i > 11), None) for i in (10, 11, 12)], "id long, source long, book_id long")
+    out = writes.merged(spark.createDataFrame([book(1)], writes.BOOK), detections, spark.createDataFrame(found, FOUND), readings, spark.createDataFrame([], "source long, tags array<string>"), 9)
+    assert {r.id: r.detections for r in out["books"].collect()} == {1: 2, 100: 2}
+    assert {r.id: r.book_id for r in out["detections"].collect()} == {10: 100, 11: 100, 12: 1}

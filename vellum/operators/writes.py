@@ -60,14 +60,16 @@ def merged(books: DataFrame, detections: DataFrame, found: DataFrame, readings:
     """Books and detections after recordings were resolved.
 
     ``found``: (record, collection, source, place, title, author, publisher, confidence, needs_review, best, matched), the records
-    of the recordings, ``matched`` the known book or null; ``readings``: (record, detection); ``tags``: (source, tags) of the recordings.
+    of the recordings, ``matched`` the known book or null; ``readings``: (record, detection), with ``source`` where records of different
+    recordings may have the same number; ``tags``: (source, tags) of the recordings.
     New books get the ids of their records while the collection has room, in shelf order; the others stay unassigned.  A matched
     book counts the new readings, keeps the greater confidence with its evidence, takes what it lacks and the owner has not
     edited, loses an open review that the new reading settles, and gets the recording's tags.  Detections that belong to a
     book already keep it.
     """
-    counts = readings.groupBy("record").agg(F.count("*").alias("_n"))
-    found = found.join(counts, "record").join(tags.select("source", F.col("tags").alias("_tags")), "source", "left")
+    key = [c for c in ("source", "record") if c in readings.columns]
+    counts = readings.groupBy(*key).agg(F.count("*").alias("_n"))
+    found = found.join(counts, key).join(tags.select("source", F.col("tags").alias("_tags")), "source", "left")
     sizes = books.groupBy("collection").agg(F.count("*").alias("_size"))
     order = Window.partitionBy("collection").orderBy("source", "place", "record")
     fresh = found.where("matched is null").withColumn("_i", F.row_number().over(order)).join(sizes, "collection", "left").where(F.coalesce("_size", F.lit(0)) + F.col("_i") <= most)
@@ -92,8 +94,8 @@ def merged(books: DataFrame, detections: DataFrame, found: DataFrame, readings:
         "needs_review": F.when(hit & ~F.col("reviewed") & ~F.col("_k._open"), False).otherwise(F.col("needs_review")), "tags": F.when(hit, F.array_union(_tags("tags"), _tags("_k._tags"))).otherwise(F.col("tags")),
     }
     after = rows.select(*[values.get(c, F.col(c)).alias(c) for c in books.columns]).unionByName(added.select(*books.columns))
-    of = added.select(F.col("id").alias("record"), F.col("id").alias("_book")).unionByName(found.where("matched is not null").select("record", F.col("matched").alias("_book")))
-    to = readings.join(of, "record").select(F.col("detection").alias("id"), "_book")
+    of = fresh.select(*key, F.col("record").alias("_book")).unionByName(found.where("matched is not null").select(*key, F.col("matched").alias("_book")))
+    to = readings.join(of, key).select(F.col("detection").alias("id"), "_book")
     pointed = detections.join(to, "id", "left").withColumn("book_id", F.coalesce("book_id", "_book")).select(*detections.columns)
     return {"books": after, "detections": pointed}
 

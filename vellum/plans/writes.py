@@ -41,7 +41,9 @@ _COLUMNS = ", ".join(_SHOWN)
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda c, e: F.filter(F.array(F.expr(e)), lambda x: x != "").alias(c)
-    return table(spark, sf_dir, "part").select(*[one(c, e) if c in _LISTS else F.expr(e).alias(c) for c, e in _BOOK.items()])
+    books = table(spark, sf_dir, "part").select(*[one(c, e) if c in _LISTS else F.expr(e).alias(c) for c, e in _BOOK.items()], "p_size")
+    # Spark divides by 60.0 in decimals of six places, DuckDB in doubles.
+    return books.withColumn("confidence", F.col("p_size") / F.lit(60.0)).drop("p_size")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ def recordings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
         record.alias("record"), (F.col("source") % 9).alias("collection"), "source", F.col("part").alias("place"), F.concat(F.lit("Part "), "part").alias("title"), F.when(F.col("part") % 5 != 0, F.concat(F.lit("Writer "), F.col("source") % 4)).alias("author"),
         F.when(F.col("part") % 2 == 0, "House").alias("publisher"), "confidence", (F.col("part") % 4 == 0).alias("needs_review"), "best", F.when(F.col("part") % 2 == 1, F.col("part")).alias("matched"),
     )
-    readings = lines.select(record.alias("record"), F.col("id").alias("detection"))
+    readings = lines.select("source", record.alias("record"), F.col("id").alias("detection"))
     tags = lines.select("source").distinct().select("source", F.when(F.col("source") % 3 == 0, F.array(F.concat(F.lit("room "), F.col("source") % 2))).otherwise(F.array().cast("array<string>")).alias("tags"))
     tables = TableSet(spark, f"{shared_dir(spark)}/books-{uuid.uuid4().hex}")
     tables.commit({"books": _books(spark, sf_dir), "detections": _detections(spark, sf_dir)})
