@@ -60,3 +60,14 @@ def test_stream(spark, points, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {(r.chain, r.frame, r.id): r.track for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {k: n for k, (n, _) in walk(points).items()}
+
+
+def test_places_on_the_margin(spark):
+    """28.8 is three hundredths of 960, though 0.03 * 960 falls short of it: not in sight."""
+    from pyspark.sql import functions as F
+
+    found = spark.createDataFrame([(1, 0, 10, 0, 28.8), (1, 1, 11, 0, 28.8), (1, 0, 12, 1, 28.9), (1, 1, 13, 1, 28.9)], "chain long, frame int, id long, track int, place double")
+    points = found.select("id", F.lit(2.0).alias("score"))
+    frames = found.select("chain", "frame").distinct()
+    got = {r.track: r.visible for r in tracks.supported(found, points, frames, F.lit(960)).collect()}
+    assert got == {0: 0, 1: 2}

@@ -130,9 +130,10 @@ def supported(found: DataFrame, points: DataFrame, frames: DataFrame, width: Col
     one = found.join(points.select("id", "score"), "id").groupBy("chain", "track").agg(last.alias("place"), F.count("*").alias("seen"), F.median("score").alias("_score"))
     sizes = frames.select("chain", "frame", width.alias("_w"))
     many = sizes.groupBy("chain").agg(F.count("*").alias("_frames"))
-    # Widths of a chain are few; tracks meet widths, not frames.
+    # Widths of a chain are few; tracks meet widths, not frames.  A place on the margin itself (28.8 of 960) is out of sight, whatever
+    # the last bit of the product.
     widths = sizes.groupBy("chain", "_w").agg(F.count("*").alias("_n"))
-    sight = one.join(widths, "chain").where((F.col("place") > MARGIN * F.col("_w")) & (F.col("place") < (1 - MARGIN) * F.col("_w"))).groupBy("chain", "track").agg(F.sum("_n").alias("visible"))
+    sight = one.join(widths, "chain").where((F.col("place") > F.round(MARGIN * F.col("_w"), 9)) & (F.col("place") < F.round((1 - MARGIN) * F.col("_w"), 9))).groupBy("chain", "track").agg(F.sum("_n").alias("visible"))
     out = one.join(sight, ["chain", "track"], "left").join(many, "chain").withColumn("visible", F.coalesce("visible", F.lit(0)))
     out = out.withColumn("support", F.col("seen") / F.greatest(F.lit(1), F.col("visible")))
     kept = out.where((F.col("support") >= SUPPORT) & ((F.col("seen") >= 2) | (F.col("_score") >= SINGLE) | (F.col("_frames") == 1)))
