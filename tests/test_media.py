@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,26 @@ def test_lines_of_many_groups_in_one_shuffle(spark):
         s, d, n = plain_line([p[1:] for p in rows if p[0] == r.g])
         assert abs(r.s - s) < 1e-9 and abs(r.d - d) < 1e-6 and r.matches == n
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_many_lines_at_once():
+    """Lines of all kinds read together give what each gives alone; a code between others, lines of one grey, empty ones."""
+    rng = random.Random(4)
+    widths = [[int(c) for c in w] for w in barcodes.WIDTHS]
+
+    def line(d):
+        runs = [9, 1, 1, 1, *[w for s, x in zip(barcodes.SETS[d[0]], d[1:7], strict=True) for w in (widths[x] if s == "L" else widths[x][::-1])], 1, 1, 1, 1, 1, *[w for x in d[7:] for w in widths[x]], 1, 1, 1, 9]
+        return np.concatenate([np.full(w * 2, 230 if i % 2 == 0 else 20) for i, w in enumerate(runs)])
+
+    lines, want = [np.empty(0, int), np.full(99, 7)], [[], []]
+    for n in (1, 2, 1, 3):
+        codes = []
+        for _ in range(n):
+            d = [rng.randrange(10) for _ in range(12)]
+            codes.append([*d, -sum(x * (3 if i % 2 else 1) for i, x in enumerate(d)) % 10])
+        whole = np.concatenate([line(d) for d in codes])
+        text = ["".join(map(str, d)) for d in codes]
+        lines += [whole, np.full(40, 128), whole[::-1]]
+        want += [text, [], text]
+    assert barcodes.lines_codes(lines) == want == [barcodes.line_codes(x) for x in lines]
+    assert barcodes.lines_codes([]) == [] and barcodes.lines_codes([np.arange(5)]) == [[]]

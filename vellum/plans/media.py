@@ -39,7 +39,7 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def barcode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's code drawn as a line of pixels, of even ones twice and from the right, comes back from the line."""
     line = barcodes.drawn(F.col("code"))
-    lines = _codes(spark, sf_dir).select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.reverse(F.concat(line, line))).otherwise(line).alias("line"))
+    lines = dealt(_codes(spark, sf_dir), "p_partkey").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.reverse(F.concat(line, line))).otherwise(line).alias("line"))
     return lines.select("p_partkey", F.explode(barcodes.codes(F.col("line"))).alias("found"))
 
 
