@@ -51,7 +51,7 @@ def barcode_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = own.join(other, "p_partkey", "left").withColumn("other", F.coalesce("other", "code"))
     k = F.col("p_partkey")
     which = F.when(k % 4 == 0, F.array("code", "other", "other")).when(k % 3 == 0, F.array("code", F.lit("9780000000002"), F.lit(None).cast("string"))).otherwise(F.array("code", F.lit(None).cast("string"), "code"))
-    lines = both.select("p_partkey", F.posexplode(which).alias("y", "c"))
+    lines = dealt(both, "p_partkey").select("p_partkey", F.posexplode(which).alias("y", "c"))
     grey = F.when(F.col("c").isNull(), F.array_repeat(F.lit(128), 100)).otherwise(barcodes.drawn(F.coalesce("c", F.lit("9780000000002")), 3))
     return barcodes.voted(lines.withColumn("line", grey), "p_partkey", "line")
 
