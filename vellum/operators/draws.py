@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import numbers
+from vellum.storage import dealt
 
 
 def exchanged(draws: list[int]) -> list[int]:
@@ -20,6 +22,31 @@ def exchanged(draws: list[int]) -> list[int]:
     return out
 
 
+def _in_groups(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` group by group, in order of their number ``_i`` there."""
+    return dealt(rows, group).sortWithinPartitions(group, "_i")
+
+
+def whole_groups(parts: Iterator[pd.DataFrame], least: int) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Rows of a sorted task as tables of whole groups, with where each begins (``_i`` is ``least``) and the end; many groups share a table."""
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        first = np.flatnonzero(part["_i"].to_numpy() == least)
+        if not len(first):
+            held.append(part)
+            continue
+        held.append(part.iloc[: first[-1]])
+        yield _marked(held, least)
+        held = [part.iloc[first[-1] :]]
+    if held:
+        yield _marked(held, least)
+
+
+def _marked(held: list[pd.DataFrame], least: int) -> tuple[pd.DataFrame, list[int]]:
+    rows = pd.concat(held, ignore_index=True)
+    return rows, [*np.flatnonzero(rows["_i"].to_numpy() == least).tolist(), len(rows)]
+
+
 def shuffled(df: DataFrame, group: str, order: list[str], item: str, seed: Column) -> DataFrame:
     """(group, item, position): each group shuffled by exchanges, by the numbers that its ``seed`` (32 bits, the same in all rows of a group) gives one after the other.
 
@@ -30,12 +57,15 @@ def shuffled(df: DataFrame, group: str, order: list[str], item: str, seed: Colum
     # The last place draws first.
     drawn = placed.withColumn("_j", F.floor(numbers.seeded(F.col("_seed"), F.col("_n") - F.col("_i")) * (F.col("_i") + 1)).cast("long"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_i", kind="stable").reset_index(drop=True)
-        return part.iloc[exchanged(part["_j"].tolist())][[group, item]].assign(position=range(len(part)))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, first in whole_groups(parts, 0):
+            draws, at = part["_j"].tolist(), []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                at += [a + i for i in exchanged(draws[a:b])]
+            yield part.iloc[at][[group, item]].assign(position=part["_i"].to_numpy(np.int32))
 
     kind = df.schema[group].dataType.simpleString(), df.schema[item].dataType.simpleString()
-    return drawn.select(group, item, "_i", "_j").groupBy(group).applyInPandas(run, f"`{group}` {kind[0]}, `{item}` {kind[1]}, position int")
+    return _in_groups(drawn.select(group, item, "_i", "_j"), group).mapInPandas(run, f"`{group}` {kind[0]}, `{item}` {kind[1]}, position int")
 
 
 def picked(df: DataFrame, group: str, order: list[str], item: str, seed: Column) -> DataFrame:
