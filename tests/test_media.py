@@ -198,3 +198,19 @@ def test_many_lines_at_once():
         want += [text, [], text]
     assert barcodes.lines_codes(lines) == want == [barcodes.line_codes(x) for x in lines]
     assert barcodes.lines_codes([]) == [] and barcodes.lines_codes([np.arange(5)]) == [[]]
+
+
+def test_groups_across_batches(spark):
+    """Batches of three rows: groups are cut by them and come out as from one batch, null as a group of its own."""
+    rows = [(g if g else None, g * 100 + i) for g in range(12) for i in range(1 + g * 3 % 8)]
+    df = spark.createDataFrame(rows, "g int, x long")
+    seed = F.coalesce("g", F.lit(0)) * 977
+    run = lambda: [sorted(map(tuple, d.collect()), key=str) for d in (draws.shuffled(df, "g", ["x"], "x", seed), draws.rows_around(df, "g", ["x"], "x", F.col("x") % 100 == 0, F.col("x") % 3 == 0, seed, 4))]
+    want = run()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert run() == want and len(want[0]) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    calls = [part["_i"].tolist() for part, _ in draws.whole_groups(iter([pd.DataFrame({"_i": [0, 1, 0, 0, 1]}), pd.DataFrame({"_i": [2, 0]})]), 0)]
+    assert calls == [[0, 1, 0], [0, 1, 2], [0]]  # many groups a call

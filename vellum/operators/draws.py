@@ -92,21 +92,30 @@ def rows_around(df: DataFrame, group: str, order: list[str], item: str, pick: Co
     """
     rows = df.select(group, item, pick.alias("_pick"), pool.alias("_pool"), seed.alias("_seed"), F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("_i"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_i", kind="stable")
-        chosen = part[part["_pick"]]
-        if chosen.empty:
-            return part.iloc[:0][[group, item]].assign(position=pd.Series(dtype="int32"))
-        draws, taken, rest = _numbers(int(part["_seed"].iloc[0])), [], part[~part["_pick"]]
-        for some in (rest[rest["_pool"]], rest):
-            left = [k for k in some[item].tolist() if k not in set(taken)]
+    def row(keys: list, picks: list[bool], pools: list[bool], seed: int) -> list:
+        chosen = picks.index(True)
+        draws, taken, rest = _numbers(seed), [], [i for i, p in enumerate(picks) if not p]
+        for some in ([i for i in rest if pools[i]], rest):
+            gone = {keys[i] for i in taken}
+            left = [i for i in some if keys[i] not in gone]
             places = [0] * len(left)
             for i in range(len(left) - 1, 0, -1):
                 places[i] = int(next(draws) * (i + 1))
             taken += [left[i] for i in exchanged(places)][: size - 1 - len(taken)]
         middle = len(taken) // 2
-        row = [*taken[:middle], chosen[item].iloc[0], *taken[middle:]]
-        return pd.DataFrame({group: part[group].iloc[0], item: row, "position": range(len(row))})
+        return [*taken[:middle], chosen, *taken[middle:]]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, first in whole_groups(parts, 1):
+            keys, picks, pools, seeds = (part[c].tolist() for c in (item, "_pick", "_pool", "_seed"))
+            at, position = [], []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                if True in picks[a:b]:
+                    found = row(keys[a:b], picks[a:b], pools[a:b], int(seeds[a]))
+                    at += [a + i for i in found]
+                    position += range(len(found))
+            yield part.iloc[at][[group, item]].assign(position=np.array(position, np.int32))
 
     kind = df.schema[group].dataType.simpleString(), df.schema[item].dataType.simpleString()
-    return rows.groupBy(group).applyInPandas(run, f"`{group}` {kind[0]}, `{item}` {kind[1]}, position int")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_pick", "_pool")})
+    return _in_groups(rows, group).mapInPandas(run, f"`{group}` {kind[0]}, `{item}` {kind[1]}, position int")
