@@ -6,12 +6,16 @@ they run group by group over Arrow batches; a group is one shelf, pile or record
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.storage import dealt
+
 
 def without_repeats(df: DataFrame, group: str, order: list[Column], value: Column) -> DataFrame:
     """Rows whose value differs from that of the row before in their group."""
@@ -48,47 +52,51 @@ def piles(df: DataFrame, group: str, order: list[Column], each: int, most: int)
     return chunked(df, group, order, each).withColumn("hidden", F.col("chunk") >= most)
 
 
-def _scanned(group: str, order: list[str], value: str, take) -> object:
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        row, at = take(part[value].to_numpy(float))
-        return part[[group, *order]].assign(row=row, at=at)
+def _scanned(df: DataFrame, group: str, order: list[str], value: str, take) -> DataFrame:
+    """(group, order, row, at) by a walk along each group: ``take`` gives the two of a value after the state before it, and the state after.
 
-    return run
+    Rows stream through their task in order, many groups to a batch; what is kept is a state.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for part in parts:
+            rows, at = [], []
+            for v, first in zip(part["_v"].tolist(), part["_first"].tolist(), strict=True):
+                row, x, state = take(v, None if first else state)
+                rows.append(row)
+                at.append(x)
+            yield part[[group, *order]].assign(row=np.array(rows, np.int32), at=np.array(at, float))
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (group, *order))
+    last = [F.col(c).asc_nulls_last() for c in order]
+    rows = dealt(df.select(group, *order, F.col(value).cast("double").alias("_v")), group)
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*last))).sortWithinPartitions(group, "_i")
+    return rows.select(group, *order, "_v", (F.col("_i") == 1).alias("_first")).mapInPandas(run, f"{kinds}, row int, at double")
 
 
 def packed_rows(df: DataFrame, group: str, order: list[str], width: str, room: float, gap: float) -> DataFrame:
     """(group, order, row, at): items set side by side, a new row where the next one does not fit; a wider item than the room stands alone."""
 
-    def take(widths: np.ndarray) -> tuple[list[int], list[float]]:
-        row, x, rows, at = 0, 0.0, [], []
-        for w in widths.tolist():
-            if x > 0 and x + w > room:
-                row, x = row + 1, 0.0
-            rows.append(row)
-            at.append(x)
-            x += w + gap
-        return rows, at
+    def take(w: float, state: tuple[int, float] | None) -> tuple[int, float, tuple[int, float]]:
+        row, x = state or (0, 0.0)
+        if x > 0 and x + w > room:
+            row, x = row + 1, 0.0
+        return row, x, (row, x + w + gap)
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (group, *order))
-    return df.select(group, *order, width).groupBy(group).applyInPandas(_scanned(group, order, width, take), f"{kinds}, row int, at double")
+    return _scanned(df, group, order, width, take)
 
 
 def piled_up(df: DataFrame, group: str, order: list[str], height: str, most: float, count: int) -> DataFrame:
     """(group, order, row, at): items laid on one another, a new pile beyond a height or a number of items."""
 
-    def take(heights: np.ndarray) -> tuple[list[int], list[float]]:
-        pile, y, n, rows, at = 0, 0.0, 0, [], []
-        for h in heights.tolist():
-            if n and (y + h > most or n >= count):
-                pile, y, n = pile + 1, 0.0, 0
-            rows.append(pile)
-            at.append(y)
-            y, n = y + h, n + 1
-        return rows, at
+    def take(h: float, state: tuple[int, float, int] | None) -> tuple[int, float, tuple[int, float, int]]:
+        pile, y, n = state or (0, 0.0, 0)
+        if n and (y + h > most or n >= count):
+            pile, y, n = pile + 1, 0.0, 0
+        return pile, y, (pile, y + h, n + 1)
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (group, *order))
-    return df.select(group, *order, height).groupBy(group).applyInPandas(_scanned(group, order, height, take), f"{kinds}, row int, at double")
+    return _scanned(df, group, order, height, take)
 
 
 def budgeted(df: DataFrame, group: str, order: list[str], cost: str, budget: float) -> DataFrame:
