@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 
 from vellum.storage import dealt
 
+#: Rows that one task sorts, about.
+TASK_ROWS = 1_000_000
+
 
 def without_repeats(df: DataFrame, group: str, order: list[Column], value: Column) -> DataFrame:
     """Rows whose value differs from that of the row before in their group."""
@@ -26,6 +29,8 @@ def without_repeats(df: DataFrame, group: str, order: list[Column], value: Colum
 
 def run_hulls(df: DataFrame, group: str, start: str, end: str, gap: float = 0.0) -> DataFrame:
     """(group, start, end, n): intervals that overlap, or lie within ``gap``, as one."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-df.count() // TASK_ROWS))
+    df = df.select(group, start, end).repartition(parts, group)  # a task's rows stay as many however large the table is
     w = Window.partitionBy(group).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", F.coalesce(F.col(start) > reach + gap, F.lit(True)).cast("int"))
