@@ -378,3 +378,18 @@ def test_whole_exports(spark, tmp_path):
     assert [json.loads(x)["title"] for x in read("j").splitlines()] == ["=SUM(A1)", "Plain"]
     with pytest.raises(ValueError, match="pdf"):
         export.exported(books, "pdf", f"file://{tmp_path}/p")
+
+
+def test_votes_do_not_depend_on_the_order_of_sums(spark):
+    """Two spellings of equal confidence, whose sums differ in the last digit: the first one read stands."""
+    parts = [("Alma", c) for c in (0.3, 0.2, 0.1)] + [("ALMA", c) for c in (0.1, 0.2, 0.3)]
+    df = spark.createDataFrame([(1, k, k, t, c) for k, (t, c) in enumerate(parts)], "source int, key long, frame int, title string, confidence double").coalesce(1)
+    one = resolve.records(df).collect()
+    assert [(r.title, r.readings, r.seen_in) for r in one] == [("Alma", 6, 6)]
+
+
+def test_records_shuffle_readings_once(spark):
+    """Readings are summed up by lane before lanes meet: the last step reads lanes, not readings."""
+    df = spark.createDataFrame([(1, k, k, "alma", 0.5) for k in range(50)], "source int, key long, frame int, title string, confidence double")
+    plan = resolve.records(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "confidence" not in plan.split("Relation", 1)[1] and resolve.records(df).first().readings == 50
