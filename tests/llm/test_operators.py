@@ -710,3 +710,24 @@ def test_first_of_groups(docs, rows):
     assert not gone & set(kept)
     assert {i for i, *_ in rows} - gone == set(kept)
     assert kept.count(300) == 0 or kept.count(301) == 0
+
+
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """Every labelled row counts, however many groups they make, and a rare class meets all of them."""
+    monkeypatch.setattr(quality, "GROUP", 50)
+    monkeypatch.setattr(quality, "PAIRS", 2000)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, len(quality.NAMES))).astype(np.float32)
+    y = (np.arange(600) % 30 != 0).astype(int)
+    x[:, 5] += 4 * y
+    f = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, f array<float>")
+    model = quality.fit(f, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int"), F.lit(True))
+    score = x.astype(float) @ model.weights + model.offset
+    cut = np.log(quality.CUT / (1 - quality.CUT))
+    assert (score[y == 1][:, None] > score[y == 0]).mean() > 0.97 and abs((score < cut).sum() - 20) <= 12
+    half = quality.fit(f, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y) if i < 599], "doc_id long, quality int"), F.lit(True))
+    assert not np.array_equal(model.weights, half.weights)  # the last row told
+    for scores, bad in (([0.0, 1, 2, 3, 9, 10, 11, 12, 13, 14], 4), ([1.0] * 10, 3)):
+        s = np.sort(scores)
+        at = quality._threshold(spark.createDataFrame([(float(v),) for v in scores], "s double"), 10, bad)
+        assert at == (s[bad] + s[bad - 1]) / 2

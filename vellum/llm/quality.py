@@ -1,11 +1,11 @@
 """Quality scores from preferences: a Bradley-Terry model on text features.
 
 A good text is preferred to a bad one; the probability of that is the logistic of
-the difference of their scores, and a score is linear in the features.  Pairs are
-drawn from a bounded sample of labelled rows and fitted by Newton steps on the
-logistic loss of feature differences.  The threshold is the quantile of the sample's
-scores that matches the sample's share of bad texts; scores are mapped to (0, 1) so
-that it falls on ``CUT``.
+the difference of their scores, and a score is linear in the features.  All labelled
+rows are learnt from: they are dealt to groups of about ``GROUP``, each row of a group
+stands in a pair, and Newton steps on the logistic loss of feature differences add up
+the sums that tasks return.  The threshold is the quantile of all their scores that
+matches their share of bad texts; scores are mapped to (0, 1) so that it falls on ``CUT``.
 
 Features come from the whole text: shares of characters (each ASCII sign, capitals,
 digits, non-ASCII), words (length, distinct share, repeats of the word before) and
@@ -27,11 +27,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.llm.common import crc32_mod, saved
 
-SAMPLE = 20_000  #: labelled rows that a model is fitted on, at most
-PAIRS = 100_000
+GROUP = 4_000  #: labelled rows that are paired with one another
+RARE = 20  #: rows of a class in a group; a class of fewer goes to several groups
+PAIRS = 100_000  #: pairs at least, and two for a row
 CUT = 0.3
 SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
 NAMES = [
@@ -85,10 +87,12 @@ class Ranking:
     def __init__(self, weights: np.ndarray, offset: float):
         self.weights, self.offset = weights, offset
 
-    def score(self, f: str = "f") -> Column:
+    def dot(self, f: str = "f") -> Column:
         w = F.array(*[F.lit(float(x)) for x in self.weights])
-        dot = F.aggregate(F.zip_with(F.col(f), w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-        return 1 / (1 + F.exp(-(dot + F.lit(float(self.offset)))))
+        return F.aggregate(F.zip_with(F.col(f), w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
+
+    def score(self, f: str = "f") -> Column:
+        return 1 / (1 + F.exp(-(self.dot(f) + F.lit(float(self.offset)))))
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) -> Ranking:
@@ -120,14 +124,92 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1
     return Ranking(w / scale, logit - at - float((x.mean(axis=0) / scale) @ w))
 
 
-def fit(f: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample: int = SAMPLE) -> Ranking:
-    """A ranking from the labelled rows of ``f`` where ``learn`` holds; ``sample`` of them in hash order at most."""
+def _summed(packed: DataFrame, f) -> np.ndarray:
+    """The sum of ``f(group, y, x)`` over all groups of labelled rows: a task returns one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in batches:
+            for g, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                flat = rows.values.flatten()
+                x = flat[2].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)).astype(float)
+                part = f(g, flat[1].to_numpy(zero_copy_only=False), x)
+                out = part if out is None else out + part
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    return np.sum([r.s for r in packed.mapInArrow(run, "s array<double>").collect()], axis=0)
+
+
+def _newton(packed: DataFrame, groups: int, mean: np.ndarray, scale: np.ndarray, ridge: float = 1e-3, seed: int = 7) -> np.ndarray:
+    """``fit_pairs``'s weights from groups of rows: every row of a group stands in a pair."""
+    k = len(NAMES)
+
+    def at(w):
+        def sums(g, y, x):
+            good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+            out = np.zeros(1 + k + k * k)
+            if len(good) and len(bad):
+                rng, n = np.random.default_rng((seed, g)), max(PAIRS // groups, 2 * len(y))
+                z = (x - mean) / scale
+                dealt = [np.resize(rng.permutation(c), n) for c in (good, bad)]
+                dealt[1] = rng.permutation(dealt[1])
+                for i in range(0, n, 10_000):
+                    d = z[dealt[0][i : i + 10_000]] - z[dealt[1][i : i + 10_000]]
+                    p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+                    out += np.concatenate([[len(d)], (d * p[:, None]).sum(axis=0), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+            return out
+
+        return _summed(packed, sums)
+
+    w = np.zeros(k)
+    for _ in range(25):
+        s = at(w)
+        step = np.linalg.solve(s[1 + k :].reshape(k, k) / s[0] + ridge * np.eye(k), -s[1 : 1 + k] / s[0] + ridge * w)
+        w = w - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
+def _threshold(scores: DataFrame, n: int, bad: int) -> float:
+    """The score ``s`` below which ``bad`` of all ``n`` rows lie, in the widest gap of scores about it.  Rows are numbered within bins of scores."""
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    at = scores.select("s", F.floor((F.col("s") - low) / max(high - low, 1e-300) * 4096).alias("bin"))
+    w = Window.orderBy("bin")  # over the bins alone
+    bins = at.groupBy("bin").agg(F.count("*").alias("_n"), F.max("s").alias("_m")).select("bin", (F.sum("_n").over(w) - F.col("_n")).alias("_first"), F.lag("_m").over(w).alias("_m"))
+    inside = Window.partitionBy("bin").orderBy("s")
+    ranked = at.join(F.broadcast(bins), "bin").select("s", (F.col("_first") + F.row_number().over(inside) - 1).alias("i"), F.coalesce(F.lag("s").over(inside), F.col("_m")).alias("before"))
+    near = ranked.where((F.col("i") >= max(1, bad - n // 50)) & (F.col("i") <= min(n - 1, bad + n // 50)))
+    best = near.agg(F.max_by(F.struct("s", "before"), F.struct(F.col("s") - F.col("before"), -F.col("i")))).first()[0]
+    return (best.s + best.before) / 2 if best else low
+
+
+def fit(f: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> Ranking:
+    """A ranking from all labelled rows of ``f`` where ``learn`` holds."""
     known = labels.where(F.col(label).isin(0, 1) & learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_y"))
-    known = saved(known.orderBy(F.xxhash64("doc_id", "_y"), "doc_id").limit(sample), "quality-labels")  # so its ids may be broadcast
-    some = f.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("f").alias("f"))
-    rows = some.join(F.broadcast(known), "doc_id").orderBy("doc_id", "_y").select("f", "_y").toPandas()
-    x = np.array(rows["f"].tolist(), float).reshape(-1, len(NAMES))
-    return fit_pairs(x, rows["_y"].to_numpy())
+    known = saved(known, "quality-labels")  # so its size is known
+    some = f.join(known.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("f").alias("f"))
+    rows = saved(some.join(known, "doc_id").select("doc_id", "_y", "f"), "quality-learnt")
+    counts = {r._y: r.n for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    n, logit = sum(counts.values()), np.log(CUT / (1 - CUT))
+    if len(counts) < 2:
+        return Ranking(np.zeros(len(NAMES)), logit)
+    groups = -(-n // GROUP)
+    copies = {y: min(groups, max(1, -(-groups * RARE // c))) for y, c in counts.items()}
+    turn = F.explode(F.sequence(F.lit(0), F.when(F.col("_y") == 0, copies[0] - 1).otherwise(copies[1] - 1))).alias("_turn")
+    dealt = rows.select("doc_id", "_y", "f", turn).select(F.pmod(F.xxhash64("doc_id", "_y") + F.col("_turn"), F.lit(groups)).cast("int").alias("g"), "doc_id", "_y", "f", (F.col("_turn") == 0).cast("int").alias("_own"))
+    packed = saved(dealt.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("doc_id", "_y", "f", "_own"))).alias("rows")), "quality-groups")
+    flat = F.transform("rows", lambda r: F.struct(r["_own"].alias("_own"), r["_y"].alias("_y"), r["f"].alias("f")))
+    packed = packed.select("g", flat.alias("rows"))
+    # A row counts once in the moments, however many groups it goes to.
+    own = packed.select("g", F.filter("rows", lambda r: r["_own"] == 1).alias("rows"))
+    mean = _summed(own, lambda g, y, x: x.sum(axis=0)) / n
+    spread = np.sqrt(_summed(own, lambda g, y, x: ((x - mean) ** 2).sum(axis=0)) / n)
+    scale = np.where(spread > 1e-6, spread, np.inf)
+    w = _newton(packed, groups, mean, scale) / scale
+    at = _threshold(saved(rows.select(Ranking(w, 0.0).dot().alias("s")), "quality-scores"), n, counts[0])
+    return Ranking(w, logit - at)
 
 
 def scored(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
