@@ -192,3 +192,50 @@ def test_steps_leave_no_shuffle_files(spark):
     assert out.agg(F.sum("count")).first()[0] == 1000
     assert len(files() - before) <= 1  # that of the sum above
     assert spark.conf.get(CLEANUP, None) == setting
+
+
+def test_frames_meet_before_titles(spark):
+    """What alignments shuffle does not grow with the titles that are like a reading's own."""
+    words = ["alma", "alam", "almak", "almaa", "aalma", "allma", "almma", "alman", "almat", "almas"]
+    kinds = [f"{w} kert haz" for w in words]
+    placed = spark.createDataFrame([(1, k, k, k, 0, kinds[k % 10], "", [], k) for k in range(400)], "source int, key long, frame int, vframe int, rank int, t string, n string, a array<string>, node long")
+    scores = shelf.title_scores(placed)
+    assert scores.count() == 90
+    plan = shelf.alignments(placed, shelf.staged(scores))._jdf.queryExecution().optimizedPlan().toString()
+    frames, titles = plan.index("array_contains(near"), plan.rindex("Relation")
+    assert frames < titles and shelf.alignments(placed, scores).count() == 399 + 398
+
+
+def test_frames_of_a_source_walk_together(spark):
+    """Offsets equal those of a plain walk, and no local read, which leaves rows where they were, comes before the walk when joins become broadcasts at run time."""
+    rng = random.Random(3)
+    sizes = {(s, v): rng.randint(1, 4) for s in range(5) for v in range(60)}
+    found = [(s, v - d, v, p, p + rng.randint(-2, 1), 1.0) for s, v in sizes for d in (1, 2) if v >= d and rng.random() < 0.4 for p in range(2)]
+    placed = spark.createDataFrame([(s, v, r) for (s, v), n in sizes.items() for r in range(n)], "source int, vframe int, rank int")
+    pairs = spark.createDataFrame(found, "source int, u int, v int, p int, q int, score double")
+    setting = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in setting.items():
+        spark.conf.set(k, v)
+    try:
+        out = shelf.offsets(placed, pairs)
+        got = {(r.source, r.vframe): r.offset for r in out.collect()}
+        walk = out._jdf.queryExecution().executedPlan().toString().split("MapInPandas", 1)[1]
+    finally:
+        for k in setting:
+            spark.conf.unset(k)
+
+    assert "AQEShuffleRead local" not in walk[: walk.index("ShuffleQueryStage")]
+
+    def shift(s, u, v):
+        x = sorted(p - q for t, a, b, p, q, _ in found if (t, a, b) == (s, u, v))
+        return (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2 if x else None
+
+    for s in range(5):
+        ones = [x for v in range(60) if (x := shift(s, v - 1, v)) is not None]
+        right, at = sum(x > 0 for x in ones) >= sum(x < 0 for x in ones), {0: 0.0}
+        low, high = 0.0, sizes[s, 0] - 1.0
+        for v in range(1, 60):
+            one, two = shift(s, v - 1, v), shift(s, v - 2, v)
+            at[v] = at[v - 1] + one if one is not None else at[v - 2] + two if two is not None else high + 1 if right else low - sizes[s, v]
+            low, high = min(low, at[v]), max(high, at[v] + sizes[s, v] - 1)
+        assert [got[s, v] for v in range(60)] == [at[v] for v in range(60)]
