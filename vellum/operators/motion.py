@@ -84,10 +84,11 @@ def robust_lines(pairs: DataFrame, group: str, rounds: int = 2) -> DataFrame:
 
     From four pairs on by least squares, fitted again without pairs whose residual passes ``MEDIANS`` medians (and ``ALLOWED``), as long as
     that drops any and leaves four; two or three pairs give the median shift, one none.  A group's pairs meet once: all rounds
-    are windows over one partitioning.
+    are windows over one partitioning.  They are summed up in the order of x and y, so the last digits do not depend on how rows were dealt.
     """
     w = Window.partitionBy(group)
-    fit = _fitted(pairs.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), w)
+    rows = pairs.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    fit = _fitted(rows.repartition(group).sortWithinPartitions(group, "x", "y"), w)
     for _ in range(rounds):
         off = fit.withColumn("_r", F.abs(F.col("y") - (F.col("s") * F.col("x") + F.col("d"))))
         judged = off.withColumn("_in", F.col("_r") <= F.greatest(F.lit(ALLOWED), MEDIANS * F.median("_r").over(w))).withColumn("_left", F.count_if("_in").over(w))
